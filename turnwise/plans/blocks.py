@@ -123,6 +123,8 @@ class Agg:
         at = F.struct(*order)
         if self.kind == "list":
             return F.array_sort(F.collect_list(F.struct(*order, self.value.alias("_v"))))
+        if self.kind == "set":
+            return F.array_sort(F.collect_set(self.value))
         return _reduce(self.kind, self.value, at)
 
     def over_parts(self, name: str) -> Column:
@@ -131,6 +133,8 @@ class Agg:
             lists = F.array_sort(F.collect_list(F.struct(BLOCK, "_run", part.alias("_l"))))
             return F.transform(F.flatten(F.transform(lists, lambda x: x["_l"])),
                                lambda x: x["_v"])
+        if self.kind == "set":
+            return F.array_sort(F.array_distinct(F.flatten(F.collect_list(part))))
         return _reduce("sum" if self.kind == "count" else self.kind, part, at)
 
 
