@@ -213,7 +213,7 @@ p AS (SELECT stream_id, seg_speaker AS speaker, min(seg_start) AS a, max(seg_end
       sum(seg_end - seg_start) AS d, count(*) AS n FROM segs GROUP BY ALL)
 SELECT p.stream_id, p.speaker, round(a, 4) AS first_appearance, round(b, 4) AS last_appearance,
        round(d, 4) AS total_duration, n AS segment_count, name,
-       CASE WHEN name IN ('Person 0', 'Person 1') THEN 'host' WHEN name IS NOT NULL THEN 'guest' ELSE 'unknown' END AS speaker_type,
+       CASE WHEN name IN ('Person 0', 'Person 1') THEN 'host' WHEN name IS NOT NULL THEN 'panel' ELSE 'unknown' END AS speaker_type,
        CAST(CASE WHEN name IN ('Person 0', 'Person 1') THEN 0.95 WHEN name IS NOT NULL THEN 0.85 ELSE 0.7 END AS DOUBLE) AS confidence
 FROM p LEFT JOIN names n ON p.stream_id = n.stream_id AND p.speaker = n.speaker""")
 def agg5(spark, sf):
@@ -270,7 +270,7 @@ def win6(spark, sf):
 @query("win7_speaker_timeline", f"""
 WITH {SEGMENTS}, {EVENTS_SQL}, {NAMES}
 SELECT e.stream_id, e.pos, e.event_type, e.speaker,
-       CASE WHEN name = 'Person 0' THEN 'host' WHEN name IS NOT NULL THEN 'guest' ELSE 'unknown' END AS speaker_type
+       CASE WHEN name = 'Person 0' THEN 'host' WHEN name IS NOT NULL THEN 'panel' ELSE 'unknown' END AS speaker_type
 FROM sp_events e LEFT JOIN names n ON e.stream_id = n.stream_id AND e.speaker = n.speaker""")
 def win7(spark, sf):
     segs = segments(spark, sf)

@@ -107,7 +107,7 @@ def speaker_profiles(segs: DataFrame, names: DataFrame, hosts: list[str]) -> Dat
                  F.sum(F.col("seg_end") - F.col("seg_start")).alias("total_duration"),
                  F.count(F.lit(1)).alias("segment_count"))
             .join(names, [*KEY, "speaker"], "left")
-            .withColumn("speaker_type", F.when(host, "host").when(known, "guest").otherwise("unknown"))
+            .withColumn("speaker_type", F.when(host, "host").when(known, "panel").otherwise("unknown"))
             .withColumn("confidence", F.when(host, 0.95).when(known, 0.85).otherwise(0.7)))
 
 
