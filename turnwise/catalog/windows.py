@@ -167,10 +167,10 @@ def flt3(spark, sf):
 
 
 @query("flt13_sparse_windows", f"""
-SELECT stream_id, window_id, turns FROM ({_slide_sql(3000, 1800, False, False)}) WHERE length(text) >= 200""")
+SELECT stream_id, window_id, turns FROM ({_slide_sql(3000, 1800, False, False)}) WHERE length(text) >= 30""")
 def flt13(spark, sf):
     w = ops.sliding_windows(_event_turns(spark, sf), size=3000.0, hop=1800.0)
-    return w.filter(F.length("text") >= 200).select("stream_id", "window_id", "turns")
+    return w.filter(F.length("text") >= 30).select("stream_id", "window_id", "turns")
 
 
 @query("join5_sentence_before", f"""
