@@ -150,3 +150,27 @@ people AS (
          speaker AS position,
          row_number() OVER (PARTITION BY stream_id, floor(start / 600) ORDER BY pos) - 1 AS i
   FROM signals)"""
+
+
+def topic_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases and sign-ups as topic blocks: the name is put together from the user number."""
+    k = F.col("user_id") % 24
+    kind = F.element_at(F.array(*[F.lit(w) for w in ("market", "harbor", "river", "garden")]), (k % 4 + 1).cast("int"))
+    thing = F.element_at(F.array(*[F.lit(w) for w in ("tax", "law", "trade")]), (k % 3 + 1).cast("int"))
+    name = F.when(k % 2 == 0, F.concat(F.lit("The "), kind, F.lit(" "), thing)).otherwise(
+        F.concat(kind, F.lit(" "), thing, F.lit(" of new "), F.lit("days")))
+    mood = F.when(F.col("user_id") % 5 == 0, "heated").when(F.col("user_id") % 7 == 0, "confrontational").otherwise("calm")
+    return (signals(spark, sf).filter(F.col("speaker").isin("purchase", "signup"))
+            .select("stream_id", (F.col("user_id") % 3).alias("conv_id"), F.col("pos").alias("block_no"),
+                    name.alias("topic_name"), F.concat_ws("-", kind, thing, (k % 2).cast("string")).alias("topic_id"),
+                    F.col("start").alias("t_start"), (F.col("end") + 60).alias("t_end"), mood.alias("sentiment")))
+
+
+TOPIC_BLOCKS = SIGNALS + """,
+blocks AS (
+  SELECT stream_id, user_id % 3 AS conv_id, pos AS block_no,
+    CASE WHEN k % 2 = 0 THEN 'The ' || kind || ' ' || thing ELSE kind || ' ' || thing || ' of new days' END AS topic_name,
+    kind || '-' || thing || '-' || (k % 2) AS topic_id, start AS t_start, "end" + 60 AS t_end,
+    CASE WHEN user_id % 5 = 0 THEN 'heated' WHEN user_id % 7 = 0 THEN 'confrontational' ELSE 'calm' END AS sentiment
+  FROM (SELECT *, user_id % 24 AS k, ['market', 'harbor', 'river', 'garden'][user_id % 24 % 4 + 1] AS kind,
+          ['tax', 'law', 'trade'][user_id % 24 % 3 + 1] AS thing FROM signals WHERE speaker IN ('purchase', 'signup')))"""
