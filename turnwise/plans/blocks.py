@@ -141,7 +141,8 @@ class Agg:
 def _reduce(kind: str, value: Column, at: Column) -> Column:
     return {"first": lambda: F.min_by(value, at), "last": lambda: F.max_by(value, at),
             "sum": lambda: F.sum(value), "min": lambda: F.min(value),
-            "max": lambda: F.max(value), "count": lambda: F.count(value)}[kind]()
+            "max": lambda: F.max(value), "count": lambda: F.count(value),
+            "last_known": lambda: F.max_by(value, F.when(value.isNotNull(), at))}[kind]()
 
 
 def runs(df: DataFrame, keys: list[str], order: list[str], block: Column, *,
