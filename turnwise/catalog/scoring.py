@@ -8,6 +8,7 @@ from turnwise.catalog.conversations import HINTS, RANGES, chat_hints, chat_range
 from turnwise.operators import scoring as ops
 from turnwise.operators import topics as topic_ops
 from turnwise.operators import turns as talk
+from turnwise.plans.blocks import ranked
 
 R = F.round
 
@@ -300,10 +301,9 @@ def prj3(spark, sf):
 SELECT stream_id, cand_id, 'clip_' || row_number() OVER (PARTITION BY stream_id ORDER BY composite DESC, cand_id) AS clip_id
 FROM s WHERE composite >= 45""")
 def prj4(spark, sf):
-    from pyspark.sql import Window
-    w = Window.partitionBy("stream_id").orderBy(F.desc("composite"), "cand_id")
-    return _scored(spark, sf).filter("composite >= 45").select(
-        "stream_id", "cand_id", F.concat(F.lit("clip_"), F.row_number().over(w).cast("string")).alias("clip_id"))
+    kept = _scored(spark, sf).filter("composite >= 45").select("stream_id", "cand_id", "composite")
+    return ranked(kept, ["stream_id"], -F.col("composite"), ["cand_id"], 5.0).select(
+        "stream_id", "cand_id", F.concat(F.lit("clip_"), F.col("rank").cast("string")).alias("clip_id"))
 
 
 ASKED = ["the", "and", "les", "und", "which"]

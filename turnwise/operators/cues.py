@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.text import word_count
 from turnwise.operators.windows import word_context
 from turnwise.plans.asof import nearest
-from turnwise.plans.blocks import by_position, by_time
+from turnwise.plans.blocks import around, by_position, by_time
 from turnwise.plans.folds import fold_kept
 from turnwise.schema import KEY
 
@@ -39,18 +39,6 @@ def anchored(regex: str) -> str:
     return r"(?i)^(?:\S*?[^\p{L}\p{N}\s])??(" + regex + r")(?:[^\p{L}\p{N}]|$)"
 
 
-def shingles(words: DataFrame, span: int, *, block_rows: int = 50_000) -> DataFrame:
-    """Every word with the text of itself and the `span` - 1 words after it. The first words of
-    a block are lent to the block before, so windows stay inside blocks."""
-    own = F.floor(F.col("pos") / block_rows)
-    lent = F.floor((F.col("pos") - (span - 1)) / block_rows)
-    cells = (words.withColumn("_own", own)
-             .withColumn("_block", F.explode(F.array_distinct(F.array(own, F.greatest(lent, F.lit(0)))))))
-    ahead = Window.partitionBy(*KEY, "_block").orderBy("pos").rowsBetween(0, span - 1)
-    return (cells.withColumn("shingle", F.array_join(F.collect_list("text").over(ahead), " "))
-            .filter(F.col("_own") == F.col("_block")).drop("_own", "_block"))
-
-
 def match_cues(words: DataFrame, patterns: list[Pattern], *, span: int = 8,
                block_rows: int = 50_000) -> DataFrame:
     """Matches of every pattern in the running text of a stream.
@@ -58,7 +46,8 @@ def match_cues(words: DataFrame, patterns: list[Pattern], *, span: int = 8,
     A match starts at the word it begins in. Matches of one pattern do not overlap: one that
     starts before the kept one before it ends is dropped.
     """
-    rows = shingles(words, span, block_rows=block_rows)
+    rows = around(words, KEY, "pos", {"shingle": F.col("text")}, after=span - 1, block_rows=block_rows)
+    rows = rows.withColumn("shingle", F.array_join("shingle", " "))
     any_of = anchored("|".join(f"(?:{p.regex})" for p in patterns))
     found = F.array(*[F.struct(F.lit(p.name).alias("pattern"), F.lit(p.cue_type).alias("cue_type"),
                                F.lit(p.base).alias("base"),

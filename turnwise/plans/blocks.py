@@ -113,6 +113,34 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column, *,
     return rows.withColumns(out).drop(BLOCK, *carried)
 
 
+def around(df: DataFrame, keys: list[str], position: str, values: dict[str, Column], *,
+           before: int = 0, after: int = 0, block_rows: int = 50_000) -> DataFrame:
+    """Add arrays of the values of the rows next to each row (itself included).
+
+    `position` numbers the rows of a stream. The rows at the rim of a block are lent to its
+    neighbour, so the windows stay inside blocks.
+    """
+    own = F.floor(F.col(position) / block_rows)
+    lent = [F.floor((F.col(position) - after) / block_rows), F.floor((F.col(position) + before) / block_rows)]
+    cells = (df.withColumn("_own", own)
+             .withColumn(BLOCK, F.explode(F.array_distinct(F.array("_own", *lent)))))
+    near = Window.partitionBy(*keys, BLOCK).orderBy(position).rowsBetween(-before, after)
+    for name, value in values.items():
+        cells = cells.withColumn(name, F.collect_list(value).over(near))
+    return cells.filter(F.col("_own") == F.col(BLOCK)).drop("_own", BLOCK)
+
+
+def ranked(df: DataFrame, keys: list[str], by: Column, tie: list[str], width: float, *,
+           name: str = "rank") -> DataFrame:
+    """1-based rank in a group, by a number ascending (negate it for descending), then `tie`.
+
+    Values are cut into ranges of `width`, so a group of any size is numbered range by range.
+    """
+    rows = df.withColumn("_by", by.cast("double"))
+    return running(rows, keys, ["_by", *tie], by_time("_by", width),
+                   sums={name: F.lit(1).cast("long")}).drop("_by")
+
+
 class Agg:
     """One output column of `runs`: how rows are folded, and how parts of a run are."""
 
