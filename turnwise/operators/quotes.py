@@ -23,6 +23,11 @@ def _prepared(quotes: DataFrame) -> DataFrame:
             .withColumn("_parts", F.split("_q", " ")).withColumn("_n", F.size("_parts")))
 
 
+def _key_sizes(quotes: DataFrame) -> list[int]:
+    """Key lengths in use: one to three numbers, so texts are cut only into what is asked for."""
+    return sorted(r[0] for r in quotes.select("_size").distinct().collect()) or [SHINGLE]
+
+
 def exact_anchors(quotes: DataFrame, words: DataFrame, *, block_rows: int = 50_000) -> DataFrame:
     """First place of a quote in the words of its stream: stream_id, quote_id, pos.
 
@@ -34,8 +39,7 @@ def exact_anchors(quotes: DataFrame, words: DataFrame, *, block_rows: int = 50_0
     low = words.select(*KEY, "pos", F.lower("text").alias("_w"))
     near = around(low, KEY, "pos", {"_near": F.col("_w")}, after=SHINGLE, block_rows=block_rows)
     long_q = q.filter("_n >= 3").withColumn("_size", F.least(F.col("_n") - 2, F.lit(SHINGLE)))
-    # Only key lengths that quotes can have: one, two or three inner words.
-    keyed = near.withColumn("_size", F.explode(F.array(*[F.lit(i) for i in range(1, SHINGLE + 1)]))) \
+    keyed = near.withColumn("_size", F.explode(F.array(*[F.lit(i) for i in _key_sizes(long_q)]))) \
         .filter(F.size("_near") > F.col("_size")) \
         .withColumn("_key", F.array_join(F.slice("_near", 2, F.col("_size")), " "))
     met = (keyed.select(*KEY, "pos", "_size", "_key", F.col("_w").alias("_first"))
@@ -75,9 +79,10 @@ def loose_anchors(quotes: DataFrame, words: DataFrame, *, span: int = 5,
     terms = (q.select(*KEY, F.explode(F.array("_a", "_b")).alias("_term")).distinct()
              .withColumn("_gram", F.substring("_term", 1, 3)))
     size = F.length("_w")
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.substring(F.col("_w"), i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])))
+    def pieces(n: int) -> Column:
+        cuts = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("_w"), i, F.lit(n)))
+        return F.when(size >= n, cuts).otherwise(F.array().cast("array<string>"))
+    grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in (1, 2, 3)])))
     hits = (low.select(*KEY, "pos", "_w", F.explode(grams).alias("_gram"))
             .join(terms, [*KEY, "_gram"]).filter(F.col("_w").contains(F.col("_term")))
             .select(*KEY, "_term", "pos"))
@@ -120,13 +125,14 @@ def quotes_in_documents(quotes: DataFrame, docs: DataFrame) -> DataFrame:
          .withColumn("_key", _inner(F.col("_parts"))))
     parts = F.split(normalize(F.col("text")), " ")
     def grams(n: int) -> Column:
-        return F.when(F.size("_w") >= n, F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice(F.col("_w"), i, n), " ")))
-        ).otherwise(F.array().cast("array<string>"))
-    keys = docs.select("doc_id", parts.alias("_w")).select("doc_id", F.explode(F.flatten(F.array(
-        *[F.transform(grams(n), lambda g, n=n: F.struct(F.lit(n).alias("_size"), g.alias("_key"))) for n in range(1, SHINGLE + 1)]
-    ))).alias("_k")).select("doc_id", "_k.*")
+        runs = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice(F.col("_w"), i, n), " "))
+        found = F.when(F.size("_w") >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+        return F.transform(found, lambda g: F.struct(F.lit(n).alias("_size"), g.alias("_key")))
+    sizes = _key_sizes(q)
+    keys = (docs.select("doc_id", parts.alias("_w"))
+            .select("doc_id", F.explode(F.flatten(F.array(*[grams(n) for n in sizes]))).alias("_k"))
+            .select("doc_id", "_k.*"))
     met = keys.join(q.select("item_id", "_size", "_key", "_q"), ["_size", "_key"]).select("doc_id", "item_id", "_q")
     return (met.join(docs.select("doc_id", normalize(F.col("text")).alias("_text")), "doc_id")
             .withColumn("offset", F.expr("locate(_q, _text)")).filter("offset > 0")
-            .select("item_id", "doc_id", (F.col("offset") - 1).alias("offset")))
+            .select("item_id", "doc_id", (F.col("offset") - 1).cast("long").alias("offset")))
