@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from turnwise.plans.blocks import running
 from turnwise.sources.chat import turns_from_chat, words_from_turns
 
-DAY_MICROS = 86_400_000_000
+DAY_MILLIS = 86_400_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -54,20 +54,21 @@ words AS (
 
 
 def signals(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a timeline: stream = day, start = second of the day, end = start + value."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    """Events as a timeline: stream = day, start = second of the day (whole milliseconds, so that
+    rounding in results never meets a tie), end = start + value."""
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
     return (table(spark, sf, "events")
-            .select(F.floor(micros / DAY_MICROS).cast("long").alias("stream_id"),
+            .select(F.floor(millis / DAY_MILLIS).cast("long").alias("stream_id"),
                     F.col("event_id").alias("pos"), F.col("event_type").alias("speaker"),
-                    (F.pmod(micros, F.lit(DAY_MICROS)) / 1e6).alias("start"), "user_id", "value")
+                    (F.pmod(millis, F.lit(DAY_MILLIS)) / 1e3).alias("start"), "user_id", "value")
             .withColumn("end", F.col("start") + F.col("value")))
 
 
 SIGNALS = """
 signals AS (
   SELECT stream_id, pos, speaker, start, start + value AS "end", user_id, value
-  FROM (SELECT epoch_us(ts) // 86400000000 AS stream_id, event_id AS pos, event_type AS speaker,
-               (epoch_us(ts) % 86400000000) / 1e6 AS start, user_id, value FROM events))"""
+  FROM (SELECT epoch_us(ts) // 1000 // 86400000 AS stream_id, event_id AS pos, event_type AS speaker,
+               (epoch_us(ts) // 1000 % 86400000) / 1e3 AS start, user_id, value FROM events))"""
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,7 +121,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
             .select(F.col("o_custkey").alias("stream_id"), F.col("o_orderkey").alias("cand_id"),
                     ((day - 8000) * 60.0).alias("start"),
                     ((day - 8000) * 60.0 + 30 + F.floor(F.col("o_totalprice") / 100)).alias("end"),
-                    (F.col("o_totalprice") / 5000).alias("score"),
+                    (F.col("o_totalprice") / 4973).alias("score"),
                     F.col("o_orderstatus").alias("status"),
                     F.col("o_orderpriority").alias("priority")))
 
@@ -131,7 +132,7 @@ candidates AS (
          (CAST(o_orderdate AS DATE) - DATE '1970-01-01' - 8000) * 6e1 AS start,
          (CAST(o_orderdate AS DATE) - DATE '1970-01-01' - 8000) * 6e1 + 30
             + floor(o_totalprice / 100) AS "end",
-         o_totalprice / 5000 AS score, o_orderstatus AS status, o_orderpriority AS priority
+         o_totalprice / 4973e0 AS score, o_orderstatus AS status, o_orderpriority AS priority
   FROM orders)"""
 
 

@@ -161,13 +161,13 @@ def event_conversations(spark, sf):
 
 
 @query("seq3_conversations", CONVS + """
-SELECT stream_id, conv_no, dominant, round(start, 2) AS start, round("end", 2) AS "end", host_words,
-       guest_words, turn_count, array_to_string(guests, ',') AS guests, round("end" - start, 2) AS duration
+SELECT stream_id, conv_no, dominant, round(start, 4) AS start, round("end", 4) AS "end", host_words,
+       guest_words, turn_count, array_to_string(guests, ',') AS guests, round("end" - start, 4) AS duration
 FROM convs""")
 def seq3(spark, sf):
     out = event_conversations(spark, sf)
-    return (out.withColumn("guests", F.array_join("guests", ","))
-            .withColumn("start", R("start", 2)).withColumn("end", R("end", 2)))
+    out = out.withColumn("guests", F.array_join("guests", ","))
+    return out.withColumns({c: R(c, 4) for c in ("start", "end", "duration")})
 
 
 @query("agg6_guests_on_screen", f"""
@@ -214,12 +214,12 @@ def _guest_convs(spark, sf):
 
 @query("agg19_conversation_totals", CONVS + """
 SELECT stream_id, count(*) AS conversations, CAST(sum(host_words) AS DOUBLE) AS host_time,
-       CAST(sum(guest_words) AS DOUBLE) AS guest_time, round(sum(round("end" - start, 2)), 2) AS covered
+       CAST(sum(guest_words) AS DOUBLE) AS guest_time, round(sum("end" - start), 4) AS covered
 FROM convs GROUP BY stream_id""")
 def agg19(spark, sf):
     c = (event_conversations(spark, sf).withColumn("host_time", F.col("host_words").cast("double"))
          .withColumn("guest_time", F.col("guest_words").cast("double")))
-    return conv.conversation_totals(c).withColumn("covered", R("covered", 2))
+    return conv.conversation_totals(c).withColumn("covered", R("covered", 4))
 
 
 @query("seq4_person_timeline", f"""

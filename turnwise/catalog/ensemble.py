@@ -68,7 +68,7 @@ def scr14(spark, sf):
 
 @query("scr15_change_events", f"""
 WITH {SIGNALS}, {PASSES},
-cmp AS (SELECT stream_id, pos // 3 AS pair_no, start + 30 AS t, (user_id % 10) / 1e1 AS conf, user_id % 5 AS u,
+cmp AS (SELECT stream_id, pos // 3 AS pair_no, start + 30 AS t, (user_id % 10) / 10.3e0 AS conf, user_id % 5 AS u,
    CASE user_id % 4 WHEN 0 THEN 'New_Person' WHEN 1 THEN 'PERSON_LEFT' WHEN 2 THEN 'layout_change' ELSE 'NO_CHANGE' END AS kind
   FROM signals WHERE pos % 3 = 0 AND value > 2)
 SELECT c.stream_id, c.pair_no, round(t, 4) AS time, lower(kind) AS event_type,
@@ -82,7 +82,7 @@ def scr15(spark, sf):
     m = F.col("user_id") % 4
     cmp = signals(spark, sf).filter(F.col("pos") % 3 == 0).select(
         "stream_id", F.floor(F.col("pos") / 3).alias("pair_no"), (F.col("start") + 30).alias("later_time"),
-        (F.col("user_id") % 10 / 10).alias("confidence"), (F.col("value") > 2).alias("detected"),
+        (F.col("user_id") % 10 / 10.3).alias("confidence"), (F.col("value") > 2).alias("detected"),
         F.when(m == 0, "New_Person").when(m == 1, "PERSON_LEFT").when(m == 2, "layout_change").otherwise("NO_CHANGE").alias("change_type"),
         F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("Guest "), (F.col("user_id") % 5).cast("string"))).alias("who"))
     return ops.change_events(cmp, checks, keys=keys).withColumn("time", R("time", 4))
@@ -152,13 +152,13 @@ def scr18(spark, sf):
 
 
 CALIBRATED = """
-cal AS (SELECT stream_id, pos, (value % 10) / 10 AS raw, user_id % 5 AS n, (user_id % 11) / 1e1 AS a FROM signals),
+cal AS (SELECT stream_id, pos, (value % 10) / 10.07e0 AS raw, user_id % 5 AS n, (user_id % 11) / 1e1 AS a FROM signals),
 cal2 AS (SELECT *, raw * 0.85::DOUBLE + CASE WHEN n > 1 THEN least(0.1::DOUBLE, (n - 1) * 0.03::DOUBLE) ELSE 0 END AS v FROM cal),
 cal3 AS (SELECT *, greatest(0, least(1, CASE WHEN a >= 0.8 THEN least(1, v + 0.1::DOUBLE) WHEN a < 0.5 THEN greatest(0, v - 0.2::DOUBLE) ELSE v END)) AS c FROM cal2)"""
 
 
 def _calibrated(spark, sf):
-    value = ops.calibrate(F.col("value") % 10 / 10, F.col("user_id") % 5, F.col("user_id") % 11 / 10)
+    value = ops.calibrate(F.col("value") % 10 / 10.07, F.col("user_id") % 5, F.col("user_id") % 11 / 10)
     return signals(spark, sf).select("stream_id", "pos", value.alias("confidence"))
 
 

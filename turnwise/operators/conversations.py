@@ -100,7 +100,7 @@ def segment_conversations(turns: DataFrame, is_host: Column, *, half_window: flo
                         "guests": Agg("set", F.col("guests"))})
     merged = merged.withColumn("guests", F.array_sort(F.array_distinct(F.flatten("guests"))))
     return (running(merged, KEY, ["start"], block, sums={"conv_no": F.lit(1).cast("long")})
-            .withColumn("duration", F.round(F.col("end") - F.col("start"), 2)))
+            .withColumn("duration", F.col("end") - F.col("start")))
 
 
 def guests_on_screen(frames: DataFrame, *, interval: float, min_frames: int = 2,
