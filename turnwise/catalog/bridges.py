@@ -14,8 +14,18 @@ from turnwise.sources.chat import turns_from_chat, words_from_turns
 DAY_MILLIS = 86_400_000
 
 
+# Tables whose queries do their work row by row, before any shuffle.
+ROW_WORK = ("documents", "conversations", "events", "pages")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A test table. Small ones lie in one file, which one task reads: those are dealt out to the
+    cores. A table of many files already has a partition per split and is left as it is."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ROW_WORK and df.rdd.getNumPartitions() < min(cores, 8):
+        df = df.repartition(min(cores, 8))
+    return df
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from turnwise.catalog import query
 from turnwise.catalog.bridges import (CHAT_WORDS, FRAMES, SIGNALS, TURNS, chat_words, frames, signals,
-                                      turns)
+                                      table, turns)
 from turnwise.operators import turns as talk
 from turnwise.operators import windows as ops
 from turnwise.plans.bands import band_join
@@ -255,5 +255,5 @@ def top3(spark, sf):
 SELECT doc_id, CASE WHEN length(text) > 800 THEN left(text, 800) || chr(10) || '[... truncated ...]' ELSE text END AS text
 FROM documents""")
 def top4(spark, sf):
-    return (spark.read.parquet(f"{sf}/documents.parquet")
+    return (table(spark, sf, "documents")
             .select("doc_id", ops.budget_text(F.col("text"), 800).alias("text")))

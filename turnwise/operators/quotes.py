@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.text import normalize
 from turnwise.plans.blocks import around
+from turnwise.plans.cut import cut
 from turnwise.schema import KEY
 
 SHINGLE = 3
@@ -23,9 +24,14 @@ def _prepared(quotes: DataFrame) -> DataFrame:
             .withColumn("_parts", F.split("_q", " ")).withColumn("_n", F.size("_parts")))
 
 
-def _key_sizes(quotes: DataFrame) -> list[int]:
-    """Key lengths in use: one to three numbers, so texts are cut only into what is asked for."""
-    return sorted(r[0] for r in quotes.select("_size").distinct().collect()) or [SHINGLE]
+def _lengths(prepared: DataFrame) -> set[int]:
+    """Numbers of words in use, 5 standing for more: five values at most, so that texts are cut only
+    into what is asked for."""
+    return {r[0] for r in prepared.select(F.least("_n", F.lit(5))).distinct().collect()}
+
+
+def _key_sizes(lengths: set[int]) -> list[int]:
+    return sorted({n - 2 for n in lengths if n >= 3}) or [SHINGLE]
 
 
 def exact_anchors(quotes: DataFrame, words: DataFrame, *, block_rows: int = 50_000) -> DataFrame:
@@ -36,10 +42,11 @@ def exact_anchors(quotes: DataFrame, words: DataFrame, *, block_rows: int = 50_0
     found as whole words. Candidates meet on the inner words, the rest is compared afterwards.
     """
     q = _prepared(quotes)
+    lengths = _lengths(q)
     low = words.select(*KEY, "pos", F.lower("text").alias("_w"))
     near = around(low, KEY, "pos", {"_near": F.col("_w")}, after=SHINGLE, block_rows=block_rows)
     long_q = q.filter("_n >= 3").withColumn("_size", F.least(F.col("_n") - 2, F.lit(SHINGLE)))
-    keyed = near.withColumn("_size", F.explode(F.array(*[F.lit(i) for i in _key_sizes(long_q)]))) \
+    keyed = near.withColumn("_size", F.explode(F.array(*[F.lit(i) for i in _key_sizes(lengths)]))) \
         .filter(F.size("_near") > F.col("_size")) \
         .withColumn("_key", F.array_join(F.slice("_near", 2, F.col("_size")), " "))
     met = (keyed.select(*KEY, "pos", "_size", "_key", F.col("_w").alias("_first"))
@@ -59,6 +66,8 @@ def exact_anchors(quotes: DataFrame, words: DataFrame, *, block_rows: int = 50_0
                   F.first(F.col("_first") == F.col("_parts")[0]).alias("_clean"))
              .filter(F.col("_got") == F.col("_n"))
              .select(*KEY, "quote_id", F.when(F.col("_clean"), F.col("_at")).otherwise(F.col("_at") + 1).alias("pos")))
+    if min(lengths, default=3) >= 3:
+        return whole.groupBy(*KEY, "quote_id").agg(F.min("pos").alias("pos"))
     pair = around(low, KEY, "pos", {"_near": F.col("_w")}, after=1, block_rows=block_rows)
     short = (pair.select(*KEY, "pos", F.explode(F.array_distinct(F.array(
         F.col("_w"), F.array_join("_near", " ")))).alias("_q"))
@@ -109,7 +118,10 @@ def anchor_quotes(quotes: DataFrame, words: DataFrame) -> DataFrame:
     quotes: stream_id, quote_id, quote. Words are numbered from 0 without gaps (`pos`).
     """
     keys = [*KEY, "quote_id"]
+    # Both searches read the words several times; what made them is not run again.
+    words = cut(words.select(*KEY, "pos", "text", "start"))
     exact = exact_anchors(quotes, words).withColumn("how", F.lit("exact"))
+    exact = cut(exact)
     open_ = quotes.join(exact.select(*keys), keys, "left_anti")
     found = exact.unionByName(loose_anchors(open_, words).withColumn("how", F.lit("loose")))
     timed = found.join(words.select(*KEY, "pos", F.col("start").alias("time")), [*KEY, "pos"], "left")
@@ -126,13 +138,13 @@ def quotes_in_documents(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     parts = F.split(normalize(F.col("text")), " ")
     def grams(n: int) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice(F.col("_w"), i, n), " "))
-        found = F.when(F.size("_w") >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+        found = F.when(F.size("_w") >= n, runs).otherwise(F.array().cast("array<string>"))
         return F.transform(found, lambda g: F.struct(F.lit(n).alias("_size"), g.alias("_key")))
-    sizes = _key_sizes(q)
+    sizes = _key_sizes(_lengths(q))
     keys = (docs.select("doc_id", parts.alias("_w"))
             .select("doc_id", F.explode(F.flatten(F.array(*[grams(n) for n in sizes]))).alias("_k"))
             .select("doc_id", "_k.*"))
-    met = keys.join(q.select("item_id", "_size", "_key", "_q"), ["_size", "_key"]).select("doc_id", "item_id", "_q")
+    met = keys.join(q.select("item_id", "_size", "_key", "_q"), ["_size", "_key"]).select("doc_id", "item_id", "_q").distinct()
     return (met.join(docs.select("doc_id", normalize(F.col("text")).alias("_text")), "doc_id")
             .withColumn("offset", F.expr("locate(_q, _text)")).filter("offset > 0")
             .select("item_id", "doc_id", (F.col("offset") - 1).cast("long").alias("offset")))

@@ -45,11 +45,12 @@ def render_transcript(turns: DataFrame, *, part_turns: int = 10_000) -> DataFram
 
 
 def write_transcript(turns: DataFrame, path: str) -> None:
-    """Transcript files, a folder per stream. Lines are range-sorted, so a long stream fills several
-    files whose name order is its line order."""
+    """Transcript lines as text, each after its stream and a tab. Lines are range-sorted: the files in
+    name order hold all streams in order, a long stream fills several, and no stream costs a file."""
     flat = turns.withColumn("text", F.regexp_replace("text", r"\s+", " "))
+    line = F.concat(F.col("stream_id").cast("string"), F.lit("\t"), turn_line())
     (flat.repartitionByRange("stream_id", "idx").sortWithinPartitions("stream_id", "idx")
-     .select("stream_id", turn_line().alias("value")).write.mode("overwrite").partitionBy("stream_id").text(path))
+     .select(line.alias("value")).write.mode("overwrite").text(path))
 
 
 def clip_report(clips: DataFrame, segs: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def clip_report(clips: DataFrame, segs: DataFrame) -> DataFrame:
 
 def write_report(report: DataFrame, path: str) -> None:
     (report.repartitionByRange("stream_id", "rank").sortWithinPartitions("stream_id", "rank")
-     .select("stream_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("stream_id").text(path))
+     .write.mode("overwrite").json(path))
 
 
 def timeline(convs: DataFrame, topics: DataFrame, clips: DataFrame) -> DataFrame:

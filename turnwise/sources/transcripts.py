@@ -69,15 +69,17 @@ def parse_turn_lines(lines: DataFrame, order: list[str], block: Column) -> tuple
 
 
 def read_text_turns(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Readable transcripts -> (turns, rejected lines). Files lie under `stream_id=<n>` folders, or
-    the file name stands for the stream. Line order is kept: by split of the file, then by line."""
+    """Readable transcripts -> (turns, rejected lines). A line may carry its stream before a tab, as
+    `write_transcript` leaves it; else the file stands for the stream. Line order is kept: by file,
+    by split of the file, then by line."""
     lines = spark.read.text(path)
-    if "stream_id" not in lines.columns:
-        lines = lines.withColumn("stream_id", F.xxhash64(F.col("_metadata.file_path")))
-    lines = lines.select(F.col("stream_id").cast("long").alias("stream_id"), "value",
-                         F.col("_metadata.file_block_start").alias("_split"),
+    tag = F.regexp_extract("value", r"^(-?\d+)\t", 1)
+    lines = lines.select(F.coalesce(tag.try_cast("long"), F.xxhash64(F.col("_metadata.file_path"))).alias("stream_id"),
+                         F.regexp_replace("value", r"^-?\d+\t", "").alias("value"),
+                         F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
                          F.monotonically_increasing_id().alias("_line_no"))
-    return parse_turn_lines(lines, ["_split", "_line_no"], F.col("_split"))
+    block = F.struct("_file", "_split")
+    return parse_turn_lines(lines, ["_file", "_split", "_line_no"], block)
 
 
 def read_segments(spark: SparkSession, path: str | list[str], *, multi_line: bool = False) -> DataFrame:
