@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from turnwise.plans.asof import nearest
 from turnwise.plans.bands import band_join
-from turnwise.plans.blocks import Agg, by_time, neighbours, running, runs
+from turnwise.plans.blocks import Agg, around, balanced, by_time, neighbours, ranked, running, runs
 
 
 def _rows(seed, n=200, streams=3):
@@ -104,3 +104,45 @@ def test_nearest(spark):
         for s, pos, start, *_ in rows:
             best = min(((abs(o[2] - start), o[2], o[1]) for o in other if o[0] == s), default=None)
             assert got[pos] == ((best[2], best[0]) if best and best[0] <= 2 else None)
+
+
+def test_balanced_cuts_a_crowded_stream(spark):
+    # A third of all rows in one stream, most of them in its first minute.
+    rows = [(0, i, (i % 6000) / 100.0 if i % 10 else float(i)) for i in range(30_000)]
+    rows += [(1 + i % 600, i, float(i)) for i in range(60_000)]
+    df = spark.createDataFrame(rows, "s long, pos long, start double")
+    cut = balanced(df, ["s"], "start", rows=1000)
+    assert cut.count() == len(rows)
+    assert cut.groupBy("s", "_cut").count().agg(F.max("count")).first()[0] <= 1000 + 600
+    spans = cut.groupBy("s", "_cut").agg(F.min("start").alias("a"), F.max("start").alias("b")).collect()
+    by = {}
+    for r in spans:
+        by.setdefault(r.s, []).append((r._cut, r.a, r.b))
+    for parts in by.values():
+        parts.sort()
+        assert all(x[2] < y[1] for x, y in zip(parts, parts[1:]))
+
+
+def test_around_and_ranked(spark):
+    df = spark.range(40).selectExpr("id % 2 as s", "id div 2 as pos", "cast(id * 7 % 11 as double) as v")
+    got = around(df, ["s"], "pos", {"near": F.col("pos")}, before=2, after=1, block_rows=3)
+    for r in got.collect():
+        assert r.near == [p for p in range(r.pos - 2, r.pos + 2) if 0 <= p < 20]
+    assert got.count() == 40
+    rank = {(r.s, r.pos): r["rank"] for r in ranked(df, ["s"], -F.col("v"), ["pos"], 2.0).collect()}
+    rows = [(r.s, r.pos, r.v) for r in df.collect()]
+    for s in (0, 1):
+        for i, r in enumerate(sorted((r for r in rows if r[0] == s), key=lambda r: (-r[2], r[1]))):
+            assert rank[(r[0], r[1])] == i + 1
+
+
+def test_empty_input(spark):
+    df = _frame(spark, [])
+    right = df.selectExpr("s", "pos as rpos", "start as rs", "end as re")
+    block = by_time("start", 10)
+    assert neighbours(df, ["s"], ["start", "pos"], block, before={"p": F.col("end")}).count() == 0
+    assert running(df, ["s"], ["start", "pos"], block, sums={"n": F.lit(1)}).count() == 0
+    assert runs(df, ["s"], ["start", "pos"], block, look={"w": F.col("who")}, opens=lambda p, c: p["w"] != c["w"],
+                aggs={"n": Agg("count", F.lit(1))}).count() == 0
+    assert band_join(df, right, ["s"], 5, left_range=(F.col("start"), F.col("end")),
+                     right_range=(F.col("rs"), F.col("re"))).count() == 0

@@ -130,7 +130,7 @@ def seq7(spark, sf):
     ev = signals(spark, sf).select(
         "stream_id", "pos", F.col("start").alias("time"), (F.col("user_id") % 2).cast("string").alias("event_type"),
         F.element_at(words, (F.col("user_id") % 4 + 1).cast("int")).alias("description"), (F.col("value") % 10 / 10).alias("confidence"))
-    out = ops.merge_events(ev, within=1200.0, block_seconds=7200.0)
+    out = ops.merge_events(ev, within=1200.0)
     return out.select("stream_id", "pos", R("confidence", 6).alias("confidence"), "merged")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnwise.functions.text import word_count
 from turnwise.operators.windows import word_context
 from turnwise.plans.asof import nearest
-from turnwise.plans.blocks import around, by_position, by_time
+from turnwise.plans.blocks import around, by_position
 from turnwise.plans.folds import fold_kept
 from turnwise.schema import KEY
 
@@ -58,7 +58,7 @@ def match_cues(words: DataFrame, patterns: list[Pattern], *, span: int = 8,
             .select(*KEY, "pos", "start", "speaker", "_c.*")
             .withColumn("last_pos", F.col("pos") + word_count(F.col("phrase")) - 1))
     group = [*KEY, "pattern"]
-    kept = fold_kept(hits, group, ["pos"], by_position("pos", block_rows),
+    kept = fold_kept(hits, group, ["pos"], by_position("pos", block_rows // 10),
                      row={c: F.col(c) for c in ("pos", "start", "speaker", "cue_type", "base", "phrase",
                                                 "last_pos")},
                      absorbs=lambda k, c: c["pos"] <= k["last_pos"], merge=lambda k, c: {})
@@ -82,15 +82,14 @@ def detect_cues(words: DataFrame, patterns: list[Pattern], *, lone: list[str], c
     return word_context(words, cues, spot_id="cue_id", size=context)
 
 
-def dedup_cues(cues: DataFrame, *, apart: float = 5.0, block_seconds: float = 3600.0) -> DataFrame:
+def dedup_cues(cues: DataFrame, *, apart: float = 5.0) -> DataFrame:
     """Compare each cue with the last kept one: of two of one type less than `apart` seconds
     from each other the surer stays (on a tie the first)."""
     fields = [c for c in cues.columns if c not in KEY]
     def surer(kept: Column, cur: Column) -> dict[str, Column]:
         better = cur["confidence"] > kept["confidence"]
         return {f: F.when(better, cur[f]).otherwise(kept[f]) for f in fields}
-    return fold_kept(cues, KEY, ["start", "cue_id"], by_time("start", block_seconds),
-                     row={f: F.col(f) for f in fields},
+    return fold_kept(cues, KEY, ["start", "cue_id"], row={f: F.col(f) for f in fields},
                      absorbs=lambda k, c: (k["cue_type"] == c["cue_type"])
                      & (F.abs(c["start"] - k["start"]) < apart), merge=surer)
 

@@ -35,14 +35,13 @@ def drop_overlaps(clips: DataFrame, *, clip_id: str, score: str = "score", share
     return suppress(sane, keys or KEY, segments=segments, score=F.col(score), tie=clip_id, share=share, **tuning)
 
 
-def merge_events(events: DataFrame, *, within: float = 60.0, alike: float = 0.5,
-                 block_seconds: float = 3600.0) -> DataFrame:
+def merge_events(events: DataFrame, *, within: float = 60.0, alike: float = 0.5) -> DataFrame:
     """Melt an event into the last kept one if it has its type, starts at most `within` seconds
     after it and describes alike; the first one's time stays, the higher confidence counts."""
     rows = events.withColumn("_words", word_set(F.col("description"))).withColumn("merged", F.lit(1).cast("long"))
     fields = ["pos", "time", "event_type", "description", "confidence", "_words", "merged"]
     return fold_kept(
-        rows, KEY, ["time", "pos"], by_time("time", block_seconds), row={f: F.col(f) for f in fields},
+        rows, KEY, ["time", "pos"], row={f: F.col(f) for f in fields},
         absorbs=lambda k, c: (k["event_type"] == c["event_type"]) & (c["time"] - k["time"] <= within)
         & (overlap_coefficient(k["_words"], c["_words"]) >= alike),
         merge=lambda k, c: {"confidence": F.greatest(k["confidence"], c["confidence"]),

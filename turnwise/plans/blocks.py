@@ -26,6 +26,20 @@ def by_position(column: str, rows: int = 50_000) -> Column:
     return F.floor(F.col(column) / rows).cast("long")
 
 
+def balanced(df: DataFrame, keys: list[str], column: str, *, rows: int = 50_000,
+             cell: float = 1.0, name: str = "_cut") -> DataFrame:
+    """Add a block number that follows how crowded the time axis is: a block ends with the cell (of
+    `cell` units) in which it has collected `rows` rows. For streams whose rows bunch up, where
+    blocks of a fixed length would not be of a fixed size. Costs a count per cell and a join on it.
+    """
+    at = F.floor(F.col(column) / cell).cast("long")
+    counts = df.groupBy(*keys, at.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    # Cells of one stream are numbered block by block too: a long stream has many of them.
+    sums = running(counts, keys, ["_cell"], by_time("_cell", 10_000), sums={"_upto": F.col("_n")})
+    cuts = sums.select(*keys, "_cell", F.floor((F.col("_upto") - F.col("_n")) / rows).alias(name))
+    return df.withColumn("_cell", at).join(cuts, [*keys, "_cell"], "left").drop("_cell")
+
+
 def neighbours(df: DataFrame, keys: list[str], order: list[str], block: Column, *,
                before: dict[str, Column] | None = None,
                after: dict[str, Column] | None = None) -> DataFrame:

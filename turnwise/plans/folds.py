@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.plans.bands import band_join
-from turnwise.plans.blocks import BLOCK, by_time, running
+from turnwise.plans.blocks import BLOCK, balanced, by_time, running
 from turnwise.plans.cut import cut
 
 
-def fold_kept(df: DataFrame, keys: list[str], order: list[str], block: Column, *,
-              row: dict[str, Column], absorbs: Callable[[Column, Column], Column],
+def fold_kept(df: DataFrame, keys: list[str], order: list[str], block: Column | None = None, *,
+              rows_per_block: int = 1_000, row: dict[str, Column], absorbs: Callable[[Column, Column], Column],
               merge: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
     """Walk a stream in order, comparing each row with the last kept one.
 
@@ -25,9 +25,13 @@ def fold_kept(df: DataFrame, keys: list[str], order: list[str], block: Column, *
     not known at first, so blocks start from nothing and are folded again for as long as the
     row handed over changes. A block whose outcome does not depend on its entry settles at
     once, so there are as many rounds as the longest chain of blocks that do depend on it.
+    Without a `block` the stream is cut every `rows_per_block` rows, however they bunch up.
     """
     fields = list(row)
     body = F.struct(*[v.alias(k) for k, v in row.items()])
+    if block is None:
+        df = balanced(cut(df), keys, order[0], rows=rows_per_block)
+        block = F.col("_cut")
     cells = (df.withColumn(BLOCK, block)
              .groupBy(*keys, BLOCK)
              .agg(F.array_sort(F.collect_list(F.struct(*order, body.alias("_r")))).alias("_sorted"))
