@@ -44,7 +44,7 @@ f AS (SELECT *, CASE WHEN lag(user_id % 3) OVER w IS DISTINCT FROM user_id % 3 O
       FROM signals WINDOW w AS (PARTITION BY stream_id ORDER BY start, pos)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY stream_id ORDER BY start, pos) AS run FROM f)
 SELECT stream_id, CAST(any_value(user_id % 3) AS VARCHAR) AS speaker, round(min(start), 4) AS start,
-       round(max_by("end", pos), 4) AS "end", count(*) AS word_count
+       round(max_by("end", (start, pos)), 4) AS "end", count(*) AS word_count
 FROM g GROUP BY stream_id, run""")
 def seq1_events(spark, sf):
     words = signals(spark, sf).withColumn("speaker", (F.col("user_id") % 3).cast("string"))
