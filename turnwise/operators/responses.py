@@ -19,7 +19,12 @@ def json_part(text: Column) -> Column:
     braces = F.regexp_extract_all(text, F.lit(r"\{[\s\S]*\}"), F.lit(0))
     brackets = F.regexp_extract_all(text, F.lit(r"\[[\s\S]*\]"), F.lit(0))
     tries = F.concat(whole, fenced, braces, brackets)
-    return F.get(F.filter(tries, lambda t: F.try_parse_json(t).isNotNull() & (t != "")), 0)
+    # The parser stops at the end of a first value. Inside brackets, a text of more than one value
+    # shows: it makes a list of two.
+    def single(t: Column) -> Column:
+        listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))), "$", "array<variant>")
+        return F.size(listed) == 1
+    return F.get(F.filter(tries, single), 0)
 
 
 def parse_responses(answers: DataFrame, schema: str, *, text: str = "answer") -> tuple[DataFrame, DataFrame]:

@@ -102,7 +102,8 @@ def read_profile(spark: SparkSession, path: str, root: str) -> tuple[list[Criter
     one small document, so it ends up in the plan as literals."""
     schema = (f"{root} struct<duration:struct<min_seconds:double,max_seconds:double,sweet_spot_min:double,"
               "sweet_spot_max:double>,scoring_weights:map<string,struct<weight:double,dealbreaker_threshold:double>>>")
-    doc = spark.read.schema(schema).option("multiLine", True).json(path).select(f"{root}.*").first()
+    doc = (spark.read.schema(schema).option("multiLine", True).json(path)
+           .select(f"{root}.duration", F.map_entries(f"{root}.scoring_weights").alias("weights")).first())
     d = doc["duration"]
-    criteria = [Criterion(k, v["weight"], v["dealbreaker_threshold"]) for k, v in doc["scoring_weights"].items()]
+    criteria = [Criterion(e["key"], e["value"]["weight"], e["value"]["dealbreaker_threshold"]) for e in doc["weights"]]
     return criteria, Lengths(d["min_seconds"], d["max_seconds"], d["sweet_spot_min"], d["sweet_spot_max"])
