@@ -52,6 +52,8 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     rows = df.collect()
     took = time.time() - t0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     print(f"{name}: {len(rows)} rows, {took:.1f} s")
     if name not in ORACLES:
         assert rows

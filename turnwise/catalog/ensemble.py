@@ -179,9 +179,9 @@ def win12(spark, sf):
 
 @query("agg14_usage_cost", """
 SELECT user_id, count(*) AS calls, CAST(sum(event_id % 5000) AS BIGINT) AS input_tokens, CAST(sum(event_id % 700) AS BIGINT) AS output_tokens,
-  round(sum(event_id % 5000) / 1e6 * 3 + sum(event_id % 700) / 1e6 * 15, 4) AS cost
+  round(sum(event_id % 5000) / 1e6 * 3.137e0 + sum(event_id % 700) / 1e6 * 15.913e0, 4) AS cost
 FROM events GROUP BY ROLLUP (user_id)""")
 def agg14(spark, sf):
     usage = table(spark, sf, "events").select("user_id", (F.col("event_id") % 5000).alias("input_tokens"),
                                               (F.col("event_id") % 700).alias("output_tokens"))
-    return ops.usage_cost(usage, key="user_id", per_million_in=3.0, per_million_out=15.0)
+    return ops.usage_cost(usage, key="user_id", per_million_in=3.137, per_million_out=15.913)

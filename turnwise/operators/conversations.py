@@ -89,7 +89,7 @@ def segment_conversations(turns: DataFrame, is_host: Column, *, half_window: flo
                            "guest_words": Agg("sum", F.when(is_host, 0).otherwise(words)),
                            "turn_count": Agg("sum", F.when(is_host, 0).otherwise(1)),
                            "guests": Agg("set", F.when(~is_host, F.col("speaker")))})
-    kept = stretches.filter(F.col("end") - F.col("start") >= min_duration)
+    kept = cut(stretches.filter(F.col("end") - F.col("start") >= min_duration))
     merged = runs(kept, KEY, ["start"], block, look={"who": F.col("dominant")},
                   opens=lambda p, c: p["who"] != c["who"],
                   aggs={"dominant": Agg("first", F.col("dominant")), "start": Agg("first", F.col("start")),
@@ -99,7 +99,9 @@ def segment_conversations(turns: DataFrame, is_host: Column, *, half_window: flo
                         "turn_count": Agg("sum", F.col("turn_count")),
                         "guests": Agg("set", F.col("guests"))})
     merged = merged.withColumn("guests", F.array_sort(F.array_distinct(F.flatten("guests"))))
-    return (running(merged, KEY, ["start"], block, sums={"conv_no": F.lit(1).cast("long")})
+    # A conversation lasts at least `min_duration`, so a stream has a bounded number of them.
+    number = F.row_number().over(Window.partitionBy(*KEY).orderBy("start")).cast("long")
+    return (merged.withColumn("conv_no", number)
             .withColumn("duration", F.col("end") - F.col("start")))
 
 

@@ -9,7 +9,7 @@ from turnwise.plans.blocks import by_time, running
 
 
 def _merged(left: DataFrame, right: DataFrame, keys: list[str], left_time: Column,
-            right_time: Column, left_id: list[str], right_tie: list[str]) -> tuple:
+            right_time: Column, right_tie: list[str]) -> tuple[DataFrame, DataFrame]:
     hit = F.struct(right_time.alias("_t"), *[F.col(c) for c in right.columns if c not in keys])
     rows = right.select(*keys, right_time.cast("double").alias("_time"),
                         F.struct(*right_tie).alias("_tie"), hit.alias("_hit"))
@@ -28,22 +28,20 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], *, left_time: Col
 
     direction: "before", "after" or "both". `left_id` makes left rows of equal time distinct.
     """
-    points, asks = _merged(left, right, keys, left_time, right_time, left_id, right_tie)
+    points, asks = _merged(left, right, keys, left_time, right_time, right_tie)
     both = asks.unionByName(points, allowMissingColumns=True)
-    fill, fill_back = {}, {}
+    # Right rows sort before left rows of the same time, so an equal time is found looking back;
+    # looking ahead it is taken from there.
+    ahead = {} if direction == "before" else {"_next": F.col("_hit")}
+    both = running(both, keys, ["_time", "_side", *left_id], by_time("_time", block_seconds),
+                   fill={"_last": F.col("_hit")}, fill_back=ahead)
+    both = both.filter("_side = 1")
     if direction in ("before", "both"):
-        fill["found_before"] = F.col("_hit")
+        both = both.withColumn("found_before", F.col("_last"))
     if direction in ("after", "both"):
-        fill_back["found_after"] = F.col("_hit")
-    block = by_time("_time", block_seconds)
-    if fill:
-        both = running(both, keys, ["_time", "_side", *left_id], block, fill=fill)
-    if fill_back:
-        # Equal times must also match looking forward, so right rows sort last there.
-        both = (both.withColumn("_ahead", -F.col("_side")))
-        both = running(both, keys, ["_time", "_ahead", *left_id], block, fill_back=fill_back)
-        both = both.drop("_ahead")
-    return both.filter("_side = 1").drop("_side", "_time", "_hit")
+        both = both.withColumn("found_after", F.when(F.col("_last._t") == F.col("_time"), F.col("_last"))
+                               .otherwise(F.col("_next")))
+    return both.drop("_side", "_time", "_hit", "_last", "_next")
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], *, left_time: Column,
