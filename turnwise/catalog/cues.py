@@ -19,11 +19,11 @@ PATTERNS = [
 LONE = ["und", "die"]
 
 
-def _hits_sql():
+def hits_sql(patterns):
     parts = [f"""
   SELECT stream_id, '{p.name}' AS pattern, '{p.cue_type}' AS cue_type, CAST({p.base} AS DOUBLE) AS base, pos AS first_pos, start, speaker,
          regexp_extract(shingle, '{ops.anchored(p.regex)}', 1) AS phrase
-  FROM sh WHERE regexp_matches(shingle, '{ops.anchored(p.regex)}')""" for p in PATTERNS]
+  FROM sh WHERE regexp_matches(shingle, '{ops.anchored(p.regex)}')""" for p in patterns]
     return f"""{CHAT_WORDS},
 sh AS (SELECT *, string_agg(text, ' ') OVER (PARTITION BY stream_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS shingle FROM words),
 hits0 AS ({' UNION ALL '.join(parts)}),
@@ -41,7 +41,7 @@ hits AS (SELECT x.*, (x.last_pos + 1) * 3e-1 AS "end",
   FROM nth x JOIN walk w USING (stream_id, pattern, n) WHERE w.kept)"""
 
 
-HITS = _hits_sql()
+HITS = hits_sql(PATTERNS)
 
 
 def _cues(spark, sf):
@@ -156,7 +156,14 @@ def join7(spark, sf):
     return out
 
 
-@query("cue_report", None)
+@query("cue_report", f"""
+WITH RECURSIVE {HITS.replace('hits AS (', 'all_hits AS (')},
+hits AS (SELECT * FROM all_hits WHERE confidence >= 0.65), {DEDUP}
+SELECT c.stream_id, c.cue_id, c.cue_type, c.phrase, c.confidence,
+  coalesce(string_agg(w.text, ' ' ORDER BY w.pos) FILTER (WHERE w.pos < c.first_pos), '') AS context_before,
+  coalesce(string_agg(w.text, ' ' ORDER BY w.pos) FILTER (WHERE w.pos > c.last_pos), '') AS context_after
+FROM cues c JOIN words w ON w.stream_id = c.stream_id AND w.pos BETWEEN c.first_pos - 30 AND c.last_pos + 30 GROUP BY ALL""")
 def cue_report(spark, sf):
     """Cues as the detection job delivers them, context included."""
-    return ops.detect_cues(chat_words(spark, sf), PATTERNS, lone=LONE)
+    return (ops.detect_cues(chat_words(spark, sf), PATTERNS, lone=LONE, min_confidence=0.65)
+            .select("stream_id", "cue_id", "cue_type", "phrase", "confidence", "context_before", "context_after"))

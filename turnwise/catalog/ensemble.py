@@ -185,3 +185,16 @@ def agg14(spark, sf):
     usage = table(spark, sf, "events").select("user_id", (F.col("event_id") % 5000).alias("input_tokens"),
                                               (F.col("event_id") % 700).alias("output_tokens"))
     return ops.usage_cost(usage, key="user_id", per_million_in=3.137, per_million_out=15.913)
+
+
+@query("udf4_method_weights", f"""
+WITH {RANKS},
+wt AS (SELECT method, count(*) FILTER (WHERE rank = 1) * 1e0 AS weight FROM ranks WHERE method <> 'date' GROUP BY method),
+sized AS (SELECT r.*, count(*) OVER (PARTITION BY list_id, r.method) AS size, coalesce(weight, 1) AS weight FROM ranks r LEFT JOIN wt USING (method)),
+bor AS (SELECT list_id, item, sum((size - rank + 1) * weight) AS borda FROM sized GROUP BY ALL)
+SELECT list_id, item, borda, row_number() OVER (PARTITION BY list_id ORDER BY borda DESC, item) AS final_rank FROM bor""")
+def udf4(spark, sf):
+    """Weights as a table: a method counts as much as it has lists."""
+    ranks = _ranks(spark, sf)
+    weights = ranks.filter("rank = 1 and method <> 'date'").groupBy("method").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return ops.borda(ranks, weights, keys=["list_id"], width=10_000.0).select("list_id", "item", "borda", "final_rank")

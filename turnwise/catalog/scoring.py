@@ -203,16 +203,23 @@ def flt12(spark, sf):
     return out.withColumn("total_duration", R("total_duration", 2))
 
 
-@query("scr22_audit_trail", None)
+@query("scr22_audit_trail", SCORED + """
+, t AS (SELECT *, CASE WHEN NOT unscored AND finish < 3 THEN 'dealbreaker: finish' WHEN NOT unscored AND coalesce(hook, 5) < 2 THEN 'dealbreaker: hook'
+   WHEN NOT unscored AND clarity < 1 THEN 'dealbreaker: clarity' WHEN status = 'P' THEN 'mandatory requirements' END AS failure FROM s)
+SELECT cand_id, concat_ws(' > ', 'detect FOUND', 'score ' || CASE WHEN unscored THEN 'FALLBACK' ELSE 'SCORED' END,
+   CASE WHEN failure IS NULL THEN 'filter PASSED' ELSE 'filter REJECTED ' || failure END,
+   CASE WHEN failure IS NULL AND composite >= 65 THEN 'gate AUTO_PASS' END) AS trail FROM t""")
 def scr22(spark, sf):
     """Every candidate with the passes it went through."""
     c = _scored(spark, sf)
     failure = ops.first_failure(F.col("scores"), F.array().cast("array<string>"), F.col("status") != "P", PROFILE)
-    return c.withColumn("failure", failure).select("cand_id", ops.trail(
+    steps = c.withColumn("failure", failure).select("cand_id", ops.trail(
         ("detect", F.lit("FOUND"), {"preliminary": F.col("preliminary")}),
         ("score", F.when(F.col("scores").isNull(), "FALLBACK").otherwise("SCORED"), {"composite": R("composite", 1)}),
         ("filter", F.when(F.col("failure").isNull(), "PASSED").otherwise("REJECTED"), {"reason": F.col("failure")}),
         ("gate", F.when(F.col("failure").isNull() & (F.col("composite") >= 65), F.lit("AUTO_PASS")), {})).alias("trail"))
+    line = F.transform("trail", lambda e: F.concat_ws(" ", e["pass"], e["result"], e["details"]["reason"]))
+    return steps.select("cand_id", F.array_join(line, " > ").alias("trail"))
 
 
 # ---- segments of clips: lines of an order ------------------------------------------------------

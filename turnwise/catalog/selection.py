@@ -95,7 +95,18 @@ def seq6_half(spark, sf):
                              width=3000.0).select("grp", "cand_id")
 
 
-@query("seq6_drop_overlapping_parts", None)
+@query("seq6_drop_overlapping_parts", f"""
+WITH RECURSIVE {CANDIDATES},
+parts AS (SELECT *, [{{'s': start, 'e': "end"}}, {{'s': start + 2880 + "end" - start, 'e': start + 2880 + ("end" - start) * 1.5e0}}] AS segs FROM candidates),
+n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY score DESC, cand_id) AS k FROM parts),
+walk AS (
+  SELECT stream_id, k, segs AS kept, true AS stays FROM n WHERE k = 1
+  UNION ALL
+  SELECT stream_id, k, CASE WHEN hit THEN kept ELSE list_concat(kept, segs) END, NOT hit FROM (
+    SELECT x.stream_id, x.k, w.kept, x.segs, len(list_filter(w.kept, lambda o: least(o.e, x.segs[1].e) - greatest(o.s, x.segs[1].s) > (x.segs[1].e - x.segs[1].s) * 0.3
+       OR least(o.e, x.segs[2].e) - greatest(o.s, x.segs[2].s) > (x.segs[2].e - x.segs[2].s) * 0.3)) > 0 AS hit
+    FROM walk w JOIN n x ON x.stream_id = w.stream_id AND x.k = w.k + 1))
+SELECT stream_id, cand_id FROM n JOIN walk USING (stream_id, k) WHERE stays""")
 def seq6_parts(spark, sf):
     """Clips of two parts: order and, two days later, half of it again."""
     part = F.struct(F.col("start").alias("start"), F.col("end").alias("end"))

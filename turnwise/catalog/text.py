@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from turnwise.catalog import query
 from turnwise.catalog.bridges import SIGNALS, TURNS, signals, table, turns
-from turnwise.catalog.cues import LONE, PATTERNS
+from turnwise.catalog.bridges import chat_words
+from turnwise.catalog.cues import LONE, PATTERNS, hits_sql
 from turnwise.functions import clock, urls
 from turnwise.functions.text import normalize, word_count
 from turnwise.operators import cues
@@ -126,12 +127,15 @@ def udf1(spark, sf):
     return ensemble.majority(votes, keys=["user_id"], value="key", run="event_id").select("user_id", "winner")
 
 
-@query("udf2_own_patterns", None)
+OWN = [cues.Pattern("of_the", "exit", r"of\s+(?:the|that)", 0.6), cues.Pattern("with_or", "welcome", r"with|avec", 0.75)]
+
+
+@query("udf2_own_patterns", f"""
+WITH RECURSIVE {hits_sql(cues.merge_patterns(PATTERNS, OWN))}
+SELECT stream_id, pattern, cue_type, first_pos, phrase, confidence FROM hits""")
 def udf2(spark, sf):
     """A user's pattern replaces one of the known and adds another."""
-    from turnwise.catalog.bridges import chat_words
-    own = [cues.Pattern("of_the", "exit", r"of\s+(?:the|that)", 0.6), cues.Pattern("with_or", "welcome", r"with|avec", 0.75)]
-    hits = cues.match_cues(chat_words(spark, sf), cues.merge_patterns(PATTERNS, own))
+    hits = cues.match_cues(chat_words(spark, sf), cues.merge_patterns(PATTERNS, OWN))
     return hits.withColumn("confidence", cues.cue_confidence(F.col("phrase"), F.col("base"), LONE)).select(
         "stream_id", "pattern", "cue_type", "first_pos", "phrase", "confidence")
 

@@ -65,16 +65,22 @@ def change_events(comparisons: DataFrame, checks: DataFrame, *, keys: list[str])
                        F.round(base * 0.9, 3).alias("confidence"))
 
 
-def borda(ranks: DataFrame, weights: dict[str, float], *, keys: list[str], item: str = "item",
+def borda(ranks: DataFrame, weights: dict[str, float] | DataFrame, *, keys: list[str], item: str = "item",
           width: float = 1.0) -> DataFrame:
     """Weighted Borda count over ranks 1, 2, ... per method: score, rank by score, map of ranks.
 
-    ranks: keys, method, item, rank. Methods without a weight count 1. `width` is the score range
+    ranks: keys, method, item, rank. Weights are a dict or a table (method, weight); methods without
+    one count 1. `width` is the score range
     numbered in one go when a list is long.
     """
     sizes = ranks.groupBy(*keys, "method").agg(F.count(F.lit(1)).alias("_size"))
-    weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-                                         if weights else F.create_map().cast("map<string,double>"), F.col("method")), F.lit(1.0))
+    if isinstance(weights, DataFrame):
+        sizes = sizes.join(weights.select("method", F.col("weight").alias("_weight")), "method", "left")
+        weight = F.coalesce("_weight", F.lit(1.0))
+    else:
+        weight = F.lit(1.0)
+        for method, value in weights.items():
+            weight = F.when(F.col("method") == method, value).otherwise(weight)
     points = (F.col("_size") - F.col("rank") + 1) * weight
     scored = (ranks.join(sizes, [*keys, "method"]).groupBy(*keys, item)
               .agg(F.sum(points).alias("borda"), F.var_pop("rank").alias("_var"), F.count(F.lit(1)).alias("_n"),
