@@ -263,3 +263,24 @@ def test_natural_ends(spark):
                 b = a + 60
             b = min(b, words[-1][4])
         assert got[i] == (round(a, 6), round(b, 6))
+
+
+def test_quotes_in_documents_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "The cat  sat on\nthe mat."), (2, "a scat saturday"), (3, "")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "cat"), (2, "the mat."), (3, "HE cat sat o"), (4, "cat sat"), (5, ""), (6, "cat sat on the ma")],
+                                   "item_id long, text string")
+    got = sorted(map(tuple, quote_ops.quotes_in_documents(quotes, docs).collect()))
+    assert got == [(1, 1, 4), (2, 1, 15), (3, 1, 1), (4, 1, 4), (6, 1, 4)]
+
+
+def test_trim_falls_back(spark):
+    cands = spark.createDataFrame([(1, 1, 1, 0.0, 40.0, "a", 8.0), (1, 2, 1, 0.0, 40.0, "a", 8.0), (1, 3, 1, 0.0, 9.0, "a", None),
+                                   (1, 4, 1, 5.0, 60.0, "a", 6.0), (1, 4, 2, 90.0, 95.0, "b", 6.0)],
+                                  "stream_id long, c long, seg_no long, start double, end double, purpose string, preliminary double")
+    answers = spark.createDataFrame([(1, 1, "reject", None), (1, 2, None, 7.04)], "stream_id long, c long, verdict string, final_score double")
+    segs = spark.createDataFrame([(1, 2, 1, 0.0, 20.0, "x"), (1, 2, 2, 39.0, 60.0, "loud"), (1, 2, 3, 90.0, 120.0, "y")],
+                                 "stream_id long, c long, seg_no long, start double, end double, purpose string")
+    got = scoring.trim(cands, answers, segs, cand_id="c", overriding=["loud"]).orderBy("c", "seg_no").collect()
+    assert [tuple(r)[1:] for r in got] == [
+        (2, 1, 0.0, 60.0, "loud", 60.0, "composite", 7.0), (2, 3, 90.0, 120.0, "y", 30.0, "composite", 7.0),
+        (3, 1, 0.0, 30.0, "full_clip", 30.0, "continuous", 3.5), (4, 1, 5.0, 60.0, "a", 55.0, "continuous", 4.2)]

@@ -271,7 +271,10 @@ FROM csegs WHERE stream_id % 4 = 0 AND "end" - start >= 15
 UNION ALL
 SELECT stream_id, seg_no, start, "end", purpose, round("end" - start, 2), 'continuous', round((stream_id % 10) * 0.7e0, 1)
 FROM csegs c WHERE stream_id % 4 IN (2, 3) AND "end" - start >= 15
- AND NOT EXISTS (SELECT 1 FROM answered a WHERE a.stream_id = c.stream_id AND a."end" - a.start >= 15)""")
+ AND NOT EXISTS (SELECT 1 FROM answered a WHERE a.stream_id = c.stream_id AND a."end" - a.start >= 15)
+UNION ALL
+SELECT stream_id, min(seg_no), 0, 30, 'full_clip', 30, 'continuous', round((stream_id % 10) * 0.7e0, 1)
+FROM csegs WHERE stream_id % 4 <> 1 GROUP BY stream_id HAVING max("end" - start) < 15""")
 def scr10(spark, sf):
     segs = _clip_segments(spark, sf)
     cands = segs.withColumn("preliminary", (F.col("stream_id") % 10).cast("double"))

@@ -31,7 +31,7 @@ def _lengths(prepared: DataFrame) -> set[int]:
 
 
 def _key_sizes(lengths: set[int]) -> list[int]:
-    return sorted({n - 2 for n in lengths if n >= 3}) or [SHINGLE]
+    return sorted({n - 2 if n >= 3 else n for n in lengths}) or [SHINGLE]
 
 
 def exact_anchors(quotes: DataFrame, words: DataFrame, *, block_rows: int = 50_000) -> DataFrame:
@@ -43,10 +43,11 @@ def exact_anchors(quotes: DataFrame, words: DataFrame, *, block_rows: int = 50_0
     """
     q = _prepared(quotes)
     lengths = _lengths(q)
+    inner_sizes = _key_sizes({n for n in lengths if n >= 3})
     low = words.select(*KEY, "pos", F.lower("text").alias("_w"))
     near = around(low, KEY, "pos", {"_near": F.col("_w")}, after=SHINGLE, block_rows=block_rows)
     long_q = q.filter("_n >= 3").withColumn("_size", F.least(F.col("_n") - 2, F.lit(SHINGLE)))
-    keyed = near.withColumn("_size", F.explode(F.array(*[F.lit(i) for i in _key_sizes(lengths)]))) \
+    keyed = near.withColumn("_size", F.explode(F.array(*[F.lit(i) for i in inner_sizes]))) \
         .filter(F.size("_near") > F.col("_size")) \
         .withColumn("_key", F.array_join(F.slice("_near", 2, F.col("_size")), " "))
     met = (keyed.select(*KEY, "pos", "_size", "_key", F.col("_w").alias("_first"))
@@ -75,8 +76,7 @@ def exact_anchors(quotes: DataFrame, words: DataFrame, *, block_rows: int = 50_0
     return whole.unionByName(short).groupBy(*KEY, "quote_id").agg(F.min("pos").alias("pos"))
 
 
-def loose_anchors(quotes: DataFrame, words: DataFrame, *, span: int = 5,
-                  block_rows: int = 50_000) -> DataFrame:
+def loose_anchors(quotes: DataFrame, words: DataFrame, *, span: int = 5) -> DataFrame:
     """First stretch of `span` words that contains the first and the last word of a quote (of three
     words and more), both also inside longer words.
 
@@ -92,21 +92,23 @@ def loose_anchors(quotes: DataFrame, words: DataFrame, *, span: int = 5,
         cuts = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("_w"), i, F.lit(n)))
         return F.when(size >= n, cuts).otherwise(F.array().cast("array<string>"))
     grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in (1, 2, 3)])))
-    hits = (low.select(*KEY, "pos", "_w", F.explode(grams).alias("_gram"))
-            .join(terms, [*KEY, "_gram"]).filter(F.col("_w").contains(F.col("_term")))
-            .select(*KEY, "_term", "pos"))
+    # Only the vocabulary of a stream is taken apart; its words then lead to their places.
+    vocabulary = (low.select(*KEY, "_w").distinct().select(*KEY, "_w", F.explode(grams).alias("_gram"))
+                  .join(terms, [*KEY, "_gram"]).filter(F.col("_w").contains(F.col("_term")))
+                  .select(*KEY, "_term", "_w"))
+    hits = cut(low.join(vocabulary, [*KEY, "_w"]).select(*KEY, "_term", "pos"))
     counts = hits.groupBy(*KEY, "_term").agg(F.count(F.lit(1)).alias("_c"))
     both = (q.join(counts.withColumnsRenamed({"_term": "_a", "_c": "_ca"}), [*KEY, "_a"])
             .join(counts.withColumnsRenamed({"_term": "_b", "_c": "_cb"}), [*KEY, "_b"])
             .withColumn("_term", F.when(F.col("_ca") <= F.col("_cb"), F.col("_a")).otherwise(F.col("_b")))
             .withColumn("_other", F.when(F.col("_ca") <= F.col("_cb"), F.col("_b")).otherwise(F.col("_a"))))
     leads = both.select(*KEY, "quote_id", "_term", "_other").join(hits, [*KEY, "_term"])
-    near = around(low, KEY, "pos", {"_near": F.struct("pos", "_w")}, before=span - 1, after=span - 1,
-                  block_rows=block_rows).select(*KEY, "pos", "_near")
-    found = leads.join(near, [*KEY, "pos"])
-    starts = F.transform(F.filter("_near", lambda x: x["_w"].contains(F.col("_other"))),
-                         lambda x: F.greatest(F.lit(0), F.greatest(F.col("pos"), x["pos"]) - (span - 1)))
-    return (found.withColumn("_at", F.array_min(starts)).filter(F.col("_at").isNotNull())
+    # The other word must lie within the same stretch: look it up at the places around the lead.
+    reach = span - 1
+    asked = leads.select(*KEY, "quote_id", F.col("_other").alias("_term"), F.col("pos").alias("_lead"),
+                         F.explode(F.sequence(F.greatest(F.col("pos") - reach, F.lit(0)), F.col("pos") + reach)).alias("pos"))
+    first = F.greatest(F.lit(0), F.greatest("_lead", "pos") - reach)
+    return (asked.join(hits, [*KEY, "_term", "pos"]).withColumn("_at", first)
             .groupBy(*KEY, "quote_id").agg(F.min("_at").alias("pos"))
             .join(words.groupBy(*KEY).agg(F.max("pos").alias("_last")), KEY)
             .filter(F.col("pos") <= F.col("_last") - 2).drop("_last"))
@@ -129,12 +131,14 @@ def anchor_quotes(quotes: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def quotes_in_documents(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """All documents a quote (three words and more) occurs in: item_id, doc_id, offset in the
-    normalized text. Shingles are made inside each row, so texts are not shuffled; only documents
-    that share an inner shingle with a quote are read again to compare the whole text."""
-    q = (_prepared(quotes.withColumnRenamed("text", "quote")).filter("_n >= 3")
-         .withColumn("_size", F.least(F.col("_n") - 2, F.lit(SHINGLE)))
-         .withColumn("_key", _inner(F.col("_parts"))))
+    """All documents a quote occurs in: item_id, doc_id, offset in the normalized text. Quotes of
+    one or two words are found as whole words. Shingles are made inside each row, so texts are not
+    shuffled; only documents that share a key shingle with a quote are read again to compare the
+    whole text."""
+    long = F.col("_n") >= 3
+    q = (_prepared(quotes.withColumnRenamed("text", "quote")).filter("_q <> ''")
+         .withColumn("_size", F.when(long, F.least(F.col("_n") - 2, F.lit(SHINGLE))).otherwise(F.col("_n")))
+         .withColumn("_key", F.when(long, _inner(F.col("_parts"))).otherwise(F.col("_q"))))
     parts = F.split(normalize(F.col("text")), " ")
     def grams(n: int) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice(F.col("_w"), i, n), " "))

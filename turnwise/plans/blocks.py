@@ -203,15 +203,14 @@ def runs(df: DataFrame, keys: list[str], order: list[str], block: Column, *,
     parts = (df.withColumn(BLOCK, block)
              .withColumn("_view", view)
              .withColumn("_prev", F.lag("_view").over(inner))
+             .withColumn("_ends", F.lead(F.lit(1)).over(inner).isNull())
              .withColumn("_new", F.when(F.col("_prev").isNull() | opened, 1).otherwise(0))
              .withColumn("_run", F.sum("_new").over(
                  inner.rowsBetween(Window.unboundedPreceding, 0)))
              .groupBy(*keys, BLOCK, "_run")
              .agg(F.min_by("_view", at).alias("_head"), F.max_by("_view", at).alias("_tail"),
-                  *[a.over_rows(order).alias(n) for n, a in aggs.items()]))
-    per_block = Window.partitionBy(*keys, BLOCK)
-    parts = parts.withColumn("_edge", (F.col("_run") == 1)
-                             | (F.col("_run") == F.max("_run").over(per_block)))
+                  F.max("_ends").alias("_ends"), *[a.over_rows(order).alias(n) for n, a in aggs.items()]))
+    parts = parts.withColumn("_edge", (F.col("_run") == 1) | F.col("_ends"))
     chain = Window.partitionBy(*keys).orderBy(BLOCK, "_run")
     joins = ((F.col("_run") == 1) & F.col("_before").isNotNull()
              & ~F.coalesce(opens(F.col("_before"), F.col("_head")), F.lit(True)))
