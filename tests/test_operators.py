@@ -284,3 +284,14 @@ def test_trim_falls_back(spark):
     assert [tuple(r)[1:] for r in got] == [
         (2, 1, 0.0, 60.0, "loud", 60.0, "composite", 7.0), (2, 3, 90.0, 120.0, "y", 30.0, "composite", 7.0),
         (3, 1, 0.0, 30.0, "full_clip", 30.0, "continuous", 3.5), (4, 1, 5.0, 60.0, "a", 55.0, "continuous", 4.2)]
+
+
+def test_talk_time_within(spark):
+    segs = spark.createDataFrame([(1, 0, "A", 0.0, 10.0), (1, 1, "B", 5.0, 20.0), (1, 2, "A", 9.0, 9.0), (1, 3, "A", 30.0, 25.0),
+                                  (1, 4, "A", 100.0, 400.0), (2, 0, "A", 0.0, 50.0)], SEG)
+    spans = spark.createDataFrame([(1, 0, 0.0, 20.0), (1, 1, 10.0, 10.0), (1, 2, 8.0, 9.5), (1, 3, 20.0, 30.0), (1, 4, 150.0, 350.0),
+                                   (3, 5, 0.0, 9.0)], "stream_id long, i long, start double, end double")
+    for width in (7.0, 1000.0):
+        out = speakers.talk_time_within(spans, segs, interval_id="i", label=F.col("seg_speaker"), labels=["A", "B"], block_seconds=width)
+        got = {r.i: (round(r.A_time, 6), round(r.B_time, 6)) for r in out.collect()}
+        assert got == {0: (10.0, 15.0), 1: (0.0, 0.0), 2: (1.5, 1.5), 3: (0.0, 0.0), 4: (200.0, 0.0), 5: (0.0, 0.0)}

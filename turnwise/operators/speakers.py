@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.plans.bands import band_join
-from turnwise.plans.blocks import by_time, neighbours
+from turnwise.plans.blocks import by_time, neighbours, running
 from turnwise.schema import KEY
 
 
@@ -46,18 +46,31 @@ def speaker_at(points: DataFrame, segs: DataFrame, *, point_id: str, time: str,
 
 def talk_time_within(intervals: DataFrame, segs: DataFrame, *, interval_id: str, label: Column,
                      labels: list[str], lo: str = "start", hi: str = "end",
-                     width: float = 600.0) -> DataFrame:
-    """Seconds each label talks inside an interval, segments clipped at its ends."""
-    i = intervals.select(*KEY, F.col(interval_id), F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
-    clipped = F.least("_hi", "seg_end") - F.greatest("_lo", "seg_start")
-    sums = (band_join(i, segs.withColumn("_label", label), KEY, width,
-                      left_range=(F.col("_lo"), F.col("_hi")),
-                      right_range=(F.col("seg_start"), F.col("seg_end")), condition=clipped > 0)
-            .groupBy(*KEY, interval_id)
-            .agg(*[F.sum(F.when(F.col("_label") == v, clipped).otherwise(0.0)).alias(f"{v}_time")
-                   for v in labels]))
-    out = intervals.join(sums, [*KEY, interval_id], "left")
-    return out.fillna(0.0, [f"{v}_time" for v in labels])
+                     block_seconds: float = 3600.0) -> DataFrame:
+    """Seconds each label talks inside an interval, segments clipped at its ends.
+
+    What was said up to a time t is t * n - s, n the segments begun less those ended by then, s the
+    sum of their starts less that of their ends. So two running totals over the marks of a stream
+    answer every interval at its two ends: linear, and no pairs of interval and segment are formed.
+    """
+    marks = (segs.filter(F.col("seg_end") > F.col("seg_start"))
+             .select(*KEY, label.alias("_label"), F.col("seg_pos").cast("long").alias("_id"), F.inline(F.array(
+                 F.struct(F.col("seg_start").alias("_t"), F.lit(1.0).alias("_sign")),
+                 F.struct(F.col("seg_end").alias("_t"), F.lit(-1.0).alias("_sign")))))
+             .withColumn("_ask", F.lit(0)))
+    asks = (intervals.select(*KEY, F.col(interval_id).cast("long").alias("_id"), F.inline(F.array(
+        F.struct(F.col(lo).cast("double").alias("_t"), F.lit(-1.0).alias("_sign")),
+        F.struct(F.col(hi).cast("double").alias("_t"), F.lit(1.0).alias("_sign")))))
+        .withColumns({"_ask": F.lit(1), "_label": F.lit(None).cast("string")}))
+    sums = {}
+    for i, v in enumerate(labels):
+        sums[f"_n{i}"] = F.when(F.col("_label") == v, F.col("_sign")).otherwise(0.0)
+        sums[f"_s{i}"] = F.when(F.col("_label") == v, F.col("_sign") * F.col("_t")).otherwise(0.0)
+    said = running(marks.unionByName(asks), KEY, ["_t", "_ask", "_id", "_sign"], by_time("_t", block_seconds), sums=sums)
+    totals = said.filter("_ask = 1").groupBy(*KEY, F.col("_id").alias(interval_id)).agg(*[
+        F.greatest(F.lit(0.0), F.sum(F.col("_sign") * (F.col("_t") * F.col(f"_n{i}") - F.col(f"_s{i}")))).alias(f"{v}_time")
+        for i, v in enumerate(labels)])
+    return intervals.join(totals, [*KEY, interval_id], "left").fillna(0.0, [f"{v}_time" for v in labels])
 
 
 def name_speakers(rows: DataFrame, names: DataFrame) -> DataFrame:
