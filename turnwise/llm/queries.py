@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import fingerprints, mixing, sharding, urls
+from turnwise.llm import bpe, chunks, fingerprints, mixing, sharding, unigram, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,31 @@ def op6(spark, sf):
 def op10(spark, sf):
     """Every document's shard of 16, its place there, and its shard of 17."""
     return sharding.assign_shards(documents(spark, sf), TREE)
+
+
+@query("op4_bpe")
+def op4(spark, sf):
+    """Ids of every document under a public byte-level tokenizer, and the text they give back."""
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.encode(documents(spark, sf), path).withColumn("decoded", bpe.decode(F.col("ids"), path))
+    return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op5_token_counts")
+def op5(spark, sf):
+    """Pieces of every document under a unigram vocabulary."""
+    import public_tokenizers
+    return unigram.count_tokens(documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op8_exact_dedup", r"""
+WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
+       sha256(t) AS text_sha256
+FROM texts WINDOW w AS (PARTITION BY t)""")
+def op8(spark, sf):
+    """Equal texts of the documents."""
+    return chunks.duplicates(documents(spark, sf))
