@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import bpe, chunks, fingerprints, mixing, sharding, unigram, urls
+from turnwise.llm import bpe, chunks, fingerprints, html, language, mixing, sharding, unigram, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,21 @@ FROM texts WINDOW w AS (PARTITION BY t)""")
 def op8(spark, sf):
     """Equal texts of the documents."""
     return chunks.duplicates(documents(spark, sf))
+
+
+@query("op7_language")
+def op7(spark, sf):
+    """Language of every page, from its text, its html tag, its address and its host."""
+    model = language.train(documents(spark, sf))
+    rows = pages(spark, sf)
+    host = urls.host_of(F.col("url"))
+    tag = F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)
+    rows = rows.select("page_id", F.col("html").alias("text"), host.alias("host"),
+                       F.regexp_extract(host, r"\.([a-z]+)(:[0-9]*)?$", 1).alias("suffix"), F.lower(tag).alias("declared"))
+    return language.identify(rows, model, markup=True)
+
+
+@query("op2_html_extraction")
+def op2(spark, sf):
+    """Main text of every page."""
+    return html.extract(pages(spark, sf)).withColumn("n_chars", F.char_length("text").cast("long"))
