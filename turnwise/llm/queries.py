@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import bpe, chunks, fingerprints, html, language, mixing, sharding, unigram, urls
+from turnwise.llm import bpe, chunks, fingerprints, html, jaccard, language, mixing, sharding, unigram, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,9 @@ def op7(spark, sf):
 def op2(spark, sf):
     """Main text of every page."""
     return html.extract(pages(spark, sf)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op9_ngram_jaccard")
+def op9(spark, sf):
+    """Groups of near copies among the documents."""
+    return jaccard.near_groups(documents(spark, sf))
