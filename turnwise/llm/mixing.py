@@ -11,6 +11,9 @@ from pyspark.sql import Window
 from turnwise.llm.tables import WORD, columns, unit
 from turnwise.plans.cut import cut
 
+#: Sources of a plan that may be broadcast.
+PLAN_ROWS = 200_000
+
 
 def numbered(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
     """`df` with its place in `order`, counted from 0 range by range, so no task sorts the whole table."""
@@ -45,42 +48,85 @@ def water_fill(sources: DataFrame, share: float, epochs: float) -> DataFrame:
     return sources.withColumn("target", F.when(full | F.lit(not row.weights), cap).otherwise(F.col("weight") * level))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, epochs: float = 2.0,
-        seed: int = 7, block_rows: int = 4096) -> DataFrame:
-    """How often the mix takes every row of `docs` (doc_id, source, text).
+def drawn(doc_id: Column, seed: int) -> Column:
+    """The seeded place of a document, above 0 and below 1."""
+    return unit(F.xxhash64(F.lit(seed), doc_id))
 
-    The size of a row is its number of words (null: 0). Sources in code point order, null last, weigh `weights`,
-    repeating. A source with target t and size s gives every row floor(t / s) times, and once more the rows that come
-    first in a seeded order until the rest of t is filled; the row on the edge counts if its middle is inside, so a
-    source misses its target by half a row at most. No row is taken more than `epochs` times.
 
-    Returns one row per row: doc_id, size, source_size, target (its source's), taken (words, repeats counted), times.
-    The order is a hash of seed and doc_id, so reruns agree; repeated rows stand beside each other in it. Running
-    sums are made in hash ranges of a source, so a source of any size is spread over tasks. An empty table gives no
-    rows; a source without words has target 0.
+def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, epochs: float = 2.0,
+                seed: int = 7, block_rows: int = 4096) -> DataFrame:
+    """What to take of each source of `docs` (doc_id, source, size): source, source_size, target, whole, edge, added.
+
+    A source with target t and size s gives every row whole = floor(t / s) times, and once more the rows drawn at or
+    below `edge`, which in seeded order fill the rest of t as far as whole rows fit, and the row drawn at `added`, the
+    one of the others whose size comes nearest to what is left. Sums run in hash ranges of a source, so a source of
+    any size is spread over tasks.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = cut(columns(docs, doc_id="bigint", source="string", text="string").select(
-        "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        unit(F.xxhash64(F.lit(seed), "doc_id")).alias("draw")))
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = numbered(sources, F.col("source").asc_nulls_last())
     sources = sources.withColumn("weight", F.element_at(
         F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int")))
-    sources = cut(water_fill(cut(sources), share, epochs))
-    blocks = max(1, math.ceil(rows.count() / block_rows))
-    rows = rows.withColumn("block", F.floor(F.col("draw") * blocks))
-    # null is a source as well: joins compare it as one
-    named = lambda df: df.withColumn("named", F.col("source").isNotNull()).withColumn("source", F.coalesce("source", F.lit("")))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    sources = cut(null_safe(water_fill(cut(sources), share, epochs).withColumn("whole", whole))
+                  .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+                  .select("source", "named", "source_size", "target", "whole", "rest"))
+    blocks = max(1, math.ceil(docs.count() / block_rows))
+    rows = null_safe(docs).withColumn("draw", drawn(F.col("doc_id"), seed)).withColumn("block", F.floor(F.col("draw") * blocks))
     before = Window.partitionBy("source", "named").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    spans = (named(rows).groupBy("source", "named", "block").agg(F.sum("size").alias("words"))
+    spans = (rows.groupBy("source", "named", "block").agg(F.sum("size").alias("words"))
              .withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)))
-             .join(named(sources), ["source", "named"]).select("source", "named", "block", "start", "source_size", "target"))
-    within = Window.partitionBy("source", "named", "block").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.col("target") - F.col("whole") * F.col("source_size")
-    middle = F.col("start") + F.col("upto") - F.col("size") / 2
-    return (named(rows).withColumn("upto", F.sum("size").over(within)).join(spans, ["source", "named", "block"])
-            .withColumn("whole", whole)
-            .withColumn("times", F.col("whole") + F.when((F.col("size") > 0) & (middle < rest), 1).otherwise(0))
-            .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times"))
+             .join(sources, ["source", "named"]).select("source", "named", "block", "start", "rest"))
+    within = (Window.partitionBy("source", "named", "block").orderBy("draw", "doc_id", "size")
+              .rowsBetween(Window.unboundedPreceding, 0))
+    edges = (rows.withColumn("upto", F.sum("size").over(within)).join(spans, ["source", "named", "block"])
+             .filter(F.col("start") + F.col("upto") <= F.col("rest"))
+             .groupBy("source", "named").agg(F.max("draw").alias("edge"), F.sum("size").alias("filled")))
+    plan = cut(sources.join(edges, ["source", "named"], "left").withColumn("edge", F.coalesce("edge", F.lit(0.0)))
+               .withColumn("gap", F.col("rest") - F.coalesce("filled", F.lit(0))))
+    off = F.abs(F.col("gap") - F.col("size"))
+    best = (rows.join(bounded(plan.filter("gap > 0")), ["source", "named"])
+            .filter((F.col("draw") > F.col("edge")) & (off < F.col("gap")))
+            .groupBy("source", "named").agg(F.min(F.struct(off.alias("off"), "draw"))["draw"].alias("added")))
+    return cut(plan.join(best, ["source", "named"], "left")
+               .select("source", "named", "source_size", "target", "whole", "edge", "added"))
+
+
+def bounded(plan: DataFrame) -> DataFrame:
+    """A plan, marked for broadcast if it has been counted and has no more than PLAN_ROWS sources."""
+    return F.broadcast(plan) if plan.count() <= PLAN_ROWS else plan
+
+
+def null_safe(df: DataFrame) -> DataFrame:
+    """`df` with null sources made a source of their own that joins can compare: empty and not `named`."""
+    return df.withColumn("named", F.col("source").isNotNull()).withColumn("source", F.coalesce("source", F.lit("")))
+
+
+def times_taken(docs: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
+    """`docs` (doc_id, source and others) with source_size, target and times."""
+    draw = drawn(F.col("doc_id"), seed)
+    extra = ((draw <= F.col("edge")) | F.coalesce(draw == F.col("added"), F.lit(False))).cast("long")
+    kept = [c for c in docs.columns if c != "source"]
+    return (null_safe(docs).join(bounded(plan), ["source", "named"])
+            .select(*kept, F.when(F.col("named"), F.col("source")).alias("source"), "source_size", "target",
+                    (F.col("whole") + extra).cast("long").alias("times")))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source and size, the number of words of the text (null: 0)."""
+    text = F.coalesce("text", F.lit(""))
+    return columns(docs, doc_id="bigint", source="string", text="string").select(
+        "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, epochs: float = 2.0,
+        seed: int = 7) -> DataFrame:
+    """How often the mix takes every row of `docs` (doc_id, source, text).
+
+    Sources in code point order, null last, weigh `weights`, repeating, and share `share` of all words up to `epochs`
+    times their own. Returns one row per row: doc_id, size, source_size, target (its source's), taken (words, repeats
+    counted), times. The draw is a hash of seed and doc_id, so reruns agree and rows that repeat a doc_id are taken
+    alike. An empty table gives no rows; a source without words has target 0 and gives nothing.
+    """
+    rows = cut(sized(docs))
+    taken = times_taken(rows, mixing_plan(rows, weights, share, epochs, seed), seed)
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
