@@ -61,7 +61,7 @@ def _recipes(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in small_batches(frames, "text", BATCH):
             whole = [normalised(t) for t in frame.text]
-            yield pd.DataFrame({"doc_id": frame.doc_id, "sha": [hashlib.sha256(t).digest() for t in whole],
+            yield pd.DataFrame({"doc_id": frame.doc_id, "text_hash": frame.text_hash, "sha": [hashlib.sha256(t).digest() for t in whole],
                                 "recipe": [b"".join(digest(c, width) for c in chunks(t)) for t in whole]})
     return run
 
@@ -84,7 +84,7 @@ def _placed(width: int):
 
 
 def recipes(docs: DataFrame, width: int = 16) -> DataFrame:
-    """Every row's (doc_id, sha, recipe, told): the SHA-256 of its normalised text and the list of its chunks.
+    """Every row's (doc_id, text_hash, sha, recipe, told): a hash of the text as it is, the SHA-256 of its normalised text and the list of its chunks.
 
     A chunk's identifier is a digest of `width` bytes, verified over all documents: the distinct chunks are grouped
     once, and a digest that stands for several is found there. In such a case, which 16 bytes make improbable but not
@@ -93,7 +93,8 @@ def recipes(docs: DataFrame, width: int = 16) -> DataFrame:
     """
     rows = columns(docs, doc_id="bigint", text="string").select(
         "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    made = cut(rows.mapInPandas(_recipes(width), "doc_id bigint, sha binary, recipe binary"))
+    made = cut(rows.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
+               .mapInPandas(_recipes(width), "doc_id bigint, text_hash bigint, sha binary, recipe binary"))
     pieces = rows.mapInPandas(_pieces(width), "digest binary, chunk binary").distinct()
     clash = cut(pieces.groupBy("digest").count().filter("count > 1").select("digest"))
     if clash.isEmpty():
@@ -108,11 +109,12 @@ def recipes(docs: DataFrame, width: int = 16) -> DataFrame:
                 lambda x: F.concat_ws(":", x["at"], x["number"])), " ").alias("told")))
     a, b = made.alias("a"), told.alias("b")
     return (a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.sha") == F.col("b.sha")), "left")
-            .select("a.doc_id", "a.sha", "recipe", F.coalesce("told", F.lit("")).alias("told")))
+            .select("a.doc_id", "text_hash", "a.sha", "recipe", F.coalesce("told", F.lit("")).alias("told")))
 
 
 def duplicates(docs: DataFrame, width: int = 16) -> DataFrame:
-    """Equal texts of `docs` (doc_id, text): one row per row, with doc_id, keep_id, group_size, kept, text_sha256.
+    """Equal texts of `docs` (doc_id, text): one row per row, with doc_id, keep_id, group_size, kept, text_sha256 and
+    text_hash, the 64-bit hash of the text as it is.
 
     Texts are equal if they are after `normalised`; null is empty, and empty texts are equal. Of equal ones the least
     doc_id stays, null being the greatest; of rows that repeat that doc_id one stays. An empty table gives no rows.
@@ -124,4 +126,4 @@ def duplicates(docs: DataFrame, width: int = 16) -> DataFrame:
     return rows.join(groups, ["recipe", "told"], "left").select(
         "doc_id", F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("stays") == F.col("row"), F.lit(True)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+        F.coalesce(F.col("stays") == F.col("row"), F.lit(True)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "text_hash")

@@ -110,7 +110,7 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM texts WINDOW w AS (PARTITION BY t)""")
 def op8(spark, sf):
     """Equal texts of the documents."""
-    return chunks.duplicates(documents(spark, sf))
+    return chunks.duplicates(documents(spark, sf)).drop("text_hash")
 
 
 @query("op7_language")
