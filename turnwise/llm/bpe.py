@@ -16,7 +16,9 @@ from turnwise.llm.tables import columns, small_batches
 
 BATCH = 4 << 20
 #: A worker remembers up to twice as many words between batches; those not met for long are forgotten first.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Pairs of tokens whose verdict is remembered.
+REMEMBERED_PAIRS = 200_000
 NEVER = 1 << 40  # a rank beyond all merges
 
 
@@ -55,7 +57,7 @@ class Vocabulary:
         self.edges: tuple[dict, dict] = ({}, {})
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.stays: dict[tuple[int, int], bool] = {}
+        self.stays: dict[int, bool] = {}
 
     def beside(self, last: int, token: int) -> bool:
         """Do the two tokens stay as they are when they stand side by side? `last` is -1 at the start of a word.
@@ -64,7 +66,7 @@ class Vocabulary:
         the other. The two tokens are broken up if such a pair of pieces, there at the same time, has a merge of its
         own that comes before the merges its pieces go into (of equal ranks the left merge comes first).
         """
-        pair = (last, token)
+        pair = last << 32 | token
         if (known := self.stays.get(pair)) is not None:
             return known
         known = token in self.made or len(self.bytes_of[token]) == 1
@@ -152,6 +154,8 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, four little-endian bytes each. Special tokens in a text are found first."""
         cut = [[(p, None) if p in self.specials else (p, self.split(p)) for p in self.parts(t)] for t in texts]
+        if len(self.stays) > REMEMBERED_PAIRS:
+            self.stays = {}
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
         fresh: set[str] = set()
@@ -177,9 +181,10 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """doc_id and ids (binary, four little-endian bytes each) of every text of `docs` (doc_id, text) under the
-    tokenizer file `path`, which lies at the same place on every executor.
+    tokenizer file `path`, which lies at the same place on every executor. With `decoded` also the text that the ids
+    give back, made in the same pass.
 
     Null and empty texts have no ids. Row by row, without a shuffle; a task holds one batch of texts and a bounded
     memory of words. Rows come out as often as they go in.
@@ -187,9 +192,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = vocabulary(path)
         for frame in small_batches(frames, "text", BATCH):
-            yield pd.DataFrame({"doc_id": frame.doc_id, "ids": words.encode(frame.text.tolist())})
+            ids = words.encode(frame.text.tolist())
+            back = {"decoded": [words.decode(x) for x in ids]} if decoded else {}
+            yield pd.DataFrame({"doc_id": frame.doc_id, "ids": ids} | back)
     rows = columns(docs, doc_id="bigint", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    return rows.mapInPandas(run, "doc_id bigint, ids binary")
+    return rows.mapInPandas(run, "doc_id bigint, ids binary" + ", decoded string" * decoded)
 
 
 def decode(ids: Column, path: str) -> Column:

@@ -90,7 +90,7 @@ def op4(spark, sf):
     """Ids of every document under a public byte-level tokenizer, and the text they give back."""
     import public_tokenizers
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.encode(documents(spark, sf), path).withColumn("decoded", bpe.decode(F.col("ids"), path))
+    coded = bpe.encode(documents(spark, sf), path, decoded=True)
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
