@@ -77,13 +77,13 @@ def as_text(sketch: Column) -> Column:
 
 
 def predecessors(keys: DataFrame) -> DataFrame:
-    """For every distinct row of `keys` (doc_id, h, n_chars) the one before it in descending doc_id: prev_id, prev_h,
-    prev_chars. Null doc_ids come last, rows of one doc_id by h; the row before the first is the last."""
-    line = cut(numbered(keys.distinct(), F.col("doc_id").desc_nulls_last(), F.col("h")))
+    """For every distinct row of `keys` (id, h, n_chars) the one before it in descending id, then h: prev_id, prev_h,
+    prev_chars. The row before the first is the last."""
+    line = cut(numbered(keys.distinct(), F.col("id").desc(), F.col("h")))
     n = line.count()
-    before = line.select(F.col("doc_id").alias("prev_id"), F.col("h").alias("prev_h"), F.col("n_chars").alias("prev_chars"),
+    before = line.select(F.col("id").alias("prev_id"), F.col("h").alias("prev_h"), F.col("n_chars").alias("prev_chars"),
                          ((F.col("place") + 1) % max(n, 1)).alias("place"))
-    return cut(line.join(before, "place").select("doc_id", "h", "prev_id", "prev_h", "prev_chars"))
+    return cut(line.join(before, "place").select("id", "h", "prev_id", "prev_h", "prev_chars"))
 
 
 def compare_edited(docs: DataFrame, words: int = 5, fraction: float = 1 / 8, floor: int = 32) -> DataFrame:
@@ -98,23 +98,21 @@ def compare_edited(docs: DataFrame, words: int = 5, fraction: float = 1 / 8, flo
     Rows that repeat a doc_id follow each other by a hash of their text, exact repeats count once in that order and
     each comes out. Ids and lengths alone are ordered; texts move once by key, and once their starts.
     """
-    rows = texts(docs).withColumn("h", F.xxhash64("text", F.col("doc_id").isNull()))
-    before = predecessors(rows.select("doc_id", "h", F.char_length("text").alias("n_chars")))
-    base = sketched(rows, "text", "own", words, fraction, floor)
-
-    once = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy(F.char_length("text")))
-    left, link = base.alias("a"), before.alias("b")
-    starts = (left.join(link, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")))
-              .select("a.doc_id", "a.h", "text", "own", "prev_id", "prev_h", "prev_chars")
-              .withColumn("once", once).filter("once = 1")
-              .select("prev_id", "prev_h", F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 3).cast("int")).alias("start"),
-                      F.col("own").alias("next")))
-    both = base.join(starts, F.col("doc_id").eqNullSafe(F.col("prev_id")) & (F.col("h") == F.col("prev_h")))
+    # a null doc_id is a key of its own, told apart by the hash
+    rows = texts(docs).select(F.coalesce("doc_id", F.lit(LEAST)).alias("id"),
+                              F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), "text")
+    before = predecessors(rows.select("id", "h", F.char_length("text").alias("n_chars")))
+    once = F.row_number().over(Window.partitionBy("id", "h").orderBy("prev_chars"))
+    starts = rows.join(before, ["id", "h"]).withColumn("once", once).filter("once = 1")
+    starts = sketched(starts, "text", "next", words, fraction, floor).select(
+        F.col("prev_id").alias("id"), F.col("prev_h").alias("h"), "next",
+        F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 3).cast("int")).alias("start"))
+    both = sketched(rows.join(starts, ["id", "h"]), "text", "own", words, fraction, floor)
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("start"))
-    both = sketched(both.select("doc_id", "text", "own", "next", edited.alias("edited")), "edited", "changed", words, fraction, floor)
+    both = sketched(both.select("id", "text", "own", "next", edited.alias("edited")), "edited", "changed", words, fraction, floor)
     own, changed, following = F.col("own"), F.col("changed"), F.col("next")
-    return both.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+    return both.select(F.nullif("id", F.lit(LEAST)).alias("doc_id"), F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
                        as_text(own).alias("fingerprint"), as_text(changed).alias("edited_fingerprint"),
                        jaccard(own, changed).alias("near_edited"), jaccard(own, following).alias("near_next"),
                        containment(own, changed).alias("contained_edited"), containment(own, following).alias("contained_next"))
