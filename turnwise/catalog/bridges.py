@@ -14,18 +14,9 @@ from turnwise.sources.chat import turns_from_chat, words_from_turns
 DAY_MILLIS = 86_400_000
 
 
-# Tables whose queries do their work row by row, before any shuffle.
-ROW_WORK = ("documents", "conversations", "events", "pages")
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A test table. Small ones lie in one file, which one task reads: those are dealt out to the
-    cores. A table of many files already has a partition per split and is left as it is."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ROW_WORK and df.rdd.getNumPartitions() < min(cores, 8):
-        df = df.repartition(min(cores, 8))
-    return df
+    """A test table."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,13 +90,12 @@ segs AS (
 
 def item_words(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as words at scale: stream = order, speaker = return flag, a line lasts as
-    many seconds as its quantity, lines follow each other. Orders are cut by line number and
-    ship date, so one huge order is no single group."""
+    many seconds as its quantity, lines follow each other. Orders are cut every thousand line
+    numbers, so one huge order is no single group and an ordinary one is one block."""
     tie = ["l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity",
            "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-    days = F.unix_date(F.col("l_shipdate").cast("date"))
     rows = (table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "stream_id"))
-    rows = running(rows, ["stream_id"], tie, F.col("l_linenumber") * 100_000 + days,
+    rows = running(rows, ["stream_id"], tie, F.floor(F.col("l_linenumber") / 1000),
                    sums={"pos": F.lit(1).cast("long"), "end": F.col("l_quantity")})
     return rows.select("stream_id", (F.col("pos") - 1).alias("pos"),
                        F.col("l_returnflag").alias("speaker"),

@@ -14,17 +14,20 @@ from turnwise.plans.blocks import by_time
 R = F.round
 
 QUOTES = r"""
-quotes AS (SELECT stream_id, idx AS quote_id, CASE (stream_id + idx) % 3
-    WHEN 0 THEN w[3] || ' zzz ' || w[6] WHEN 1 THEN array_to_string(w[3:10], '  ')
+quotes AS (SELECT stream_id, idx AS quote_id, CASE WHEN len(w) < 12 THEN CASE WHEN idx % 2 = 0 THEN w[2] ELSE right(w[2], 2) || ' ' || left(w[3], 2) END
+    WHEN (stream_id + idx) % 3 = 0 THEN w[3] || ' zzz ' || w[6] WHEN (stream_id + idx) % 3 = 1 THEN array_to_string(w[3:10], '  ')
     ELSE substr(array_to_string(w[3:9], ' '), 2) END AS quote
-  FROM (SELECT stream_id, idx, regexp_extract_all(text, '\S+') AS w FROM turns) WHERE len(w) >= 12)"""
+  FROM (SELECT stream_id, idx, regexp_extract_all(text, '\S+') AS w FROM turns) WHERE len(w) >= 3)"""
 
 
 def _quotes(spark, sf):
+    """A quote from every turn: a word or parts of two of a short one, else a stretch, some of which occur nowhere."""
     m = (F.col("stream_id") + F.col("idx")) % 3
-    t = turns(spark, sf).withColumn("w", tokens(F.col("text"))).filter(F.size("w") >= 12)
-    return t.select("stream_id", F.col("idx").alias("quote_id"),
-                    F.when(m == 0, F.concat(F.col("w")[2], F.lit(" zzz "), F.col("w")[5]))
+    t = turns(spark, sf).withColumn("w", tokens(F.col("text"))).filter(F.size("w") >= 3)
+    second, third = F.col("w")[1], F.col("w")[2]
+    short = F.when(F.col("idx") % 2 == 0, second).otherwise(F.concat(F.right(second, F.lit(2)), F.lit(" "), F.left(third, F.lit(2))))
+    return t.select("stream_id", F.col("idx").alias("quote_id"), F.when(F.size("w") < 12, short)
+                    .when(m == 0, F.concat(third, F.lit(" zzz "), F.get("w", F.lit(5))))
                     .when(m == 1, F.array_join(F.slice("w", 3, 8), "  "))
                     .otherwise(F.expr("substr(array_join(slice(w, 3, 7), ' '), 2)")).alias("quote"))
 
@@ -41,7 +44,7 @@ ex AS (SELECT q.stream_id, q.quote_id, min(t.pos) AS pos FROM qn q JOIN full_tex
        JOIN txt t ON t.stream_id = q.stream_id AND t.off >= instr(f.body, q.q) - 1 WHERE instr(f.body, q.q) > 0 GROUP BY ALL),
 lo AS (SELECT q.stream_id, q.quote_id, min(t.pos) AS pos FROM qn q JOIN txt t ON t.stream_id = q.stream_id AND t.pos <= t.n - 3
          AND contains(t.win5, split_part(q.q, ' ', 1)) AND contains(t.win5, split_part(q.q, ' ', -1))
-       WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.stream_id = q.stream_id AND ex.quote_id = q.quote_id) GROUP BY ALL),
+       WHERE len(string_split(q.q, ' ')) >= 3 AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.stream_id = q.stream_id AND ex.quote_id = q.quote_id) GROUP BY ALL),
 both_ways AS (SELECT *, 'exact' AS how FROM ex UNION ALL SELECT *, 'loose' FROM lo)
 SELECT q.stream_id, q.quote_id, how, round(t.start, 4) AS time FROM qn q
 LEFT JOIN both_ways b USING (stream_id, quote_id) LEFT JOIN txt t ON t.stream_id = b.stream_id AND t.pos = b.pos""")

@@ -108,7 +108,7 @@ def join8(spark, sf):
 
 @query("join9_topic_references", f"""
 WITH {TOPIC_BLOCKS},
-clips AS (SELECT stream_id, conv_id, block_no AS clip_id, topic_id, t_start - 30 AS s, t_end + 30 AS e FROM blocks WHERE block_no % 10 = 0)
+clips AS (SELECT stream_id, conv_id, block_no AS clip_id, topic_id, t_start - 30 AS s, t_end + 30 AS e FROM blocks)
 SELECT c.stream_id, c.conv_id, c.clip_id, b.topic_id, b.block_no,
   '[' || {STAMP.format('b.t_start')} || '-' || {STAMP.format('b.t_end')} || ']' AS time_range,
   '[' || {STAMP.format('greatest(0, b.t_start - 30)')} || '-' || {STAMP.format('(b.t_end + 30)')} || ']' AS lookup_range,
@@ -118,7 +118,7 @@ FROM clips c JOIN blocks b ON c.stream_id = b.stream_id AND c.conv_id = b.conv_i
 WHERE NOT (b.t_start >= c.s - 5 AND b.t_end <= c.e + 5)""")
 def join9(spark, sf):
     blocks = topic_blocks(spark, sf)
-    clips = blocks.filter(F.col("block_no") % 10 == 0).select(
+    clips = blocks.select(
         *CONV, F.col("block_no").alias("clip_id"), "topic_id", (F.col("t_start") - 30).alias("start"),
         (F.col("t_end") + 30).alias("end"))
     return ops.topic_references(clips, blocks)

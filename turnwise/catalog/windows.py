@@ -62,11 +62,11 @@ def win3(spark, sf):
 
 CONV_SPANS = """
 conv_spans AS (SELECT stream_id, user_id % 4 AS conv_id, min(start) AS s, max("end") AS e FROM signals
-               WHERE start < 40000 GROUP BY ALL)"""
+               GROUP BY ALL)"""
 
 
 def _conv_spans(spark, sf):
-    return (signals(spark, sf).filter("start < 40000").groupBy("stream_id", (F.col("user_id") % 4).alias("conv_id"))
+    return (signals(spark, sf).groupBy("stream_id", (F.col("user_id") % 4).alias("conv_id"))
             .agg(F.min("start").alias("start"), F.max("end").alias("end")))
 
 
@@ -80,12 +80,12 @@ chunks AS (
 SELECT c.stream_id, conv_id, chunk, round(lo, 4) AS lo, round(hi, 4) AS hi, count(*) AS turns,
        string_agg(line, chr(10) ORDER BY idx) AS text
 FROM chunks c JOIN rows r ON c.stream_id = r.stream_id AND r.start BETWEEN c.lo AND c.hi
-GROUP BY ALL HAVING length(text) >= 200""")
+GROUP BY ALL HAVING length(text) >= 40""")
 def win4(spark, sf):
     spans = ops.chunk_spans(_conv_spans(spark, sf), conv_id="conv_id", whole_up_to=20_000.0, size=6000.0,
                             overlap=1200.0)
     return _rounded(ops.span_texts(spans, _event_turns(spark, sf), span_id=["conv_id", "chunk"], width=6000.0,
-                                   min_chars=200), "lo", "hi")
+                                   min_chars=40), "lo", "hi")
 
 
 @query("win5_tumbling_chunks", f"""

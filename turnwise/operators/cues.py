@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import re._constants as kinds
+import re._parser as parser
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,12 +23,14 @@ DEPARTURES = ("exit", "farewell")
 
 @dataclass(frozen=True)
 class Pattern:
-    """A phrase to look for: a regular expression of at most `span` words, case ignored."""
+    """A phrase to look for: a regular expression, case ignored. `span` is the most words it can match; it is worked
+    out from the expression where that is possible, see `reach`."""
 
     name: str
     cue_type: str
     regex: str
     base: float = 0.7
+    span: int | None = None
 
 
 def merge_patterns(known: list[Pattern], own: list[Pattern]) -> list[Pattern]:
@@ -39,13 +44,62 @@ def anchored(regex: str) -> str:
     return r"(?i)^(?:\S*?[^\p{L}\p{N}\s])??(" + regex + r")(?:[^\p{L}\p{N}]|$)"
 
 
-def match_cues(words: DataFrame, patterns: list[Pattern], *, span: int = 8,
-               block_rows: int = 50_000) -> DataFrame:
-    """Matches of every pattern in the running text of a stream.
-
-    A match starts at the word it begins in. Matches of one pattern do not overlap: one that
+SPACE_SETS = (kinds.CATEGORY_SPACE, kinds.CATEGORY_NOT_WORD, kinds.CATEGORY_NOT_DIGIT)
+
+
+def _in_set(members: list) -> bool:
+    """Does a character set hold the blank?"""
+    found = any(op is kinds.LITERAL and arg == ord(" ") or op is kinds.CATEGORY and arg in SPACE_SETS
+                or op is kinds.RANGE and arg[0] <= ord(" ") <= arg[1] for op, arg in members)
+    return not found if members[0][0] is kinds.NEGATE else found
+
+
+def _blanks(tree, name: str) -> int:
+    """The most blanks a parsed expression can match."""
+    total = 0
+    for op, arg in tree:
+        if op in (kinds.MAX_REPEAT, kinds.MIN_REPEAT, kinds.POSSESSIVE_REPEAT):
+            once, most = _blanks(arg[2], name), arg[1]
+            if once and arg[2].getwidth()[1] == 1 and all(
+                    o is kinds.LITERAL or o is kinds.IN and a == [(kinds.CATEGORY, kinds.CATEGORY_SPACE)] for o, a in arg[2]):
+                most = 1  # nothing but white space, and words stand one blank apart
+            if once and most == kinds.MAXREPEAT:
+                raise ValueError(f"pattern {name!r} has no most number of words: give it a bound or a span")
+            total += once * most if once else 0
+        elif op is kinds.BRANCH:
+            total += max(_blanks(b, name) for b in arg[1])
+        elif op is kinds.SUBPATTERN:
+            total += _blanks(arg[3], name)
+        elif op is kinds.IN:
+            total += _in_set(arg)
+        elif op is kinds.LITERAL:
+            total += arg == ord(" ")
+        elif op in (kinds.ANY, kinds.NOT_LITERAL):
+            total += 1
+        elif op not in (kinds.AT, kinds.ASSERT, kinds.ASSERT_NOT):
+            raise ValueError(f"pattern {name!r} needs a span")
+    return total
+
+
+def reach(pattern: Pattern) -> int:
+    """The most words a match can have: one more than the blanks it can hold. Raises if the expression sets no bound
+    (`.*` does not) or cannot be read, and the pattern names none."""
+    if pattern.span is not None:
+        return pattern.span
+    try:
+        tree = parser.parse(pattern.regex)
+    except re.error as unread:
+        raise ValueError(f"pattern {pattern.name!r} needs a span: {unread}") from unread
+    return _blanks(tree, pattern.name) + 1
+
+
+def match_cues(words: DataFrame, patterns: list[Pattern], *, block_rows: int = 50_000) -> DataFrame:
+    """Matches of every pattern in the running text of a stream, however long they are.
+
+    Words are read with as many after them as the longest pattern can match. A match starts at the word it begins in. Matches of one pattern do not overlap: one that
     starts before the kept one before it ends is dropped.
     """
+    span = max(map(reach, patterns))
     rows = around(words, KEY, "pos", {"shingle": F.col("text")}, after=span - 1, block_rows=block_rows)
     rows = rows.withColumn("shingle", F.array_join("shingle", " "))
     any_of = anchored("|".join(f"(?:{p.regex})" for p in patterns))
@@ -73,9 +127,9 @@ def cue_confidence(phrase: Column, base: Column, lone: list[str]) -> Column:
 
 
 def detect_cues(words: DataFrame, patterns: list[Pattern], *, lone: list[str], context: int = 30,
-                min_confidence: float = 0.5, apart: float = 5.0, span: int = 8) -> DataFrame:
+                min_confidence: float = 0.5, apart: float = 5.0) -> DataFrame:
     """Matches with confidence and context, weak ones left out, then near repeats removed."""
-    cues = (match_cues(words, patterns, span=span)
+    cues = (match_cues(words, patterns)
             .withColumn("confidence", cue_confidence(F.col("phrase"), F.col("base"), lone))
             .withColumn("cue_id", F.concat_ws("/", F.col("pattern"), F.col("first_pos"))))
     cues = dedup_cues(cues.filter(F.col("confidence") >= min_confidence), apart=apart)

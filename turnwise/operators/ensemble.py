@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.plans.cut import join_per_key
 from turnwise.plans.blocks import ranked
 
 
@@ -88,7 +89,7 @@ def borda(ranks: DataFrame, weights: dict[str, float] | DataFrame, *, keys: list
     best = scored.groupBy(*keys).agg(F.max("borda").alias("_best"))
     sure = F.when(F.col("_best") > 0, F.col("borda") / F.col("_best")).otherwise(0.5) \
         - F.when(F.col("_n") > 1, F.least(F.lit(0.3), F.col("_var") * 0.05)).otherwise(0.0)
-    scored = (scored.join(best, keys)
+    scored = (join_per_key(scored, best, keys, [*keys, item])
               .withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)))
               .drop("_var", "_n", "_best"))
     return ranked(scored, keys, -F.col("borda"), [item], width, name="final_rank")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.text import normalize
 from turnwise.plans.blocks import around
-from turnwise.plans.cut import cut
+from turnwise.plans.cut import cut, small
 from turnwise.schema import KEY
 
 SHINGLE = 3
@@ -24,26 +24,54 @@ def _prepared(quotes: DataFrame) -> DataFrame:
             .withColumn("_parts", F.split("_q", " ")).withColumn("_n", F.size("_parts")))
 
 
-def _lengths(prepared: DataFrame) -> set[int]:
-    """Numbers of words in use, 5 standing for more: five values at most, so that texts are cut only
-    into what is asked for."""
-    return {r[0] for r in prepared.select(F.least("_n", F.lit(5))).distinct().collect()}
+def _keyed(prepared: DataFrame) -> DataFrame:
+    """A quote's `_kind` and `_key`, which every text that contains the quote has as well:
+
+    w1-w3  its inner words, for three words and more
+    pNM    the end of the first and the start of the second word, N and M letters, for two
+    c1-c3  its first letters, for one
+    """
+    a, b = F.col("_parts")[0], F.get("_parts", F.lit(1))
+    size = F.least(F.col("_n") - 2, F.lit(SHINGLE))
+    n, m = F.least(F.length(a), F.lit(2)), F.least(F.length(b), F.lit(2))
+    c = F.least(F.length(a), F.lit(3))
+    kind = (F.when(F.col("_n") >= 3, F.concat(F.lit("w"), size.cast("string")))
+            .when(F.col("_n") == 2, F.concat(F.lit("p"), n.cast("string"), m.cast("string")))
+            .otherwise(F.concat(F.lit("c"), c.cast("string"))))
+    key = (F.when(F.col("_n") >= 3, _inner(F.col("_parts")))
+           .when(F.col("_n") == 2, F.concat(F.right(a, n), F.lit(" "), F.left(b, m))).otherwise(F.left(a, c)))
+    return prepared.withColumn("_kind", kind).withColumn("_key", key)
+
+
+def _kinds(keyed: DataFrame) -> list[str]:
+    """Kinds in use, ten at most, so that texts are cut only into what is asked for."""
+    return sorted(r[0] for r in keyed.select("_kind").distinct().collect())
 
 
-def _key_sizes(lengths: set[int]) -> list[int]:
-    return sorted({n - 2 if n >= 3 else n for n in lengths}) or [SHINGLE]
+def _letters(word: Column, n: int) -> Column:
+    """Runs of n letters of a word."""
+    size = F.length(word)
+    cuts = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(word, i, F.lit(n)))
+    return F.when(size >= n, cuts).otherwise(F.array().cast("array<string>"))
+
+
+def _border(a: Column, b: Column, kind: str) -> Column:
+    """Key of two neighbouring words, null if one is too short for the kind."""
+    n, m = int(kind[1]), int(kind[2])
+    return F.when((F.length(a) >= n) & (F.length(b) >= m),
+                  F.concat(F.right(a, F.lit(n)), F.lit(" "), F.left(b, F.lit(m))))
 
 
 def exact_anchors(quotes: DataFrame, words: DataFrame, *, block_rows: int = 50_000) -> DataFrame:
     """First place of a quote in the words of its stream: stream_id, quote_id, pos.
 
-    Texts and quotes are compared in lower case with single blanks. Quotes of three words and more
-    are found anywhere, also from inside a word; then the place is the next word. Shorter ones are
-    found as whole words. Candidates meet on the inner words, the rest is compared afterwards.
+    Texts and quotes are compared in lower case with single blanks. A quote is found anywhere in the running text,
+    also from inside a word; then the place is the next word, and in the last word there is none. Candidates meet on
+    a key that both must have, the rest is compared afterwards.
     """
-    q = _prepared(quotes)
-    lengths = _lengths(q)
-    inner_sizes = _key_sizes({n for n in lengths if n >= 3})
+    q = _keyed(_prepared(quotes))
+    kinds = _kinds(q)
+    inner_sizes = [int(k[1]) for k in kinds if k[0] == "w"] or [SHINGLE]
     low = words.select(*KEY, "pos", F.lower("text").alias("_w"))
     near = around(low, KEY, "pos", {"_near": F.col("_w")}, after=SHINGLE, block_rows=block_rows)
     long_q = q.filter("_n >= 3").withColumn("_size", F.least(F.col("_n") - 2, F.lit(SHINGLE)))
@@ -51,8 +79,7 @@ def exact_anchors(quotes: DataFrame, words: DataFrame, *, block_rows: int = 50_0
         .filter(F.size("_near") > F.col("_size")) \
         .withColumn("_key", F.array_join(F.slice("_near", 2, F.col("_size")), " "))
     met = (keyed.select(*KEY, "pos", "_size", "_key", F.col("_w").alias("_first"))
-           .join(long_q.select(*KEY, "quote_id", "_parts", "_n", "_q", "_size", _inner(F.col("_parts")).alias("_key")),
-                 [*KEY, "_size", "_key"])
+           .join(long_q.select(*KEY, "quote_id", "_parts", "_n", "_q", "_size", "_key"), [*KEY, "_size", "_key"])
            .filter(F.col("_first").endswith(F.col("_parts")[0])))
     # The candidates are few; compare each with as many words as its quote has.
     spots = met.select(*KEY, "quote_id", F.col("pos").alias("_at"), "_first", "_parts", "_n",
@@ -67,13 +94,34 @@ def exact_anchors(quotes: DataFrame, words: DataFrame, *, block_rows: int = 50_0
                   F.first(F.col("_first") == F.col("_parts")[0]).alias("_clean"))
              .filter(F.col("_got") == F.col("_n"))
              .select(*KEY, "quote_id", F.when(F.col("_clean"), F.col("_at")).otherwise(F.col("_at") + 1).alias("pos")))
-    if min(lengths, default=3) >= 3:
-        return whole.groupBy(*KEY, "quote_id").agg(F.min("pos").alias("pos"))
-    pair = around(low, KEY, "pos", {"_near": F.col("_w")}, after=1, block_rows=block_rows)
-    short = (pair.select(*KEY, "pos", F.explode(F.array_distinct(F.array(
-        F.col("_w"), F.array_join("_near", " ")))).alias("_q"))
-        .join(q.filter("_n < 3").select(*KEY, "quote_id", "_q"), [*KEY, "_q"]).select(*KEY, "quote_id", "pos"))
-    return whole.unionByName(short).groupBy(*KEY, "quote_id").agg(F.min("pos").alias("pos"))
+    found = [whole]
+    borders = [k for k in kinds if k[0] == "p"]
+    if borders:
+        pair = around(low, KEY, "pos", {"_near": F.col("_w")}, after=1, block_rows=block_rows).filter(F.size("_near") == 2)
+        a, b = F.col("_w"), F.col("_near")[1]
+        keys = F.array(*[F.struct(F.lit(k).alias("_kind"), _border(a, b, k).alias("_key")) for k in borders])
+        found.append(pair.select(*KEY, "pos", a.alias("_a"), b.alias("_b"), F.inline(keys))
+                     .join(q.filter("_n = 2").select(*KEY, "quote_id", "_parts", "_kind", "_key"), [*KEY, "_kind", "_key"])
+                     .filter(F.col("_a").endswith(F.col("_parts")[0]) & F.col("_b").startswith(F.col("_parts")[1]))
+                     .select(*KEY, "quote_id", F.when(F.col("_a") == F.col("_parts")[0], F.col("pos"))
+                             .otherwise(F.col("pos") + 1).alias("pos")))
+    singles = [k for k in kinds if k[0] == "c"]
+    if singles:
+        grams = F.array_distinct(F.flatten(F.array(*[_letters(F.col("_w"), int(k[1])) for k in singles])))
+        asked = q.filter("_n = 1 AND _q <> ''").select(*KEY, "quote_id", "_q", "_key")
+        # Only the vocabulary of a stream is taken apart; its words then lead to their places.
+        vocabulary = (low.select(*KEY, "_w").distinct().select(*KEY, "_w", F.explode(grams).alias("_key"))
+                      .join(asked, [*KEY, "_key"]).filter(F.col("_w").contains(F.col("_q")))
+                      .select(*KEY, "quote_id", "_w", F.col("_w").startswith(F.col("_q")).alias("_clean")))
+        last = words.groupBy(*KEY).agg(F.max("pos").alias("_last"))
+        found.append(low.join(vocabulary, [*KEY, "_w"])
+                     .select(*KEY, "quote_id", F.when(F.col("_clean"), F.col("pos")).otherwise(F.col("pos") + 1).alias("pos"))
+                     .groupBy(*KEY, "quote_id").agg(F.min("pos").alias("pos"))
+                     .join(last, KEY).filter(F.col("pos") <= F.col("_last")).drop("_last"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.groupBy(*KEY, "quote_id").agg(F.min("pos").alias("pos"))
 
 
 def loose_anchors(quotes: DataFrame, words: DataFrame, *, span: int = 5) -> DataFrame:
@@ -87,11 +135,7 @@ def loose_anchors(quotes: DataFrame, words: DataFrame, *, span: int = 5) -> Data
     low = words.select(*KEY, "pos", F.lower("text").alias("_w"))
     terms = (q.select(*KEY, F.explode(F.array("_a", "_b")).alias("_term")).distinct()
              .withColumn("_gram", F.substring("_term", 1, 3)))
-    size = F.length("_w")
-    def pieces(n: int) -> Column:
-        cuts = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("_w"), i, F.lit(n)))
-        return F.when(size >= n, cuts).otherwise(F.array().cast("array<string>"))
-    grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in (1, 2, 3)])))
+    grams = F.array_distinct(F.flatten(F.array(*[_letters(F.col("_w"), n) for n in (1, 2, 3)])))
     # Only the vocabulary of a stream is taken apart; its words then lead to their places.
     vocabulary = (low.select(*KEY, "_w").distinct().select(*KEY, "_w", F.explode(grams).alias("_gram"))
                   .join(terms, [*KEY, "_gram"]).filter(F.col("_w").contains(F.col("_term")))
@@ -131,24 +175,33 @@ def anchor_quotes(quotes: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def quotes_in_documents(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """All documents a quote occurs in: item_id, doc_id, offset in the normalized text. Quotes of
-    one or two words are found as whole words. Shingles are made inside each row, so texts are not
-    shuffled; only documents that share a key shingle with a quote are read again to compare the
-    whole text."""
-    long = F.col("_n") >= 3
-    q = (_prepared(quotes.withColumnRenamed("text", "quote")).filter("_q <> ''")
-         .withColumn("_size", F.when(long, F.least(F.col("_n") - 2, F.lit(SHINGLE))).otherwise(F.col("_n")))
-         .withColumn("_key", F.when(long, _inner(F.col("_parts"))).otherwise(F.col("_q"))))
-    parts = F.split(normalize(F.col("text")), " ")
-    def grams(n: int) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice(F.col("_w"), i, n), " "))
-        found = F.when(F.size("_w") >= n, runs).otherwise(F.array().cast("array<string>"))
-        return F.transform(found, lambda g: F.struct(F.lit(n).alias("_size"), g.alias("_key")))
-    sizes = _key_sizes(_lengths(q))
-    keys = (docs.select("doc_id", parts.alias("_w"))
-            .select("doc_id", F.explode(F.flatten(F.array(*[grams(n) for n in sizes]))).alias("_k"))
-            .select("doc_id", "_k.*"))
-    met = keys.join(q.select("item_id", "_size", "_key", "_q"), ["_size", "_key"]).select("doc_id", "item_id", "_q").distinct()
-    return (met.join(docs.select("doc_id", normalize(F.col("text")).alias("_text")), "doc_id")
+    """All documents a quote occurs in: item_id, doc_id, offset in the normalized text. A quote of any length is found
+    anywhere, also from inside a word.
+
+    Texts are cut into keys where they lie. The quotes, and then the pairs of document and quote that share a key,
+    are counted: up to a million rows they are broadcast, so no text is shuffled; beyond, they are joined by shuffles.
+    """
+    q = _keyed(_prepared(quotes.withColumnRenamed("text", "quote")).filter("_q <> ''")).select("item_id", "_q", "_kind", "_key")
+    kinds = _kinds(q)
+    texts = docs.select("doc_id", normalize(F.col("text")).alias("_text")).withColumn("_w", F.split("_text", " "))
+    w = F.col("_w")
+
+    def keys(kind: str) -> Column:
+        if kind[0] == "w":
+            n = int(kind[1])
+            runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+            found = F.when(F.size(w) >= n, runs)
+        elif kind[0] == "p":
+            found = F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(0), F.size(w) - 2),
+                                                       lambda i: _border(F.get(w, i), F.get(w, i + 1), kind)))
+        else:
+            found = F.flatten(F.transform(F.array_distinct(w), lambda x: _letters(x, int(kind[1]))))
+        found = F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
+        return F.transform(found, lambda k: F.struct(F.lit(kind).alias("_kind"), k.alias("_key")))
+    if not kinds:
+        return q.select("item_id", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("offset"))
+    cut_up = texts.select("doc_id", F.inline(F.flatten(F.array(*[keys(k) for k in kinds]))))
+    met = cut_up.join(small(q), ["_kind", "_key"]).select("doc_id", "item_id", "_q").distinct()
+    return (texts.select("doc_id", "_text").join(small(met), "doc_id")
             .withColumn("offset", F.expr("locate(_q, _text)")).filter("offset > 0")
             .select("item_id", "doc_id", (F.col("offset") - 1).cast("long").alias("offset")))

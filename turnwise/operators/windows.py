@@ -9,6 +9,7 @@ from turnwise.functions.clock import hms
 from turnwise.plans.asof import lookup
 from turnwise.plans.bands import band_join
 from turnwise.plans.blocks import by_time, neighbours, running
+from turnwise.plans.cut import join_per_key
 from turnwise.schema import KEY
 
 
@@ -35,7 +36,7 @@ def sliding_windows(turns: DataFrame, *, size: float, hop: float, from_zero: boo
     or from zero, as long as they start before the stream ends. Windows without turns get no
     number, so window ids are dense. A turn finds its windows by arithmetic.
     """
-    rows = turns.join(stream_bounds(turns), KEY)
+    rows = join_per_key(turns, stream_bounds(turns), KEY, [*KEY, "idx"])
     anchor = F.lit(0.0) if from_zero else F.col("_s0")
     past = F.col("start") - anchor
     low = F.ceil((past - size) / hop) if closed else F.floor((past - size) / hop) + 1
@@ -86,7 +87,7 @@ def span_texts(spans: DataFrame, turns: DataFrame, *, span_id: list[str], width:
 def tumbling_chunks(turns: DataFrame, *, size: float = 300.0, batch: int = 3) -> DataFrame:
     """Chunks [c, c + size) from the first turn on, the last cut at the end; chunks without
     turns fall away and every `batch` of the rest form a batch."""
-    rows = turns.join(stream_bounds(turns), KEY)
+    rows = join_per_key(turns, stream_bounds(turns), KEY, [*KEY, "idx"])
     found = (rows.filter(F.col("start") < F.col("_s1"))
              .withColumn("_k", F.floor((F.col("start") - F.col("_s0")) / size))
              .groupBy(*KEY, "_k")

@@ -145,13 +145,18 @@ def around(df: DataFrame, keys: list[str], position: str, values: dict[str, Colu
 
 
 def ranked(df: DataFrame, keys: list[str], by: Column, tie: list[str], width: float, *,
-           name: str = "rank") -> DataFrame:
+           name: str = "rank", tie_width: float | None = None) -> DataFrame:
     """1-based rank in a group, by a number ascending (negate it for descending), then `tie`.
 
-    Values are cut into ranges of `width`, so a group of any size is numbered range by range.
+    Values are cut into ranges of `width`, so a group of any size is numbered range by range. Where values are whole
+    multiples of `width`, many rows may share one: `tie_width` then cuts each value by ranges of the first tie column,
+    which is a number.
     """
     rows = df.withColumn("_by", by.cast("double"))
-    return running(rows, keys, ["_by", *tie], by_time("_by", width),
+    block = by_time("_by", width)
+    if tie_width is not None:
+        block = F.struct(block.alias("value"), by_time(tie[0], tie_width).alias("tie"))
+    return running(rows, keys, ["_by", *tie], block,
                    sums={name: F.lit(1).cast("long")}).drop("_by")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,3 +21,21 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnwise-"))
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A narrow table, written and counted: marked for broadcast if it has at most `rows` rows, else joined by a
+    shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def join_per_key(df: DataFrame, other: DataFrame, keys: list[str], spread: list[str], rows: int = 1_000_000) -> DataFrame:
+    """Join a table with one row per key, without leaving all rows of a key in one task.
+
+    The table is written and counted. Up to `rows` rows it is broadcast; beyond, the rows are dealt out by `spread`
+    after the join, so that what comes next is not planned on top of the join's partitioning.
+    """
+    other = small(other, rows)
+    met = df.join(other, keys)
+    return met if other.count() <= rows else met.repartition(*spread)
