@@ -4,12 +4,13 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from turnwise.operators import conversations as conv
 from turnwise.operators import cues as cue_ops
 from turnwise.operators import quotes as quote_ops
-from turnwise.operators import scoring, selection, speakers, topics
+from turnwise.operators import responses, scoring, selection, speakers, topics
 from turnwise.operators import turns as talk
 from turnwise.operators import windows as win
 from turnwise.plans.blocks import by_position, by_time
@@ -266,11 +267,59 @@ def test_natural_ends(spark):
 
 
 def test_quotes_in_documents_of_any_length(spark):
-    docs = spark.createDataFrame([(1, "The cat  sat on\nthe mat."), (2, "a scat saturday"), (3, "")], "doc_id long, text string")
-    quotes = spark.createDataFrame([(1, "cat"), (2, "the mat."), (3, "HE cat sat o"), (4, "cat sat"), (5, ""), (6, "cat sat on the ma")],
-                                   "item_id long, text string")
+    texts = {1: "The cat  sat on\nthe mat.", 2: "a scat saturday", 3: "", 4: "the start is near, so art is new",
+             5: " ".join(f"w{i}" for i in range(40))}
+    asked = ["cat", "the mat.", "HE cat sat o", "cat sat", "", "cat sat on the ma", "art is ne", "art is", "t i", "s", "ar", "is n",
+             " ".join(f"w{i}" for i in range(7, 27))[1:], "zzz", "w3 w4"]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    quotes = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    want = []
+    for i, quote in enumerate(asked):
+        low = " ".join(quote.lower().split())
+        for d, text in texts.items():
+            at = " ".join(text.lower().split()).find(low)
+            if low and at >= 0:
+                want.append((i, d, at))
     got = sorted(map(tuple, quote_ops.quotes_in_documents(quotes, docs).collect()))
-    assert got == [(1, 1, 4), (2, 1, 15), (3, 1, 1), (4, 1, 4), (6, 1, 4)]
+    assert got == sorted(want)
+
+
+def test_exact_anchors_like_substring_search(spark):
+    said = "so the start is near and art is new today".split()
+    asked = ["art is ne", "art is", "art", "t i", "oday", "today", "tod", "so", "near and", "the start is near and art is new", "zz", "is zz"]
+    words = spark.createDataFrame([(1, i, w, float(i)) for i, w in enumerate(said)], "stream_id long, pos long, text string, start double")
+    quotes = spark.createDataFrame([(1, i, q) for i, q in enumerate(asked)], "stream_id long, quote_id long, quote string")
+    text, offsets, at = " ".join(said), [], 0
+    for w in said:
+        offsets.append(at)
+        at += len(w) + 1
+    want = {}
+    for i, q in enumerate(asked):
+        if (found := text.find(q)) >= 0 and (later := [k for k, o in enumerate(offsets) if o >= found]):
+            want[i] = later[0]
+    got = {r.quote_id: r.pos for r in quote_ops.exact_anchors(quotes, words).collect()}
+    assert got == want
+
+
+def test_cue_matches_of_any_length(spark):
+    said = ["Hello"] + [f"w{i}" for i in range(40)] + ["guest", "bye"]
+    words = spark.createDataFrame([(1, i, float(i), i + 1.0, "a", w) for i, w in enumerate(said)],
+                                  "stream_id long, pos long, start double, end double, speaker string, text string")
+    long = cue_ops.Pattern("long", "intro", r"hello(?:\s+\w+){1,60}\s+guest")
+    got = cue_ops.match_cues(words, [long]).collect()
+    assert [(r.first_pos, r.last_pos) for r in got] == [(0, 41)]
+    with pytest.raises(ValueError, match="no most number"):
+        cue_ops.match_cues(words, [cue_ops.Pattern("open", "intro", r"hello\s.*guest")])
+    assert cue_ops.reach(cue_ops.Pattern("open", "intro", r"hello\s.*guest", span=50)) == 50
+
+
+def test_no_answer_is_lost(spark):
+    texts = ["5", '"x"', "null", "[1,2]", "[]", "no {json", None, '[1, {"a": "p"}, {"a": "q"}]', 'so\n```json\n{"a": "r"}\n```\n', '{"a": 7}']
+    answers = spark.createDataFrame(list(enumerate(texts)), "id long, answer string")
+    rows, rejects = responses.parse_responses(answers, "a:string")
+    assert sorted(tuple(r) for r in rows.select("id", "item_no", "a").collect()) == [(7, 1, "p"), (7, 2, "q"), (8, 0, "r"), (9, 0, "7")]
+    assert {r.id: (r.answer, r.reason) for r in rejects.collect()} == {
+        i: (texts[i], "no JSON" if i in (5, 6) else "no object") for i in range(7)}
 
 
 def test_trim_falls_back(spark):

@@ -12,8 +12,9 @@ from turnwise.plans.blocks import ranked
 
 R = F.round
 
-PROFILE = [ops.Criterion("finish", 25, 3), ops.Criterion("hook", 20, 2), ops.Criterion("clarity", 15, 1),
-           ops.Criterion("reach", 5, 2)]
+# Criteria made up for these queries: scores are digits of the row's numbers.
+PROFILE = [ops.Criterion("evidence", 2, 0), ops.Criterion("novelty", 4, 3), ops.Criterion("tension", 3, 2),
+           ops.Criterion("depth", 2, 1), ops.Criterion("humor", 1, 2)]
 
 # ---- talk figures of 60 s ranges -------------------------------------------------------------
 
@@ -95,11 +96,12 @@ def flt9(spark, sf):
 
 SCORED = f"""
 WITH {CANDIDATES},
-c AS (SELECT *, "end" - start AS duration, cand_id % 10 AS finish, CASE WHEN cand_id % 7 <> 0 THEN stream_id % 10 END AS hook,
-        (cand_id // 10) % 10 AS clarity, status = 'F' AS host_last, (cand_id % 13) / 2e0 AS preliminary, cand_id % 9 = 0 AS unscored
+c AS (SELECT *, "end" - start AS duration, cand_id % 10 AS novelty, CASE WHEN cand_id % 7 <> 0 THEN stream_id % 10 END AS tension,
+        (cand_id // 10) % 10 AS depth, (cand_id // 100) % 10 AS evidence, status = 'F' AS host_last,
+        CASE WHEN cand_id % 27 <> 0 THEN (cand_id % 13) / 2e0 END AS preliminary, cand_id % 9 = 0 AS unscored
       FROM candidates),
-w AS (SELECT *, (finish * 25 + coalesce(hook, 5) * 20 + clarity * 15 + 5 * 5) / 65e0 * 10 AS weighted FROM c),
-s AS (SELECT *, CASE WHEN unscored THEN preliminary * 10 ELSE weighted
+w AS (SELECT *, (evidence * 2 + novelty * 4 + coalesce(tension, 5) * 3 + depth * 2 + 5) / 12e0 * 10 AS weighted FROM c),
+s AS (SELECT *, CASE WHEN unscored THEN coalesce(preliminary, 5) * 10 ELSE weighted
    + CASE WHEN duration BETWEEN 55 AND 1500 THEN 3 WHEN duration > 4000 THEN -10 ELSE 0 END
    + CASE WHEN host_last THEN 2 ELSE 0 END END AS composite FROM w)"""
 LENGTHS = ops.Lengths(25.0, 4000.0, 55.0, 1500.0)
@@ -107,12 +109,13 @@ LENGTHS = ops.Lengths(25.0, 4000.0, 55.0, 1500.0)
 
 def _scored(spark, sf):
     c = candidates(spark, sf)
-    given = F.create_map(F.lit("finish"), (F.col("cand_id") % 10).cast("double"),
-                         F.lit("clarity"), (F.floor(F.col("cand_id") / 10) % 10).cast("double"))
-    hook = F.create_map(F.lit("hook"), (F.col("stream_id") % 10).cast("double"))
-    scores = F.when(F.col("cand_id") % 9 == 0, None).when(F.col("cand_id") % 7 != 0, F.map_concat(given, hook)).otherwise(given)
+    given = F.create_map(F.lit("novelty"), (F.col("cand_id") % 10).cast("double"),
+                         F.lit("depth"), (F.floor(F.col("cand_id") / 10) % 10).cast("double"),
+                         F.lit("evidence"), (F.floor(F.col("cand_id") / 100) % 10).cast("double"))
+    tension = F.create_map(F.lit("tension"), (F.col("stream_id") % 10).cast("double"))
+    scores = F.when(F.col("cand_id") % 9 == 0, None).when(F.col("cand_id") % 7 != 0, F.map_concat(given, tension)).otherwise(given)
     c = (c.withColumn("scores", scores).withColumn("host_last", F.col("status") == "F")
-         .withColumn("preliminary", (F.col("cand_id") % 13) / 2))
+         .withColumn("preliminary", F.when(F.col("cand_id") % 27 != 0, (F.col("cand_id") % 13) / 2)))
     return c.withColumn("composite", ops.composite(F.col("scores"), F.col("end") - F.col("start"), F.col("host_last"),
                                                    F.col("preliminary"), PROFILE, LENGTHS))
 
@@ -124,16 +127,16 @@ def scr5(spark, sf):
 
 
 @query("join11_profile_lookup", SCORED + """
-SELECT cand_id, CAST(CASE WHEN unscored THEN 5 ELSE finish END AS DOUBLE) AS finish,
-       CAST(CASE WHEN unscored THEN 5 ELSE coalesce(hook, 5) END AS DOUBLE) AS hook,
-       CAST(5 AS DOUBLE) AS reach FROM s""")
+SELECT cand_id, CAST(CASE WHEN unscored THEN 5 ELSE novelty END AS DOUBLE) AS novelty,
+       CAST(CASE WHEN unscored THEN 5 ELSE coalesce(tension, 5) END AS DOUBLE) AS tension,
+       CAST(5 AS DOUBLE) AS humor FROM s""")
 def join11(spark, sf):
-    return _scored(spark, sf).select("cand_id", *[ops.score_of(F.col("scores"), n).alias(n) for n in ("finish", "hook", "reach")])
+    return _scored(spark, sf).select("cand_id", *[ops.score_of(F.col("scores"), n).alias(n) for n in ("novelty", "tension", "humor")])
 
 
 @query("flt10_dealbreakers", SCORED + """
-SELECT cand_id, CASE WHEN NOT unscored AND finish < 3 THEN 'dealbreaker: finish' WHEN NOT unscored AND coalesce(hook, 5) < 2 THEN 'dealbreaker: hook'
-   WHEN NOT unscored AND clarity < 1 THEN 'dealbreaker: clarity' WHEN priority = '1-URGENT' THEN 'anti-patterns'
+SELECT cand_id, CASE WHEN NOT unscored AND novelty < 3 THEN 'dealbreaker: novelty' WHEN NOT unscored AND coalesce(tension, 5) < 2 THEN 'dealbreaker: tension'
+   WHEN NOT unscored AND depth < 1 THEN 'dealbreaker: depth' WHEN priority = '1-URGENT' THEN 'anti-patterns'
    WHEN status = 'P' THEN 'mandatory requirements' END AS failure FROM s""")
 def flt10(spark, sf):
     anti = F.when(F.col("priority") == "1-URGENT", F.array(F.lit("rush"))).otherwise(F.array().cast("array<string>"))
@@ -151,7 +154,7 @@ def flt11(spark, sf):
 SELECT stream_id, cand_id, CASE WHEN cand_id % 4 = 0 THEN start + 5 ELSE start END AS start,
   CASE WHEN cand_id % 4 = 0 THEN start + 65 ELSE "end" END AS "end",
   round(CASE WHEN cand_id % 8 = 0 THEN
-     (CASE WHEN unscored THEN 5 * 25 + 9 * 20 + 5 * 15 + 1 * 5 ELSE finish * 25 + 9 * 20 + clarity * 15 + 1 * 5 END) / 65e0 * 10
+     (CASE WHEN unscored THEN 5 * 2 + 5 * 4 + 9 * 3 + 5 * 2 + 1 ELSE evidence * 2 + novelty * 4 + 9 * 3 + depth * 2 + 1 END) / 12e0 * 10
      + CASE WHEN CASE WHEN cand_id % 4 = 0 THEN 60 ELSE duration END BETWEEN 55 AND 1500 THEN 3 ELSE 0 END
      + CASE WHEN host_last THEN 2 ELSE 0 END
    ELSE composite END, 4) AS composite
@@ -161,7 +164,7 @@ def scr6(spark, sf):
     reviews = c.filter(F.col("cand_id") % 2 == 0).select(
         "stream_id", "cand_id", F.when(F.col("cand_id") % 4 == 0, F.col("start") + 5).alias("new_start"),
         F.when(F.col("cand_id") % 4 == 0, F.col("start") + 65).alias("new_end"),
-        F.when(F.col("cand_id") % 8 == 0, F.create_map(F.lit("hook"), F.lit(9.0), F.lit("reach"), F.lit(1.0))).alias("new_scores"),
+        F.when(F.col("cand_id") % 8 == 0, F.create_map(F.lit("tension"), F.lit(9.0), F.lit("humor"), F.lit(1.0))).alias("new_scores"),
         (F.col("cand_id") % 20 != 10).alias("keep"))
     return (ops.rescore(c, reviews, PROFILE, LENGTHS, cand_id="cand_id")
             .select("stream_id", "cand_id", "start", "end", R("composite", 4).alias("composite")))
@@ -181,15 +184,42 @@ def scr8(spark, sf):
             .select("stream_id", "cand_id", R("composite", 4).alias("composite"), "gate"))
 
 
-@query("scr9_story_score", SCORED + """
-SELECT cand_id, round(CASE WHEN cand_id % 3 = 0 THEN preliminary * 0.8 WHEN cand_id % 5 = 0 THEN (preliminary + finish) / 2 * 0.6
-   ELSE (preliminary + finish) / 2 END, 4) AS score
-FROM s WHERE CASE WHEN cand_id % 3 = 0 THEN preliminary * 0.8 WHEN cand_id % 5 = 0 THEN (preliminary + finish) / 2 * 0.6
-   ELSE (preliminary + finish) / 2 END >= 2.5""")
+@query("scr6_rescore_talk", f"""
+WITH {TURNS}, {RANGES},
+e AS (SELECT stream_id, range_id, CASE WHEN range_id % 2 = 0 THEN lo + 7 ELSE lo END AS lo, CASE WHEN range_id % 3 = 0 THEN hi - 11 ELSE hi END AS hi FROM ranges),
+m AS (SELECT e.stream_id, e.range_id, t.idx, t.speaker, t.word_count, lag(t.speaker) OVER (PARTITION BY e.stream_id, e.range_id ORDER BY t.idx) AS prev
+      FROM e JOIN turns t ON e.stream_id = t.stream_id AND t.start BETWEEN e.lo AND e.hi),
+f AS (SELECT stream_id, range_id, coalesce(sum(word_count) FILTER (WHERE speaker = 'host'), 0) / greatest(sum(word_count), 1) AS ratio,
+        1 + count(*) FILTER (WHERE prev <> speaker) AS n, max_by(speaker = 'host', idx) AS host_last FROM m GROUP BY stream_id, range_id)
+SELECT e.stream_id, e.range_id, round(e.lo, 4) AS start, round(e.hi, 4) AS "end", round(coalesce(ratio, 0), 6) AS host_ratio,
+  coalesce(n, 0) AS turns, coalesce(host_last, false) AS host_last, round(50 + CASE WHEN e.hi - e.lo BETWEEN 40 AND 55 THEN 3 ELSE 0 END
+    + CASE WHEN coalesce(host_last, false) THEN 2 ELSE 0 END, 4) AS composite
+FROM e LEFT JOIN f USING (stream_id, range_id)""")
+def scr6_talk(spark, sf):
+    """Ranges with ends moved by a review: talk figures and composite are those of the new ends."""
+    t = turns(spark, sf)
+    host = F.col("speaker") == "host"
+    c = talk.range_metrics(chat_ranges(t), t, host, range_id="range_id").withColumns({
+        "scores": F.create_map(F.lit("novelty"), F.lit(5.0)), "preliminary": F.lit(5.0), "composite": F.lit(0.0)})
+    reviews = c.select("stream_id", "range_id", F.when(F.col("range_id") % 2 == 0, F.col("start") + 7).alias("new_start"),
+                       F.when(F.col("range_id") % 3 == 0, F.col("end") - 11).alias("new_end"),
+                       F.create_map(F.lit("humor"), F.lit(5.0)).alias("new_scores"), F.lit(True).alias("keep"))
+    out = ops.rescore(c, reviews, PROFILE, ops.Lengths(10.0, 300.0, 40.0, 55.0), cand_id="range_id", turns=t, is_host=host)
+    return out.select("stream_id", "range_id", R("start", 4).alias("start"), R("end", 4).alias("end"),
+                      R("host_ratio", 6).alias("host_ratio"), "turns", "host_last", R("composite", 4).alias("composite"))
+
+
+STORY = """round(CASE WHEN cand_id % 3 = 0 THEN raw * 0.8e0 WHEN cand_id % 5 = 0 THEN (raw + checked) / 2 * 0.6e0 ELSE (raw + checked) / 2 END, 1)"""
+
+
+@query("scr9_story_score", SCORED + f"""
+, t AS (SELECT cand_id, coalesce(preliminary, 4e0) AS raw, CASE WHEN cand_id % 11 = 0 THEN 5e0 ELSE novelty END AS checked FROM s)
+SELECT cand_id, {STORY} AS score FROM t WHERE {STORY} >= 2.5e0""")
 def scr9(spark, sf):
-    checked = F.when(F.col("cand_id") % 3 != 0, (F.col("cand_id") % 10).cast("double"))
-    score = ops.story_score(F.col("preliminary"), checked, F.col("cand_id") % 5 != 0)
-    return _scored(spark, sf).filter(score >= 2.5).select("cand_id", R(score, 4).alias("score"))
+    """Every third story is unchecked, every eleventh check gives no score."""
+    checked = F.when(F.col("cand_id") % 11 != 0, (F.col("cand_id") % 10).cast("double"))
+    score = ops.story_score(F.coalesce("preliminary", F.lit(4.0)), checked, F.col("cand_id") % 5 != 0, F.col("cand_id") % 3 != 0)
+    return _scored(spark, sf).select("cand_id", score.alias("score")).filter("score >= 2.5")
 
 
 @query("flt12_valid_stories", f"""
@@ -204,8 +234,8 @@ def flt12(spark, sf):
 
 
 @query("scr22_audit_trail", SCORED + """
-, t AS (SELECT *, CASE WHEN NOT unscored AND finish < 3 THEN 'dealbreaker: finish' WHEN NOT unscored AND coalesce(hook, 5) < 2 THEN 'dealbreaker: hook'
-   WHEN NOT unscored AND clarity < 1 THEN 'dealbreaker: clarity' WHEN status = 'P' THEN 'mandatory requirements' END AS failure FROM s)
+, t AS (SELECT *, CASE WHEN NOT unscored AND novelty < 3 THEN 'dealbreaker: novelty' WHEN NOT unscored AND coalesce(tension, 5) < 2 THEN 'dealbreaker: tension'
+   WHEN NOT unscored AND depth < 1 THEN 'dealbreaker: depth' WHEN status = 'P' THEN 'mandatory requirements' END AS failure FROM s)
 SELECT cand_id, concat_ws(' > ', 'detect FOUND', 'score ' || CASE WHEN unscored THEN 'FALLBACK' ELSE 'SCORED' END,
    CASE WHEN failure IS NULL THEN 'filter PASSED' ELSE 'filter REJECTED ' || failure END,
    CASE WHEN failure IS NULL AND composite >= 65 THEN 'gate AUTO_PASS' END) AS trail FROM t""")

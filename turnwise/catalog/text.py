@@ -65,32 +65,37 @@ def fn6(spark, sf):
 
 
 ANSWERS = SIGNALS + """,
-ans AS (SELECT *, pos % 7 AS m FROM signals)"""
+ans AS (SELECT *, pos % 12 AS m FROM signals)"""
 
 
-@query("fn10_parse_responses", f"""
-WITH {ANSWERS}
-SELECT pos, 0 AS item_no, 'a' || pos AS title, CAST(user_id AS DOUBLE) AS score FROM ans WHERE m <> 6
-UNION ALL SELECT pos, 1, 'b', NULL FROM ans WHERE m IN (1, 4)""")
-def fn10(spark, sf):
+def _answers(spark, sf):
+    """Answers of twelve forms: objects and lists with text and fences around them, and what holds no object."""
     one = F.format_string('{"title": "a%d", "score": %d, "more": [1, {"x": 2}]}', "pos", "user_id")
     two = F.concat(F.lit("["), one, F.lit(', {"title": "b"}]'))
-    m = F.col("pos") % 7
+    m = F.col("pos") % 12
     text = (F.when(m == 0, F.concat(F.lit("\n "), one)).when(m == 1, two)
             .when(m == 2, F.concat(F.lit("Here it is:\n```json\n"), one, F.lit("\n```\nbye")))
             .when(m == 3, F.concat(F.lit("I think "), one, F.lit(" is right.")))
             .when(m == 4, F.concat(F.lit("```\nnot json\n```\n```json\n"), two, F.lit("\n```")))
-            .when(m == 5, F.concat(F.lit("so ["), one, F.lit("] then"))).otherwise("no {json here]"))
-    answers = signals(spark, sf).select("pos", text.alias("answer"))
-    return ops.parse_responses(answers, "title:string,score:double")[0].select("pos", "item_no", "title", "score")
+            .when(m == 5, F.concat(F.lit("so ["), one, F.lit("] then"))).when(m == 6, "no {json here]")
+            .when(m == 7, "5").when(m == 8, '"x"').when(m == 9, "null").when(m == 10, "[1,2]").otherwise("[]"))
+    return signals(spark, sf).select("pos", text.alias("answer"))
+
+
+@query("fn10_parse_responses", f"""
+WITH {ANSWERS}
+SELECT pos, 0 AS item_no, 'a' || pos AS title, CAST(user_id AS DOUBLE) AS score FROM ans WHERE m < 6
+UNION ALL SELECT pos, 1, 'b', NULL FROM ans WHERE m IN (1, 4)""")
+def fn10(spark, sf):
+    return ops.parse_responses(_answers(spark, sf), "title:string,score:double")[0].select("pos", "item_no", "title", "score")
 
 
 @query("fn10_rejected_responses", f"""
 WITH {ANSWERS}
-SELECT pos FROM ans WHERE m = 6""")
+SELECT pos, CASE m WHEN 6 THEN 'no {{json here]' WHEN 7 THEN '5' WHEN 8 THEN '"x"' WHEN 9 THEN 'null' WHEN 10 THEN '[1,2]' ELSE '[]' END AS answer,
+  CASE WHEN m = 6 THEN 'no JSON' ELSE 'no object' END AS reason FROM ans WHERE m >= 6""")
 def fn10_rejects(spark, sf):
-    text = F.when(F.col("pos") % 7 == 6, "no {json here]").otherwise(F.format_string('x {"score": %d}', "pos"))
-    return ops.parse_responses(signals(spark, sf).select("pos", text.alias("answer")), "score:double")[1].select("pos")
+    return ops.parse_responses(_answers(spark, sf), "title:string,score:double")[1].select("pos", "answer", "reason")
 
 
 LINK = """

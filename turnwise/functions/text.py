@@ -37,14 +37,6 @@ def topic_words(name: Column, stop: list[str]) -> Column:
     return F.array_except(kept, F.array(*[F.lit(w) for w in stop]).cast("array<string>"))
 
 
-def topic_similarity(name_a: Column, name_b: Column, id_a: Column, id_b: Column,
-                     stop: list[str]) -> Column:
-    """Better of the name overlap and the id overlap."""
-    by_name = overlap_coefficient(topic_words(name_a, stop), topic_words(name_b, stop))
-    by_id = overlap_coefficient(topic_words(id_a, stop), topic_words(id_b, stop))
-    return F.greatest(by_name, by_id)
-
-
 def label_role(speaker: Column, hosts: list[str]) -> Column:
     """host / unknown / guest from a raw speaker label."""
     low = F.lower(F.coalesce(speaker, F.lit("")))

@@ -10,7 +10,7 @@ VIDEO_ID = r"(?:v=|/v/|youtu\.be/|/embed/|/shorts/|/live/)([a-zA-Z0-9_-]{11})"
 VIDEO_LINK = (r"^(https?://)?(www\.)?"
               r"(youtube\.com/(watch\?v=|v/|shorts/|live/)|youtu\.be/)[A-Za-z0-9_-]+")
 FILE_ID = [r"/file/d/([a-zA-Z0-9_-]+)", r"/folders/([a-zA-Z0-9_-]+)",
-           r"id=([a-zA-Z0-9_-]+)", r"/open\?id=([a-zA-Z0-9_-]+)"]
+           r"id=([a-zA-Z0-9_-]+)"]
 
 
 def _first_group(url: Column, pattern: str) -> Column:

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FENCE = r"```(?:json)?\s*\n?([\s\S]*?)\n?```"
+# Text between two fence lines; a fence line begins with three backticks and may name a language.
+FENCE = r"(?ms)^[ \t]*```[^`\n]*$\n(.*?)^[ \t]*```"
 
 
 def json_part(text: Column) -> Column:
@@ -28,13 +29,24 @@ def json_part(text: Column) -> Column:
 
 
 def parse_responses(answers: DataFrame, schema: str, *, text: str = "answer") -> tuple[DataFrame, DataFrame]:
-    """Answers -> (typed rows, rejects). An object is taken as a list of one."""
+    """Answers -> (typed rows, rejects). Every answer is in one of them.
+
+    An object is a row; a list gives a row for each object in it, numbered by its place. An answer without an object,
+    be it no JSON, a number, a string, null or a list without objects, is a reject: it keeps its text and a `reason`.
+    """
     found = answers.withColumn("_json", json_part(F.col(text)))
-    rows = (found.filter(F.col("_json").isNotNull())
-            .withColumn("_list", F.from_json("_json", f"array<struct<{schema}>>"))
-            .select(*[c for c in answers.columns if c != text], F.posexplode("_list").alias("item_no", "_item"))
-            .select("*", "_item.*").drop("_item"))
-    return rows, found.filter(F.col("_json").isNull()).drop("_json")
+    value = F.try_parse_json("_json")
+    listed = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
+    numbered = F.transform(listed, lambda v, i: F.struct(i.alias("no"), v.alias("v")))
+    objects = F.filter(numbered, lambda x: F.schema_of_variant(x["v"]).startswith("OBJECT"))
+    found = found.withColumn("_objects", F.transform(objects, lambda x: F.struct(
+        x["no"].alias("item_no"), F.to_json(x["v"]).alias("_text"))))
+    empty = F.coalesce(F.size("_objects"), F.lit(0)) <= 0
+    rows = (found.filter(~empty)
+            .select(*[c for c in answers.columns if c != text], F.inline("_objects"))
+            .withColumn("_item", F.from_json("_text", f"struct<{schema}>")).select("*", "_item.*").drop("_item", "_text"))
+    reason = F.when(F.col("_json").isNull(), "no JSON").otherwise("no object")
+    return rows, found.filter(empty).withColumn("reason", reason).drop("_json", "_objects")
 
 
 def score_windows(windows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
