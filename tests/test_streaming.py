@@ -62,7 +62,7 @@ def test_first_appearances(spark, tmp_path):
     rnd = random.Random(3)
     rows = [(i % 2 + 1, i + 1.0, rnd.choice("ABCDEF")) for i in range(100)]
     got = _replay(spark, tmp_path, _batches(rows, rnd, 3, 8.0, (9, END, "Z")), "stream_id long, at double, speaker string",
-                  lambda s: live.first_appearances(s, delay="10 seconds"))
+                  lambda s: live.first_appearances(s, life=86_400.0, delay="10 seconds"))
     want = {}
     for s, at, who in rows:
         want[(s, who)] = min(at, want.get((s, who), at))
@@ -80,3 +80,14 @@ def test_job_intake_replaces_a_repeated_batch(spark, tmp_path):
     live.record_jobs(spark.readStream.schema(schema).parquet(folder), log, state + "2").awaitTermination()
     got = live.latest_status(spark.read.parquet(log)).collect()
     assert [(r.source, r.row_no, r.status, r.entries) for r in got] == [("a", 1, "processing", 1)]
+
+
+def test_streams_read_a_file_and_a_folder_alike(spark, tmp_path):
+    from turnwise.catalog.streams import str2_tumbling
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    one, many = tmp_path / "one", tmp_path / "many"
+    events.repartition(3).write.parquet(str(many / "events.parquet"))
+    one.mkdir()
+    (one / "events.parquet").symlink_to("/root/testdata/sf0.001/events.parquet")
+    a, b = (sorted(map(tuple, str2_tumbling(spark, str(d)).collect())) for d in (one, many))
+    assert a and a == b

@@ -18,7 +18,8 @@ DAY = 86_400
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """events.parquet as a stream: key = user, time = ts."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # in braces the name is a pattern, which a stream reads both as one file and as a folder of files
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/{{events.parquet}}")
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("at", F.unix_micros("ts") / 1e6)
 
 
@@ -37,7 +38,7 @@ mark AS (SELECT max(us) // 1000 * 1000 AS top FROM ev)"""
 
 @query("str1_live_turns", f"""
 WITH {MARK},
-f AS (SELECT *, user_id % 7 AS s, us / 1e6 AS tm, us / 1e6 + value AS until, CASE WHEN event_type IN ('click', 'view') THEN 'host' ELSE 'guest' END AS who FROM ev),
+f AS (SELECT *, user_id AS s, us / 1e6 AS tm, us / 1e6 + value AS until, CASE WHEN event_type IN ('click', 'view') THEN 'host' ELSE 'guest' END AS who FROM ev),
 g AS (SELECT *, CASE WHEN lag(who) OVER w IS DISTINCT FROM who OR tm - lag(until) OVER w > 600 THEN 1 ELSE 0 END AS new FROM f
       WHERE us <= (SELECT top FROM mark) - 3600000000 WINDOW w AS (PARTITION BY s ORDER BY tm, event_id)),
 h AS (SELECT *, sum(new) OVER (PARTITION BY s ORDER BY tm, event_id) AS run FROM g),
@@ -46,7 +47,7 @@ SELECT stream_id, speaker, start, "end", word_count FROM t
 WHERE run < (SELECT max(run) FROM t x WHERE x.stream_id = t.stream_id) OR "end" + 600 < ((SELECT top FROM mark) - 3600000000) / 1e6""")
 def str1(spark, sf):
     e = _events(spark, sf)
-    words = e.select((F.col("user_id") % 7).alias("stream_id"), "ts", "at", F.col("event_id").alias("pos"), (F.col("at") + F.col("value")).alias("until"),
+    words = e.select(F.col("user_id").alias("stream_id"), "ts", "at", F.col("event_id").alias("pos"), (F.col("at") + F.col("value")).alias("until"),
                      F.when(F.col("event_type").isin("click", "view"), "host").otherwise("guest").alias("speaker"), F.col("event_type").alias("text"))
     out = _finish(spark, live.live_turns(words, max_pause=600.0, delay="1 hour"), "str1")
     return out.drop("text")
@@ -87,21 +88,21 @@ def str2_sessions(spark, sf):
 
 @query("str3_first_appearances", f"""
 WITH {MARK}
-SELECT user_id % 7 AS stream_id, event_type AS speaker, min(us) / 1e6 AS at FROM ev
+SELECT user_id AS stream_id, event_type AS speaker, min(us) / 1e6 AS at FROM ev
 GROUP BY ALL HAVING min(us) <= (SELECT top FROM mark) - 3600000000""")
 def str3(spark, sf):
-    e = _events(spark, sf).select((F.col("user_id") % 7).alias("stream_id"), F.col("event_type").alias("speaker"), "ts", "at")
+    e = _events(spark, sf).select(F.col("user_id").alias("stream_id"), F.col("event_type").alias("speaker"), "ts", "at")
     return _finish(spark, live.first_appearances(e, delay="1 hour", life=90.0 * DAY), "str3")
 
 
 @query("str4_live_correlation", f"""
 WITH {MARK},
-v AS (SELECT user_id % 7 AS s, event_id, us FROM ev WHERE event_type = 'signup'),
-k AS (SELECT user_id % 7 AS s, event_id AS s_pos, us AS s_us FROM ev WHERE event_type = 'click'),
+v AS (SELECT user_id AS s, event_id, us FROM ev WHERE event_type = 'signup'),
+k AS (SELECT user_id AS s, event_id AS s_pos, us AS s_us FROM ev WHERE event_type = 'click'),
 j AS (SELECT v.s, v.event_id, v.us, min(s_pos) AS s_pos, arg_min(s_us, s_pos) AS s_us FROM v LEFT JOIN k ON v.s = k.s AND abs(s_us - us) <= 600000000 GROUP BY ALL)
 SELECT s AS stream_id, event_id, s_pos, round(1 - abs(s_us - us) / 1e6 / 600, 6) AS correlation FROM j""")
 def str4(spark, sf):
-    e = _events(spark, sf).withColumn("stream_id", F.col("user_id") % 7)
+    e = _events(spark, sf).withColumn("stream_id", F.col("user_id"))
     # One more row far ahead moves both watermarks past all events.
     ahead = F.expr("ts + INTERVAL 400 DAYS")
     def with_end(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -118,8 +119,8 @@ def str4(spark, sf):
 
 @query("str5_live_cues", f"""
 WITH RECURSIVE {MARK},
-c AS (SELECT user_id % 7 AS s, us / 1e6 AS tm, CAST(event_id AS VARCHAR) AS cue_id, event_type AS t, (value % 10) / 10 AS conf,
-        row_number() OVER (PARTITION BY user_id % 7 ORDER BY us, event_id) AS k FROM ev WHERE us <= (SELECT top FROM mark) - 3600000000),
+c AS (SELECT user_id AS s, us / 1e6 AS tm, CAST(event_id AS VARCHAR) AS cue_id, event_type AS t, (value % 10) / 10 AS conf,
+        row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM ev WHERE us <= (SELECT top FROM mark) - 3600000000),
 walk AS (SELECT s, k, k AS cur, tm, t, conf, NULL::BIGINT AS closed FROM c WHERE k = 1
   UNION ALL
   SELECT w.s, c.k, CASE WHEN near AND c.conf <= w.conf THEN w.cur ELSE c.k END, CASE WHEN near AND c.conf <= w.conf THEN w.tm ELSE c.tm END,
@@ -129,7 +130,7 @@ won AS (SELECT s, closed AS k FROM walk WHERE closed IS NOT NULL
   UNION ALL SELECT s, max_by(cur, k) FROM walk GROUP BY s HAVING max_by(tm, k) + 3000 < ((SELECT top FROM mark) - 3600000000) / 1e6)
 SELECT c.s AS stream_id, cue_id, t AS cue_type, tm AS at, round(conf, 6) AS confidence FROM c JOIN won USING (s, k)""")
 def str5(spark, sf):
-    e = _events(spark, sf).select((F.col("user_id") % 7).alias("stream_id"), "ts", "at", F.col("event_id").cast("string").alias("cue_id"),
+    e = _events(spark, sf).select(F.col("user_id").alias("stream_id"), "ts", "at", F.col("event_id").cast("string").alias("cue_id"),
                                   F.col("event_type").alias("cue_type"), (F.col("value") % 10 / 10).alias("confidence"))
     out = _finish(spark, live.live_cues(e, apart=3000.0, delay="1 hour"), "str5")
     return out.withColumn("confidence", R("confidence", 6))

@@ -53,7 +53,7 @@ def live_cues(cues: DataFrame, *, apart: float = 5.0, delay: str = "10 seconds")
                 step=step, close=close)
 
 
-def first_appearances(words: DataFrame, *, delay: str = "10 seconds", life: float = 86_400.0) -> DataFrame:
+def first_appearances(words: DataFrame, *, life: float, delay: str = "10 seconds") -> DataFrame:
     """First time each speaker is heard. A speaker is remembered for `life` seconds after the first
     word, the longest a stream lasts; rows may be late by `delay`, whichever comes first counts."""
     def step(o, w):
