@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from turnwise.plans.cut import cut
 
 BATCH = 2 << 20
 ORDERS = 3  # global token orders
-BITS = 1024  # of the parity bitmap of a set
+BITS = 1024  # of the parity bitmap of a set, at least
 BLOCK = 256  # sets of a block; a larger bucket is compared block by block
 HOT_BLOCK = 1024  # postings of a block of a frequent token
 SAMPLE = 16  # one document in so many is counted to find frequent tokens
@@ -25,7 +24,9 @@ FREQUENT = 4  # times in that sample
 MOST_FREQUENT = 200_000  # tokens that are put last in the order
 SHARED_IDS = 4_000_000  # narrow rows that may be broadcast
 NO_ID = (1 << 63) - 1  # stands for a null doc_id, so that it is nobody's least
-_FACTORS = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 | 1) for i in range(64)]
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_POWERS = np.multiply.accumulate(np.full(256, 0xD1342543DE82EF95, np.uint64))
 _SEEDS = [np.uint64(0xD6E8FEB86659FD93 * (i + 1) & (1 << 64) - 1) for i in range(ORDERS)]
 
 
@@ -36,22 +37,45 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of `words` words, A-Z in lower case; a shorter text is one run."""
-    found = text.lower().split()
-    if not found:
+#: Odd and without a pattern among them, so that the same words in other places give another sum.
+_FACTORS = list(mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of every word, A-Z in lower case: a polynomial in the bytes of the word, mixed with its length."""
+    data = np.frombuffer(text.lower(), np.uint8)
+    solid = ~_BLANK[data]
+    edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
         return np.empty(0, np.uint64)
-    hashed = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
-    size = min(words, len(found))
-    total = np.full(len(found) - size + 1, size, np.uint64)
+    lengths = ends - starts
+    firsts = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
+    powers = _POWERS
+    if lengths.max() > len(powers):
+        powers = np.multiply.accumulate(np.full(int(lengths.max()), _POWERS[0], np.uint64))
+    sums = np.add.reduceat((data[solid].astype(np.uint64) + np.uint64(1)) * powers[place], firsts)
+    return mixed(sums ^ lengths.astype(np.uint64) * _FACTORS[9])
+
+
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of `words` words; a shorter text is one run."""
+    hashed = word_hashes(text)
+    if not len(hashed):
+        return hashed
+    size = min(words, len(hashed))
+    n = len(hashed) - size + 1
+    total = np.full(n, size, np.uint64)
     for i in range(size):
-        total = mixed(total ^ hashed[i:i + len(total)] * _FACTORS[i])
-    return np.unique(total)
+        total += hashed[i:i + n] * _FACTORS[i]
+    total = np.sort(mixed(total))
+    return total[np.append(True, total[1:] != total[:-1])]
 
 
 def ranked(tokens: np.ndarray, order: int) -> np.ndarray:
-    """Rank of every token in a global order."""
-    return mixed(tokens ^ _SEEDS[order])
+    """Rank of every token in a global order. Tokens are mixed already, so flipping bits is enough for an order."""
+    return tokens ^ _SEEDS[order]
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -62,18 +86,34 @@ def prefix_length(n: int, percent: int) -> int:
 def prefix(tokens: np.ndarray, order: int, percent: int, frequent: np.ndarray | None = None) -> np.ndarray:
     """The first tokens in an order, `frequent` ones (sorted) after all others."""
     size = prefix_length(len(tokens), percent)
-    rank = ranked(tokens, order)
     if frequent is not None and len(frequent):
         last = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
-        return tokens[np.lexsort((rank, last))[:size]]
-    return tokens[np.argpartition(rank, size - 1)[:size]] if size < len(tokens) else tokens
+        if last.any():
+            rare = tokens[~last]
+            return _first(rare, order, size) if len(rare) >= size else np.concatenate([rare, _first(tokens[last], order, size - len(rare))])
+    return _first(tokens, order, size)
+
+
+def _first(tokens: np.ndarray, order: int, size: int) -> np.ndarray:
+    return tokens[np.argpartition(ranked(tokens, order), size - 1)[:size]] if 0 < size < len(tokens) else tokens[:size]
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """A bitmap in which a bit is set if an odd number of tokens fall on it. Two sets differ in as many tokens at
-    least as their bitmaps differ in bits."""
-    counts = np.bincount((tokens >> np.uint64(54)).astype(np.int64), minlength=BITS)
-    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+    """A bitmap in which a bit is set if an odd number of tokens fall on it, of twice as many bits as tokens or more.
+    Two sets differ in as many tokens at least as their bitmaps differ in bits."""
+    bits = max(BITS, 1 << int(2 * len(tokens) - 1).bit_length()) if len(tokens) else BITS
+    counts = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def unlike(a: bytes, b: bytes) -> int:
+    """In how many bits two bitmaps differ, the longer one folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _described(words: int):
@@ -219,6 +259,11 @@ def frequent_tokens(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return tokens[order], counts[order]
 
 
+def _pairs(ids: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
+    x, y = (ids[np.concatenate(v).astype(np.int64)] if v else np.empty(0, np.int64) for v in (a, b))
+    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+
+
 def candidates(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Pairs (a, b) of sets of different components that share a prefix token and may be alike by size.
 
@@ -247,7 +292,7 @@ def candidates(docs: DataFrame, words: int, percent: int, frequent: tuple[np.nda
                     hot = many > 1
                     if hot.any():
                         heads = np.array([s[np.argmin(ranked(s, k))] for k in range(ORDERS)], np.uint64).tobytes()
-                        own = int(xxhash.xxh64_intdigest(int(id_).to_bytes(8, "little", signed=True)))
+                        own = int(mixed(np.array([id_]).view(np.uint64))[0])
                         token, nb = first[hot], many[hot]
                         parts[-1] = (first[~hot], *(x[~hot] for x in parts[-1][1:5]), None)
                         for t, m in zip(token, nb.tolist()):
@@ -258,42 +303,62 @@ def candidates(docs: DataFrame, words: int, percent: int, frequent: tuple[np.nda
                                           heads + int(mine).to_bytes(8, "little")))
             if parts:
                 cols = [np.concatenate([p[k] for p in parts]) for k in range(5)]
-                heads = np.concatenate([np.full(len(p[0]), p[5], object) for p in parts])
+                heads = [h for p in parts for h in [p[5]] * len(p[0])]
                 yield pd.DataFrame({"token": cols[0].view(np.int64), "pair": cols[1], "id": cols[2], "comp": cols[3],
                                     "n": cols[4].astype(np.int32), "heads": heads})
 
-    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def several(frames):
-            for frame in frames:  # leaves out, at once, what is alone with its token inside the batch
-                token = frame.token.to_numpy()
-                if len(token):
-                    same = token[1:] == token[:-1]
-                    yield frame[np.append(same, True) | np.append(True, same)]  # the ends may go on in other batches
+    def met(token, pair, ids, comp, n, heads) -> Iterator[pd.DataFrame]:
+        """Pairs inside each run of equal (token, pair)."""
+        starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (pair[1:] != pair[:-1])))
+        ends = np.append(starts[1:], len(token))
+        mixed_runs = np.minimum.reduceat(comp, starts) < np.maximum.reduceat(comp, starts)
         found_a, found_b, held = [], [], 0
-        for run in sorted_runs(several(frames), ["token", "pair"]):
-            comp = run.comp.to_numpy()
-            if len(run) < 2 or (comp == comp[0]).all():
-                continue
-            ids, n, pair = run.id.to_numpy(), run.n.to_numpy().astype(np.int64), int(run.pair.iat[0])
-            extra = np.stack([np.frombuffer(h, np.uint64) for h in run.heads]) if pair else None
-            for first in range(0, len(ids), 512):
-                rows = slice(first, first + 512)
-                meets = (comp[rows, None] != comp[None, :]) & (ids[rows, None] < ids[None, :])
-                meets &= 100 * np.minimum(n[rows, None], n[None, :]) >= percent * np.maximum(n[rows, None], n[None, :])
-                if pair:
+
+        def fits(a, b):
+            small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            return (ids[a] != ids[b]) & (comp[a] != comp[b]) & (100 * small >= percent * large)
+        twos = starts[mixed_runs & (ends - starts == 2) & (pair[starts] == 0)]
+        twos = twos[fits(twos, twos + 1)]
+        found_a.append(twos)
+        found_b.append(twos + 1)
+        for start, end in zip(*(x[mixed_runs & ((ends - starts > 2) | (pair[starts] > 0))].tolist() for x in (starts, ends))):
+            code = int(pair[start]) - 1
+            extra = np.stack([np.frombuffer(h, np.uint64) for h in heads[start:end]]) if code >= 0 else None
+            for first in range(start, end, 512):
+                rows = np.arange(first, min(end, first + 512))
+                others = np.arange(first, end)
+                meets = fits(rows[:, None], others[None, :]) & (rows[:, None] < others[None, :])
+                if extra is not None:
+                    x, y = extra[rows - start], extra[others - start]
                     for k in range(ORDERS):
-                        meets &= extra[rows, None, k] != extra[None, :, k]
-                    if pair - 1 >> 24 != (pair - 1 & 0xFFFFFF):
-                        meets &= extra[rows, None, ORDERS] != extra[None, :, ORDERS]
+                        meets &= x[:, None, k] != y[None, :, k]
+                    if code >> 24 != code & 0xFFFFFF:  # pairs inside a block are met where it stands alone
+                        meets &= x[:, None, ORDERS] != y[None, :, ORDERS]
                 a, b = np.nonzero(meets)
-                found_a.append(ids[rows][a])
-                found_b.append(ids[b])
+                found_a.append(rows[a])
+                found_b.append(others[b])
                 held += len(a)
-                if held > 100_000:
-                    yield pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)}).drop_duplicates()
+                if held > 200_000:
+                    yield _pairs(ids, found_a, found_b)
                     found_a, found_b, held = [], [], 0
-        if found_a:
-            yield pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)}).drop_duplicates()
+        yield _pairs(ids, found_a, found_b)
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[np.ndarray] = []  # the last run of a batch may go on in the next
+        for frame in frames:
+            cols = [frame[c].to_numpy() for c in ("token", "pair", "id", "comp", "n", "heads")]
+            if not len(cols[0]):
+                continue
+            if kept:
+                cols = [np.concatenate(p) for p in zip(kept, cols)]
+            token, pair = cols[:2]
+            same = (token == token[-1]) & (pair == pair[-1])
+            last = len(token) - int(same.sum())
+            if last:
+                yield from met(*[c[:last] for c in cols])
+            kept = [c[last:] for c in cols]
+        if kept:
+            yield from met(*kept)
     postings = docs.mapInPandas(post, "token bigint, pair bigint, id bigint, comp bigint, n int, heads binary")
     return (postings.repartition("token", "pair").sortWithinPartitions("token", "pair")
             .mapInPandas(meet, "a bigint, b bigint").distinct())
@@ -353,10 +418,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     b = classes.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
 
     @F.pandas_udf("long")
-    def unlike(x: pd.Series, y: pd.Series) -> pd.Series:
-        bits = [np.frombuffer(b"".join(v), np.uint64).reshape(len(v), -1) for v in (x, y)]
-        return pd.Series(np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int64))
-    most = (F.col("n_a") + F.col("n_b") - unlike("bits_a", "bits_b")) / 2  # of tokens in common
+    def differing(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([unlike(p, q) for p, q in zip(x, y)], dtype="int64")
+    most = (F.col("n_a") + F.col("n_b") - differing("bits_a", "bits_b")) / 2  # of tokens in common
     possible = (pairs.join(a, "a").join(b, "b").withColumn("most", most)
                 .filter(100 * F.col("most") >= percent * (F.col("n_a") + F.col("n_b") - F.col("most"))))
     asked = possible.select(F.col("a").alias("bucket"), F.col("b").alias("i"), F.lit(0).cast("long").alias("j"),
