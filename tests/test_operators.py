@@ -344,3 +344,34 @@ def test_talk_time_within(spark):
         out = speakers.talk_time_within(spans, segs, interval_id="i", label=F.col("seg_speaker"), labels=["A", "B"], block_seconds=width)
         got = {r.i: (round(r.A_time, 6), round(r.B_time, 6)) for r in out.collect()}
         assert got == {0: (10.0, 15.0), 1: (0.0, 0.0), 2: (1.5, 1.5), 3: (0.0, 0.0), 4: (200.0, 0.0), 5: (0.0, 0.0)}
+
+
+def test_leading_labels_with_many_labels():
+    import time
+
+    import numpy as np
+    rnd = random.Random(8)
+    for trial in range(30):
+        n, half, need = rnd.randint(1, 60), rnd.choice([0.0, 3.0, 10.0]), rnd.choice([1, 2, 3])
+        start = np.sort(np.array([float(rnd.randint(0, 40)) for _ in range(n)]))
+        code = np.array([rnd.randint(-1, 5) for _ in range(n)])
+        own = np.array([rnd.random() < .7 for _ in range(n)])
+        names = np.array(list("abcdef"), dtype=object)
+        want = []
+        for i in np.flatnonzero(own):
+            near = [int(c) for c, t in zip(code, start) if abs(t - start[i]) <= half and c >= 0]
+            top = max(((near.count(c), -near.index(c), c) for c in set(near)), default=(0, 0, -1))
+            want.append(names[top[2]] if top[0] >= need else None)
+        assert conv._leading_labels(start, code, names, own, half, need) == want
+    began, n = time.time(), 200_000
+    start, code = np.arange(n, dtype=float), np.arange(n) % 50_000
+    assert conv._leading_labels(start, code, np.arange(50_000).astype(object), np.ones(n, bool), 60.0, 1)[0] == 0
+    assert time.time() - began < 20
+
+
+def test_similar_vectors_in_parts(spark):
+    rnd = random.Random(9)
+    rows = [(1, 1, f"t{i}", (float(i), i), [rnd.gauss(0, 1) for _ in range(3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "stream_id long, conv_id long, topic_id string, ord struct<t:double,n:int>, vector array<double>")
+    one, many = (sorted((r.a_id, r.b_id) for r in topics.similar_vectors(df, part_rows=p).collect()) for p in (1000, 7))
+    assert one == many and len(set(many)) == len(many) > 20

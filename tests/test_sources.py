@@ -114,3 +114,28 @@ def test_links(spark):
     got = [tuple(r) for r in df.select(urls.video_id(F.col("u")), urls.file_id(F.col("u")), urls.link_class(F.col("u")), urls.is_video_link(F.col("u"))).collect()]
     assert got == [("abcdefghijk", None, "video", True), ("abcdefghijk", None, "video", True), ("abcdefghijk", None, "video", True),
                    (None, None, "other", False), (None, "F_1-x", "drive", False)]
+
+
+def test_import_stage_from_json_documents(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"video": "v1",\n "cues": [{"at": 1.5, "kind": "intro"}, {"at": 2, "more": 1}]}')
+    (tmp_path / "b.json").write_text('{"video": "v2", "cues": []}')
+    (tmp_path / "c.json").write_text('not json')
+    rows, bad = stages.import_stage(spark, str(tmp_path), "cues", "at double, kind string", document="video string")
+    assert sorted(tuple(r) for r in rows.select("video", "item_no", "at", "kind").collect()) == [("v1", 0, 1.5, "intro"), ("v1", 1, 2.0, None)]
+    assert [r.file.rsplit("/", 1)[1] for r in bad.collect()] == ["c.json"]
+
+
+def test_lines_of_many_files_keep_their_order(spark, tmp_path):
+    for name, minute in (("part-99999.txt", 1), ("part-100000.txt", 2), ("part-7.txt", 0)):
+        (tmp_path / name).write_text(f"9\t[0:0{minute}:00] A: turn {minute}\n")
+    turns, bad = transcripts.read_text_turns(spark, str(tmp_path))
+    assert [r.text for r in turns.orderBy("idx").collect()] == ["turn 0", "turn 1", "turn 2"] and bad.count() == 0
+
+
+def test_distinct_values(spark):
+    from turnwise.operators.selection import distinct_values
+    rows = spark.range(30_000).selectExpr("id % 2 AS stream_id", "id % 5000 AS v").unionByName(
+        spark.createDataFrame([(0, None), (7, None)], "stream_id long, v long"))
+    assert {r.stream_id: r.n for r in distinct_values(rows, rows.v).collect()} == {0: 2500, 1: 2500, 7: 0}
+    about = {r.stream_id: r.n for r in distinct_values(rows, rows.v, approximate=0.02).collect()}
+    assert abs(about[0] - 2500) < 250 and about[7] == 0

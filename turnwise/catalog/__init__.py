@@ -23,5 +23,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load_all() -> None:
     from importlib import import_module
     for part in ("sources", "speakers", "conversations", "windows", "cues", "topics", "scoring",
-                 "selection", "ensemble", "text", "streams"):
+                 "selection", "ensemble", "text", "streams", "flows"):
         import_module(f"turnwise.catalog.{part}")

@@ -8,6 +8,7 @@ from turnwise.catalog.windows import STAMP
 from turnwise.functions import vectors
 from turnwise.functions.text import overlap_coefficient, tokens, topic_words, word_set
 from turnwise.operators import topics as ops
+from turnwise.operators.selection import distinct_values
 
 R = F.round
 CONV = ["stream_id", "conv_id"]
@@ -84,7 +85,7 @@ def agg11(spark, sf):
 WITH {TOPIC_BLOCKS}
 SELECT stream_id, count(DISTINCT topic_id) AS topics FROM blocks GROUP BY stream_id""")
 def agg12t(spark, sf):
-    return topic_blocks(spark, sf).groupBy("stream_id").agg(F.count_distinct("topic_id").alias("topics"))
+    return distinct_values(topic_blocks(spark, sf), F.col("topic_id")).withColumnRenamed("n", "topics")
 
 
 CLIP_SEGS = """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,20 +19,40 @@ from turnwise.schema import KEY
 
 def _leading_labels(start: np.ndarray, code: np.ndarray, names: np.ndarray, own: np.ndarray,
                     half: float, need: int) -> list:
-    """Most frequent label (earliest first, null code = no vote) around every own row."""
-    lo = np.searchsorted(start, start - half, "left")
-    hi = np.searchsorted(start, start + half, "right")
-    at = [np.flatnonzero(code == c) for c in range(len(names))]
-    best = np.full(len(start), -1)
-    best_n = np.full(len(start), need - 1)
-    best_first = np.full(len(start), len(start))
-    for c, where in enumerate(at):
-        begin = np.searchsorted(where, lo, "left")
-        count = np.searchsorted(where, hi, "left") - begin
-        first = np.append(where, len(start))[begin]
-        better = (count > best_n) | ((count == best_n) & (best >= 0) & (first < best_first))
-        best[better], best_n[better], best_first[better] = c, count[better], first[better]
-    return [names[b] if b >= 0 else None for b in best[own]]
+    """Most frequent label (earliest first, null code = no vote) around every own row.
+
+    Two ends move over the sorted rows. A label's count and its first row in the window stand in a heap, old entries
+    of which are thrown away when they come to the top; so the work follows the rows, not the number of labels.
+    """
+    need = max(need, 1)
+    places: list[list[int]] = [[] for _ in names]
+    for i, c in enumerate(code.tolist()):
+        if c >= 0:
+            places[c].append(i)
+    first, count = [0] * len(names), [0] * len(names)
+    times, codes, heap, found, left, right = start.tolist(), code.tolist(), [], [], 0, 0
+
+    def enter(c: int) -> None:
+        if count[c] >= need:
+            heappush(heap, (-count[c], places[c][first[c]], c))
+    for i, mine in enumerate(own.tolist()):
+        if not mine:
+            continue
+        while right < len(times) and times[right] <= times[i] + half:
+            if (c := codes[right]) >= 0:
+                count[c] += 1
+                enter(c)
+            right += 1
+        while times[left] < times[i] - half:
+            if (c := codes[left]) >= 0:
+                count[c] -= 1
+                first[c] += 1
+                enter(c)
+            left += 1
+        while heap and (-heap[0][0] != count[heap[0][2]] or heap[0][1] != places[heap[0][2]][first[heap[0][2]]]):
+            heappop(heap)
+        found.append(names[heap[0][2]] if heap else None)
+    return found
 
 
 def rolling_dominance(turns: DataFrame, is_host: Column, *, half_window: float = 60.0,

@@ -93,3 +93,13 @@ def cut_summary(cuts: DataFrame) -> DataFrame:
     return cuts.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "success").alias("successful"),
         F.count_if(F.col("status") == "failed").alias("failed"), F.sum("size_mb").alias("size_mb"))
+
+
+def distinct_values(rows: DataFrame, value: Column, *, keys: list[str] | None = None, approximate: float | None = None) -> DataFrame:
+    """How many different values each stream has: n. With `approximate`, a relative error, the count is an estimate
+    from one sketch a stream, which moves no values; null values do not count."""
+    keys = keys or KEY
+    one = rows.select(*keys, value.alias("_v"))
+    if approximate is not None:
+        return one.groupBy(*keys).agg(F.approx_count_distinct("_v", approximate).alias("n"))
+    return one.groupBy(*keys, "_v").agg(F.lit(1)).groupBy(*keys).agg(F.count("_v").alias("n"))

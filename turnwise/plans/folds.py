@@ -36,8 +36,7 @@ def fold_kept(df: DataFrame, keys: list[str], order: list[str], block: Column |
              .groupBy(*keys, BLOCK)
              .agg(F.array_sort(F.collect_list(F.struct(*order, body.alias("_r")))).alias("_sorted"))
              .select(*keys, BLOCK, F.transform("_sorted", lambda x: x["_r"]).alias("_rows")))
-    # A first row type-correct null: what a block starts from before anything is known.
-    cells = cut(cells.withColumn("_entry", F.when(F.lit(False), F.col("_rows")[0])))
+    cells = cut(cells)
 
     def step(acc: Column, cur: Column) -> Column:
         last = acc["last"]
@@ -54,20 +53,27 @@ def fold_kept(df: DataFrame, keys: list[str], order: list[str], block: Column |
                          F.col("_entry").alias("last"))
         return cells.withColumn("_out", F.aggregate("_rows", start, step))
 
+    def exits(cells: DataFrame) -> DataFrame:
+        return folded(cells).select(*keys, BLOCK, "_entry", F.col("_out.last").alias("_exit"))
+
+    # What each block starts from and ends with: one small row a block. Only blocks whose start has moved are folded
+    # again. At first nothing is known: a null of the rows' type.
     chain = Window.partitionBy(*keys).orderBy(BLOCK)
+    state = cut(exits(cells.withColumn("_entry", F.when(F.lit(False), F.col("_rows")[0]))))
     while True:
-        exits = (folded(cells).select(*keys, BLOCK, F.col("_out.last").alias("_exit"))
-                 .select(*keys, BLOCK, F.lag("_exit").over(chain).alias("_given"),
-                         F.lead(F.lit(1)).over(chain).isNull().alias("_final")))
-        cells = cut(cells.drop("_final").join(exits, [*keys, BLOCK])
-                    .withColumn("_moved", ~F.col("_given").eqNullSafe(F.col("_entry")))
-                    .withColumn("_entry", F.col("_given")).drop("_given"))
-        if cells.filter("_moved").isEmpty():
+        given = state.withColumn("_given", F.lag("_exit").over(chain))
+        moved = cut(given.filter(~F.col("_given").eqNullSafe(F.col("_entry"))).select(*keys, BLOCK, F.col("_given").alias("_entry")))
+        if moved.isEmpty():
             break
-        cells = cells.drop("_moved")
+        again = exits(cells.join(moved, [*keys, BLOCK])).select(*keys, BLOCK, F.struct("_entry", "_exit").alias("_new"))
+        new = F.col("_new").isNotNull()
+        state = cut(state.join(again, [*keys, BLOCK], "left").select(
+            *keys, BLOCK, F.when(new, F.col("_new._entry")).otherwise(F.col("_entry")).alias("_entry"),
+            F.when(new, F.col("_new._exit")).otherwise(F.col("_exit")).alias("_exit")))
+    ends = state.select(*keys, BLOCK, "_entry", F.lead(F.lit(1)).over(chain).isNull().alias("_final"))
     kept = F.when(F.col("_final"), F.concat(F.col("_out.done"), F.array("_out.last"))) \
         .otherwise(F.col("_out.done"))
-    return (folded(cells).select(*keys, F.explode(kept).alias("_k")).select(*keys, "_k.*"))
+    return (folded(cells.join(ends, [*keys, BLOCK])).select(*keys, F.explode(kept).alias("_k")).select(*keys, "_k.*"))
 
 
 def _overlap(a: Column, b: Column) -> Column:

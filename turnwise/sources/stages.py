@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def save_stage(df: DataFrame, root: str, name: str, *, mode: str = "overwrite") -> str:
@@ -15,3 +16,17 @@ def save_stage(df: DataFrame, root: str, name: str, *, mode: str = "overwrite")
 
 def load_stage(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(posixpath.join(root, name))
+
+
+def import_stage(spark: SparkSession, path: str | list[str], rows: str, schema: str, *, document: str = "") -> tuple[DataFrame, DataFrame]:
+    """A stage written elsewhere as JSON documents, one file each: (rows, files without such a list).
+
+    Every document holds a list of objects under `rows` and may have fields of its own (`document`, a schema), which
+    come out on each of its rows. The place in the list is item_no, the file is named in `file`.
+    """
+    shape = ", ".join(x for x in (f"{rows} array<struct<{schema}>>", document) if x)
+    docs = (spark.read.schema(shape).option("multiLine", True).json(path)
+            .select("*", F.col("_metadata.file_path").alias("file")))
+    own = [c for c in docs.columns if c != rows]
+    found = docs.select(*own, F.posexplode(rows).alias("item_no", "_row")).select("*", "_row.*").drop("_row")
+    return found, docs.filter(F.col(rows).isNull()).select("file")

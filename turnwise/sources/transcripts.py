@@ -70,13 +70,16 @@ def parse_turn_lines(lines: DataFrame, order: list[str], block: Column) -> tuple
 
 def read_text_turns(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Readable transcripts -> (turns, rejected lines). A line may carry its stream before a tab, as
-    `write_transcript` leaves it; else the file stands for the stream. Line order is kept: by file,
-    by split of the file, then by line."""
+    `write_transcript` leaves it; else the file stands for the stream. Line order is kept: by folder,
+    by the first number in the file name (part-100000 follows part-99999), by name, by split of the file, then by line."""
     lines = spark.read.text(path)
     tag = F.regexp_extract("value", r"^(-?\d+)\t", 1)
     lines = lines.select(F.coalesce(tag.try_cast("long"), F.xxhash64(F.col("_metadata.file_path"))).alias("stream_id"),
                          F.regexp_replace("value", r"^-?\d+\t", "").alias("value"),
-                         F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
+                         F.struct(F.regexp_replace(F.col("_metadata.file_path"), "[^/]*$", "").alias("folder"),
+                                  F.regexp_extract(F.col("_metadata.file_name"), r"\d+", 0).try_cast("decimal(38,0)").alias("number"),
+                                  F.col("_metadata.file_name").alias("name")).alias("_file"),
+                         F.col("_metadata.file_block_start").alias("_split"),
                          F.monotonically_increasing_id().alias("_line_no"))
     block = F.struct("_file", "_split")
     return parse_turn_lines(lines, ["_file", "_split", "_line_no"], block)
