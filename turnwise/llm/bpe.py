@@ -16,7 +16,7 @@ from turnwise.llm.tables import columns, small_batches
 
 BATCH = 4 << 20
 #: A worker remembers up to twice as many words between batches; those not met for long are forgotten first.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Pairs of tokens whose verdict is remembered.
 REMEMBERED_PAIRS = 200_000
 NEVER = 1 << 40  # a rank beyond all merges

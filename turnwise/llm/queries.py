@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm import bpe, chunks, fingerprints, html, jaccard, language, mixing, sharding, unigram, urls
+from turnwise.llm.tables import short_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,10 +31,12 @@ def query(name: str, sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf}/pages.parquet")
 
 

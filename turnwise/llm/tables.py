@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the words and of text comparison: blank, tab, line feed, vertical tab, form feed, return.
@@ -39,3 +39,11 @@ def small_batches(frames: Iterator, column: str, limit: int) -> Iterator:
             stop = max(start + 1, int(sizes.searchsorted(base + limit, side="right")))
             yield frame.iloc[start:stop]
             start, base = stop, sizes[stop - 1]
+
+
+def short_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Python workers get `rows` texts at a time. Spark's default of 10,000 suits narrow rows, not texts of any
+    length; a number that the user has set stays. Results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
