@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -160,3 +160,31 @@ def test_components_of_chains_stars_and_loops(spark):
     assert len({got[i] for i in range(201)}) == 1 and len({got[i] for i in range(1000, 1100)}) == 1
     assert got[6000] == got[6001] and len(set(got.values())) == 3 and 5000 not in got
     assert components(spark.createDataFrame([], "a long, b long")).filter(F.lit(True)).collect() == []
+
+
+def test_near_copies_among_rows_of_null_and_repeated_ids(spark):
+    """Every text of a doc_id counts, also of a null one, and none is dropped for another."""
+    import corpus_pipeline as pipe
+    rnd = random.Random(9)
+    one, two, three, four = ([f"w{rnd.randrange(10 ** 9)}" for _ in range(100)] for _ in range(4))
+    rows = [(None, " ".join(one)), (None, " ".join(one) + " end"), (None, " ".join(two)), (5, " ".join(two) + " end"),
+            (7, " ".join(three)), (7, " ".join(four)), (9, " ".join(four) + " end"), (None, "alone here"), (None, None),
+            ((1 << 62) + 1, "a large number")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.near_groups(df).collect())
+    assert got == sorted([("None", 96, "None"), ("None", 97, "None"), ("None", 96, "5"), ("5", 97, "5"), ("7", 96, "7"), ("7", 96, "7"),
+                          ("9", 97, "7"), ("None", 1, "None"), ("None", 0, "None"), (str((1 << 62) + 1), 1, str((1 << 62) + 1))])
+    kept = Counter((r.doc_id, r.text) for r in pipe.drop_near_copies(spark, df, "").collect())
+    either = [k for k in rows[:2] if k in kept]
+    assert len(either) == 1 and kept == Counter(either + [rows[k] for k in (3, 4, 5, 7, 8, 9)])
+
+
+def test_documents_whose_numbers_clash_are_told_apart(spark, monkeypatch):
+    real, seeds = jaccard._texts, []
+
+    def clashing(docs, seed):
+        seeds.append(seed)
+        return real(docs, seed).withColumn("id", F.lit(1).cast("long")) if seed == 0 else real(docs, seed)
+    monkeypatch.setattr(jaccard, "_texts", clashing)
+    check_near(spark, [(1, "a b c d e f"), (2, "u v w x y z"), (3, "A b c d e f")])
+    assert seeds == [0, 1]

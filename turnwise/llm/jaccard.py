@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,6 @@ SAMPLE = 16  # one document in so many is counted to find frequent tokens
 FREQUENT = 4  # times in that sample
 MOST_FREQUENT = 200_000  # tokens that are put last in the order
 SHARED_IDS = 4_000_000  # narrow rows that may be broadcast
-NO_ID = (1 << 63) - 1  # stands for a null doc_id, so that it is nobody's least
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _POWERS = np.multiply.accumulate(np.full(256, 0xD1342543DE82EF95, np.uint64))
@@ -121,7 +121,7 @@ def _described(words: int):
         for frame in small_batches(frames, "text", BATCH):
             sets = [shingles(t, words) for t in frame.text]
             heads = [[s[np.argmin(ranked(s, k))] if len(s) else 0 for s in sets] for k in range(ORDERS)]
-            yield pd.DataFrame({"id": frame.id, "n": [len(s) for s in sets],
+            yield pd.DataFrame({"id": frame.id, "unnamed": frame.unnamed, "doc_id": frame.doc_id, "hash": frame.hash, "n": [len(s) for s in sets],
                                 "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                                 "bits": [parity(s) for s in sets]}
                                | {f"head{k}": np.array(h, np.uint64).view(np.int64) for k, h in enumerate(heads)})
@@ -218,16 +218,14 @@ def compared(docs: DataFrame, asked: DataFrame, words: int, percent: int) -> Dat
     def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple[int, int]] = []
         for run in sorted_runs(frames, ["bucket", "i", "j"]):
-            if run.id.duplicated().any():  # rows that repeat a doc_id
-                least = run.tokens.map(lambda t: hashlib.blake2b(t, digest_size=16).digest())
-                run = run.assign(least=least).sort_values("least").drop_duplicates("id")
+            run = run.drop_duplicates("id")  # rows that repeat a document
             if len(run) > 1:
                 found += _linked(run.id.to_numpy(), [np.frombuffer(t, np.uint64) for t in run.tokens], percent)
             if len(found) > 10_000:
                 yield pd.DataFrame(found, columns=["a", "b"])
                 found = []
         yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-    rows = docs.join(shared(asked), "id").mapInPandas(sets, "id bigint, bucket bigint, i bigint, j bigint, tokens binary")
+    rows = docs.join(shared(asked), "id").select("id", "text", "bucket", "i", "j").mapInPandas(sets, "id bigint, bucket bigint, i bigint, j bigint, tokens binary")
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInPandas(links, "a bigint, b bigint")
 
 
@@ -364,12 +362,32 @@ def candidates(docs: DataFrame, words: int, percent: int, frequent: tuple[np.nda
             .mapInPandas(meet, "a bigint, b bigint").distinct())
 
 
+def _texts(docs: DataFrame, seed: int) -> DataFrame:
+    """`docs` as (id, unnamed, doc_id, hash, text in bytes); hash is that of the text, id a number for each doc_id and text."""
+    own = columns(docs, doc_id="bigint", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    own = own.withColumn("hash", F.xxhash64("text"))
+    own = own.withColumns({"unnamed": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})  # no nulls for pandas
+    return own.select(F.xxhash64(F.lit(seed), "unnamed", "doc_id", "text").alias("id"), "unnamed", "doc_id", "hash",
+                      F.col("text").cast("binary").alias("text"))
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Groups of near copies of `docs` (doc_id, text): doc_id, n_shingles, component_id for every row.
 
+    component_id is the least doc_id of the documents that links reach, null if none of them has one. Groups that have
+    the same component_id because a doc_id repeats or is null are told apart by `near_documents`, which says how links
+    are found. Rows that repeat a document come out as often as they go in. An empty table gives no rows.
+    """
+    out = near_documents(docs, words, percent).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def near_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Every document of `docs` (doc_id, text) once: doc_id, hash, times, n_shingles, component_id, kept.
+
     Two documents link if 100 * |A and B| >= percent * |A or B| over their sets of distinct `words`-word shingles;
-    component_id is the least doc_id that links reach. Nothing is approximate, and no document is compared with more
-    than may be alike:
+    component_id is the least doc_id that links reach, null ones last. Nothing is approximate, and no document is
+    compared with more than may be alike:
 
     1. Equal sets become one, found by a digest of the set.
     2. Sets with the same first token in one of three global orders are compared in full, block by block, and joined;
@@ -378,20 +396,24 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
        components that share one in the first order, fit in size and may be alike by their bitmaps are candidates;
        they must share one in the other orders too, and only then are whole sets compared.
 
-    Null text is empty; empty texts link with nothing. Rows that repeat a doc_id are one document and come out as often
-    as they go in; if their texts differ, the set with the least digest counts. Rows with a null doc_id are one document
-    as well, its component_id null unless something with an id links to it. An empty table gives no rows.
+    Null text is empty; empty texts link with nothing. A document is a doc_id, null or not, and a text: `times` rows of
+    equal doc_id and text are one, rows that repeat a doc_id with other texts, or have none, are documents of their own.
+    `hash` is the xxhash64 of the text. Of each group of documents joined by links the one of least doc_id, then hash,
+    is `kept`. Inside, a document goes by a 64-bit number hashed from both; should two share one, all are drawn anew.
     """
-    texts = columns(docs, doc_id="bigint", text="string").select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     heads = [f"head{k}" for k in range(ORDERS)]
-    described = ["digest", "n", "bits", *heads]
-    made = texts.mapInPandas(_described(words), "id bigint, n int, digest binary, bits binary, "
-                             + ", ".join(f"{h} bigint" for h in heads))
-    rows = cut(made.groupBy("id").agg(F.min(F.struct(*described)).alias("set"), F.count("*").cast("int").alias("times"))
-               .select("id", "times", "set.*"))
+    for seed in count():
+        texts = _texts(docs, seed)
+        made = texts.mapInPandas(_described(words), "id bigint, unnamed boolean, doc_id bigint, hash bigint, n int, digest binary, bits binary, "
+                                 + ", ".join(f"{h} bigint" for h in heads))
+        described = F.struct("unnamed", "doc_id", "hash", "digest", "n", "bits", *heads)
+        rows = cut(made.groupBy("id").agg(F.min(described).alias("set"), F.max(described).alias("other"), F.count("*").cast("int").alias("times"))
+                   .select("id", "times", "set.*", (~F.col("set").eqNullSafe(F.col("other"))).alias("clash")))
+        if rows.filter("clash").isEmpty():
+            break
+    rows = rows.drop("clash")
     classes = cut(rows.filter("n > 0").groupBy("digest", "n").agg(
-        F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("bits", *heads)]))
+        F.min("id").alias("id"), F.min(F.struct("unnamed", "doc_id", "hash")).alias("first"), *[F.first(c).alias(c) for c in ("bits", *heads)]))
 
     # sets of the same first token in one of the orders
     met = None
@@ -429,9 +451,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     labels = components(links)
     member = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    least = cut(member.groupBy("label").agg(F.min("id").alias("component_id")))
-    found = cut(member.join(least, "label").select("digest", "n", "component_id"))
-    out = rows.select("id", "n", "digest", "times").join(found, ["digest", "n"], "left")
-    out = out.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
-                      F.nullif(F.coalesce("component_id", "id"), F.lit(NO_ID)).alias("component_id"))
+    least = cut(member.groupBy("label").agg(F.min("first").alias("least")))
+    found = cut(member.join(least, "label").select("digest", "n", "least"))
+    out = rows.join(found, ["digest", "n"], "left").withColumn("least", F.coalesce("least", F.struct("unnamed", "doc_id", "hash")))
+    named = lambda of: F.when(~F.col(f"{of}unnamed"), F.col(f"{of}doc_id"))
+    return out.select(named("").alias("doc_id"), "hash", "times", F.col("n").cast("long").alias("n_shingles"), named("least.").alias("component_id"),
+                      F.struct("unnamed", "doc_id", "hash").eqNullSafe(F.col("least")).alias("kept"))
