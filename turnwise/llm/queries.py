@@ -119,13 +119,14 @@ def op8(spark, sf):
 @query("op7_language")
 def op7(spark, sf):
     """Language of every page, from its text, its html tag, its address and its host."""
-    model = language.train(documents(spark, sf))
+    labelled = documents(spark, sf)
+    model = language.train(labelled)
     rows = pages(spark, sf)
     host = urls.host_of(F.col("url"))
     tag = F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)
     rows = rows.select("page_id", F.col("html").alias("text"), host.alias("host"),
                        F.regexp_extract(host, r"\.([a-z]+)(:[0-9]*)?$", 1).alias("suffix"), F.lower(tag).alias("declared"))
-    return language.identify(rows, model, markup=True)
+    return language.identify(rows, model, markup=True, reach=language.floors(labelled, model))
 
 
 @query("op2_html_extraction")
