@@ -100,3 +100,22 @@ def test_containment_of_unequal_texts_and_merging(spark):
                     fp.containment(F.col("sa"), F.col("sc")).alias("in_c"),
                     fp.containment(F.col("sa"), fp.merged(F.col("sc"), F.col("sa"))).alias("in_both")).first()
     assert r.in_b == 1.0 and r.in_both == 1.0 and r.in_c < 0.1 and r.near < 0.2
+
+
+def test_short_texts_are_not_contained_in_long_strangers(spark):
+    """1 to 30 shingles against long texts, unrelated ones and ones that hold the short text."""
+    long = " ".join(f"w{i}" for i in range(4000))
+    short = {n: " ".join(f"s{n}x{i}" for i in range(n + 4)) for n in range(1, 31)}
+    rows = [(2 * n, t) for n, t in short.items()] + [(2 * n - 1, f"{n} {long}") for n in short]
+    rows += [(1000 + 2 * n, t) for n, t in short.items()] + [(999 + 2 * n, f"{n} {long} {t} end") for n, t in short.items()]
+    got = {r.doc_id: r for r in fp.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[2 * n].contained_next for n in short} == {0.0} and {got[1000 + 2 * n].contained_next for n in short} == {1.0}
+    text = dict(rows)
+    for i in (*range(2, 61, 2), *range(1002, 1061, 2)):
+        n = len(text[i]) // 3
+        a, b = shingles(text[i]), shingles(text[i][:len(text[i]) - n] + text[i - 1][:n])
+        assert abs(got[i].contained_edited - len(a & b) / len(a)) < 1e-12
+    pair = spark.createDataFrame([(t, long) for t in short.values()] + [("", long)], "a string, b string")
+    pair = fp.sketched(fp.sketched(pair, "a", "sa"), "b", "sb")
+    said = [r[0] for r in pair.select(fp.containment(pair.sa, pair.sb)).collect()]
+    assert set(said[:-1]) == {0.0, None} and said[-1] == 1.0

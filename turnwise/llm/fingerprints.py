@@ -18,13 +18,15 @@ def threshold(fraction: float) -> int:
     return LEAST + int(fraction * (1 << 64))
 
 
-def sketched(df: DataFrame, text: str, out: str, words: int = 5, fraction: float = 1 / 8, floor: int = 32) -> DataFrame:
+def sketched(df: DataFrame, text: str, out: str, words: int = 5, fraction: float = 1 / 8, floor: int = 32,
+             probe: str | None = None) -> DataFrame:
     """`df` with the sketch `out` of column `text`: struct(cover, hashes).
 
     A shingle is `words` words in a row (a shorter text is one shingle), hashed from the 64-bit hashes of its words.
     The sketch keeps every distinct hash below `fraction` of the range, so it grows with the text and sketches of any
     two texts can be merged and compared. A text with fewer than `floor` such hashes keeps its `floor` least ones.
     `cover` is the hash up to which nothing is left out. Without words the sketch is empty and covers everything.
+    With `probe`, a column of hashes, `out`_met is how many of them are among all shingles of the text.
     """
     limit = threshold(fraction)
     w, h, s, low, few = (f"_{out}_{x}" for x in ("words", "hashed", "shingles", "low", "few"))
@@ -39,6 +41,8 @@ def sketched(df: DataFrame, text: str, out: str, words: int = 5, fraction: float
     df = df.withColumn(low, F.sort_array(F.array_distinct(F.filter(s, lambda x: x < limit))))
     df = df.withColumn(few, F.when(F.size(low) >= floor, F.col(low)).otherwise(
         F.slice(F.sort_array(F.array_distinct(s)), 1, floor)))
+    if probe is not None:
+        df = df.withColumn(f"{out}_met", F.size(F.array_intersect(F.col(probe), F.col(s))))
     cover = (F.when(F.size(low) >= floor, limit - 1).when(F.size(few) < floor, MOST)
              .otherwise(F.element_at(few, -1)))
     return df.withColumn(out, F.struct(cover.alias("cover"), F.col(few).alias("hashes"))).drop(w, h, s, low, few)
@@ -58,9 +62,17 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated part of a's shingles that b has; 1 if a has none."""
+    """Estimated part of a's shingles that b has, from the hashes that both cover; 1 if a has none, null (no estimate)
+    if it has some but none that both cover, as a short text often has beside a long one."""
     own, _, both = _common(a, b)
-    return F.when(F.size(own) == 0, 1.0).otherwise(both / F.size(own))
+    return F.when(F.size(a["hashes"]) == 0, 1.0).when(F.size(own) > 0, both / F.size(own))
+
+
+def probed(a: Column, fraction: float = 1 / 8) -> Column:
+    """The hashes of sketch a that are to be looked up in the whole other text: those of a text that keeps all of its
+    shingles, or has none below `fraction` of the range; else null, as two sketches then say enough."""
+    whole = (a["cover"] == MOST) | (F.get(a["hashes"], F.lit(0)) >= threshold(fraction))
+    return F.when((F.size(a["hashes"]) > 0) & whole, a["hashes"])
 
 
 def merged(a: Column, b: Column) -> Column:
@@ -77,13 +89,13 @@ def as_text(sketch: Column) -> Column:
 
 
 def predecessors(keys: DataFrame) -> DataFrame:
-    """For every distinct row of `keys` (id, h, n_chars) the one before it in descending id, then h: prev_id, prev_h,
-    prev_chars. The row before the first is the last."""
+    """For every distinct row of `keys` (id, h, n_chars, probe) the one before it in descending id, then h: prev_id,
+    prev_h, prev_chars, prev_probe. The row before the first is the last."""
     line = cut(numbered(keys.distinct(), F.col("id").desc(), F.col("h")))
     n = line.count()
     before = line.select(F.col("id").alias("prev_id"), F.col("h").alias("prev_h"), F.col("n_chars").alias("prev_chars"),
-                         ((F.col("place") + 1) % max(n, 1)).alias("place"))
-    return cut(line.join(before, "place").select("id", "h", "prev_id", "prev_h", "prev_chars"))
+                         F.col("probe").alias("prev_probe"), ((F.col("place") + 1) % max(n, 1)).alias("place"))
+    return cut(line.join(before, "place").select("id", "h", "prev_id", "prev_h", "prev_chars", "prev_probe"))
 
 
 def compare_edited(docs: DataFrame, words: int = 5, fraction: float = 1 / 8, floor: int = 32) -> DataFrame:
@@ -92,7 +104,8 @@ def compare_edited(docs: DataFrame, words: int = 5, fraction: float = 1 / 8, flo
     The edited text is the text with its last floor(n_chars / 3) code points replaced by the first as many (or all) of
     the next document in descending doc_id; after the last comes the first, and a single document is its own next.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (Jaccard estimates)
-    and contained_edited, contained_next (the part of the text's shingles that the other one has).
+    and contained_edited, contained_next (the part of the text's shingles that the other one has: exact for a text of
+    fewer than `floor` shingles, whose hashes are looked up among all of the other one, else an estimate).
 
     Null text is empty; without words a fingerprint is empty and alike to an empty one only. Null doc_ids come last.
     Rows that repeat a doc_id follow each other by a hash of their text, exact repeats count once in that order and
@@ -101,18 +114,23 @@ def compare_edited(docs: DataFrame, words: int = 5, fraction: float = 1 / 8, flo
     # a null doc_id is a key of its own, told apart by the hash
     rows = texts(docs).select(F.coalesce("doc_id", F.lit(LEAST)).alias("id"),
                               F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), "text")
-    before = predecessors(rows.select("id", "h", F.char_length("text").alias("n_chars")))
+    keys = sketched(rows, "text", "own", words, fraction, floor)
+    before = predecessors(keys.select("id", "h", F.char_length("text").alias("n_chars"), probed(F.col("own"), fraction).alias("probe")))
     once = F.row_number().over(Window.partitionBy("id", "h").orderBy("prev_chars"))
     starts = rows.join(before, ["id", "h"]).withColumn("once", once).filter("once = 1")
-    starts = sketched(starts, "text", "next", words, fraction, floor).select(
-        F.col("prev_id").alias("id"), F.col("prev_h").alias("h"), "next",
+    starts = sketched(starts, "text", "next", words, fraction, floor, "prev_probe").select(
+        F.col("prev_id").alias("id"), F.col("prev_h").alias("h"), "next", "next_met",
         F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 3).cast("int")).alias("start"))
     both = sketched(rows.join(starts, ["id", "h"]), "text", "own", words, fraction, floor)
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("start"))
-    both = sketched(both.select("id", "text", "own", "next", edited.alias("edited")), "edited", "changed", words, fraction, floor)
+    both = both.select("id", "text", "own", "next", "next_met", probed(F.col("own"), fraction).alias("probe"), edited.alias("edited"))
+    both = sketched(both, "edited", "changed", words, fraction, floor, "probe")
     own, changed, following = F.col("own"), F.col("changed"), F.col("next")
+
+    def contained(other: Column, met: str) -> Column:
+        return F.when(F.col("probe").isNotNull(), F.col(met) / F.size("probe")).otherwise(containment(own, other))
     return both.select(F.nullif("id", F.lit(LEAST)).alias("doc_id"), F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
                        as_text(own).alias("fingerprint"), as_text(changed).alias("edited_fingerprint"),
                        jaccard(own, changed).alias("near_edited"), jaccard(own, following).alias("near_next"),
-                       containment(own, changed).alias("contained_edited"), containment(own, following).alias("contained_next"))
+                       contained(changed, "changed_met").alias("contained_edited"), contained(following, "next_met").alias("contained_next"))
