@@ -126,3 +126,19 @@ def test_weights_are_kept_and_movement_stays_in_changed_subtrees(spark):
     moved = [(r.old, r.new) for r in both if r.old != r.new]
     assert moved and all(new in (3, 4, 5) for _, new in moved)  # nothing moves into the region that stayed as it was
     assert all(not (old in (0, 1, 2) and new in (0, 1, 2)) for old, new in moved)
+
+
+def test_rows_of_null_and_repeated_ids_are_taken_one_by_one(spark):
+    """A null and a repeated doc_id hold much of a source each, with different texts and with equal ones."""
+    rnd = random.Random(8)
+    rows = [(None, "a", f"{k} " + "w " * rnd.randint(0, 9)) for k in range(300)] + [(i, "a", "w " * 5) for i in range(1, 300)]
+    rows += [(-1, "b", f"{k} " + "w " * rnd.randint(0, 9)) for k in range(200)] + [(1000 + i, "b", "w " * 5) for i in range(100)]
+    rows += [(-2, None, "the same text")] * 200 + [(2000 + i, None, "w " * 5) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(df).collect()
+    check_mix(rows, got)
+    assert sorted(map(str, mixing.mix(df.repartition(7)).collect())) == sorted(map(str, got))
+    assert all(len({r.times for r in got if r.doc_id == i}) == 2 for i in (None, -1))
+
+    import corpus_pipeline as pipe
+    assert sum(len(r.text.split()) for r in pipe.mix_sources(spark, df, "").collect()) == sum(r.taken for r in got)

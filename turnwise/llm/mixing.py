@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from turnwise.llm.jaccard import shared
 from turnwise.llm.tables import WORD, columns, unit
 from turnwise.plans.cut import cut
 
@@ -48,14 +49,29 @@ def water_fill(sources: DataFrame, share: float, epochs: float) -> DataFrame:
     return sources.withColumn("target", F.when(full | F.lit(not row.weights), cap).otherwise(F.col("weight") * level))
 
 
-def drawn(doc_id: Column, seed: int) -> Column:
-    """The seeded place of a document, above 0 and below 1."""
-    return unit(F.xxhash64(F.lit(seed), doc_id))
+def drawn(seed: int) -> Column:
+    """The seeded place of a row (doc_id, hash, number), above 0 and below 1."""
+    return unit(F.xxhash64(F.lit(seed), "doc_id", "hash", "number"))
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """`rows` (doc_id, source, hash and others) with their number, from 1, among the rows equal in these three.
+
+    Only rows that repeat are moved to be numbered; those equal in all three stand in one task."""
+    group = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "hash")
+    keyed = rows.withColumn("_group", group)
+    repeated = cut(keyed.groupBy("_group").count().filter("count > 1").select("_group"))
+    if repeated.isEmpty():
+        return rows.withColumn("number", F.lit(1))
+    repeated = shared(repeated)
+    number = F.row_number().over(Window.partitionBy("_group").orderBy("doc_id", "source", "hash"))
+    once = keyed.join(repeated, "_group", "left_anti").withColumn("number", F.lit(1))
+    return once.unionByName(keyed.join(repeated, "_group", "left_semi").withColumn("number", number)).drop("_group")
 
 
 def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, epochs: float = 2.0,
                 seed: int = 7, block_rows: int = 4096) -> DataFrame:
-    """What to take of each source of `docs` (doc_id, source, size): source, source_size, target, whole, edge, added.
+    """What to take of each source of `docs` (doc_id, source, size, hash, number; see `sized`): source, source_size, target, whole, edge, added.
 
     A source with target t and size s gives every row whole = floor(t / s) times, and once more the rows drawn at or
     below `edge`, which in seeded order fill the rest of t as far as whole rows fit, and the row drawn at `added`, the
@@ -71,7 +87,7 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
                   .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
                   .select("source", "named", "source_size", "target", "whole", "rest"))
     blocks = max(1, math.ceil(docs.count() / block_rows))
-    rows = null_safe(docs).withColumn("draw", drawn(F.col("doc_id"), seed)).withColumn("block", F.floor(F.col("draw") * blocks))
+    rows = null_safe(docs).withColumn("draw", drawn(seed)).withColumn("block", F.floor(F.col("draw") * blocks))
     before = Window.partitionBy("source", "named").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     spans = (rows.groupBy("source", "named", "block").agg(F.sum("size").alias("words"))
              .withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)))
@@ -102,8 +118,8 @@ def null_safe(df: DataFrame) -> DataFrame:
 
 
 def times_taken(docs: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
-    """`docs` (doc_id, source and others) with source_size, target and times."""
-    draw = drawn(F.col("doc_id"), seed)
+    """`docs` (doc_id, source, hash, number and others) with source_size, target and times."""
+    draw = drawn(seed)
     extra = ((draw <= F.col("edge")) | F.coalesce(draw == F.col("added"), F.lit(False))).cast("long")
     kept = [c for c in docs.columns if c != "source"]
     return (null_safe(docs).join(bounded(plan), ["source", "named"])
@@ -112,10 +128,10 @@ def times_taken(docs: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size, the number of words of the text (null: 0)."""
+    """doc_id, source, size, the number of words of the text (null: 0), its hash, and the row's number among equal ones."""
     text = F.coalesce("text", F.lit(""))
-    return columns(docs, doc_id="bigint", source="string", text="string").select(
-        "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    return told_apart(cut(columns(docs, doc_id="bigint", source="string", text="string").select(
+        "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("hash"))))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, epochs: float = 2.0,
@@ -124,9 +140,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
     Sources in code point order, null last, weigh `weights`, repeating, and share `share` of all words up to `epochs`
     times their own. Returns one row per row: doc_id, size, source_size, target (its source's), taken (words, repeats
-    counted), times. The draw is a hash of seed and doc_id, so reruns agree and rows that repeat a doc_id are taken
-    alike. An empty table gives no rows; a source without words has target 0 and gives nothing.
+    counted), times. The draw is a hash of seed, doc_id, text and the number of the row among equal ones, so
+    reruns agree and rows that repeat a doc_id, or have none, are taken one by one. An empty table gives no rows; a source without words has target 0 and gives nothing.
     """
-    rows = cut(sized(docs))
+    rows = sized(docs)
     taken = times_taken(rows, mixing_plan(rows, weights, share, epochs, seed), seed)
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
