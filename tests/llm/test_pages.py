@@ -125,3 +125,29 @@ def test_language_edge_rows(edge, none):
 
 def test_hosts():
     assert urls.LOWER == urls.UPPER.lower()
+
+
+def test_names_are_matched_whole():
+    for name in ("page no-sidebar", "layout with-sidebar", "elementor-widget-text-editor", "share-price", "non-ad", "download"):
+        assert text(f"<body><div class='{name}'><p>Story</p></div></body>") == "Story", name
+        assert text(f"<article><p>a</p><p class='{name}'>Story</p></article>") == "a\nStory", name
+    for name in ("sidebar", "sidebar-left", "x site-header", "cookie-notice", "ad-slot-3", "comment_list"):
+        assert text(f"<body><div class='{name}'><p>no</p></div><div><p>Story</p></div></body>") == "Story", name
+
+
+def test_text_beside_teaser_articles_stays():
+    page = "<body><div class='text'><p>A long story told in full.</p></div><article><p>Teaser</p></article><div class='ad'>{}</div></body>"
+    assert text(page.format("x" * 500)) == "A long story told in full.\nTeaser"
+
+
+def test_the_tree_overrules_names_and_keeps_what_stands_outside_articles(spark, monkeypatch):
+    rows = [(i, f"http://a.example/{i}", f"<body><div class='top'>Site</div><div class='widget'><p>Story {i} tells of {i * 7}.</p></div></body>")
+            for i in range(20)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<body><p class='low'>All rights</p><p class='own'>Fact {i}</p><div class='ad'><p>Buy {i * 3}</p></div>"
+              f"<article><p>A teaser of some length, number {i}</p></article></body>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (html.BROADCAST_NODES, -1):
+        monkeypatch.setattr(html, "BROADCAST_NODES", limit)
+        got = {r.page_id: r.text for r in html.extract(df).collect()}
+        assert got == ({i: f"Story {i} tells of {i * 7}." for i in range(20)}
+                       | {100 + i: f"Fact {i}\nA teaser of some length, number {i}" for i in range(20)})

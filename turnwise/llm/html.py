@@ -19,6 +19,7 @@ BATCH = 4 << 20
 GAMMA = 0.9
 BROADCAST_NODES = 200_000  # of at most 20 bytes and a host name each
 LEAST_IMPORTANCE = 0.2
+HIGH_CONTENT = 0.5
 #: Below so many pages of a host an entropy says little, and its nodes stay.
 LEAST_PAGES = 8
 
@@ -33,6 +34,9 @@ NOISE_WORDS = frozenset(("ad ads advert advertisement advertising adverts banner
                          "cookies disqus footer header masthead menu nav navbar navigation newsletter notice paywall popup promo promotion "
                          "recommended related replies respond search share sharing sidebar signup social sponsor sponsored subscribe "
                          "toolbar widget").split())
+#: Words that may stand beside those in a name without changing what it says: site-header, sidebar-left.
+NOISE_FILLERS = frozenset(("area bar block bottom box buttons col column container content desktop group inner item items left links list "
+                           "main mobile outer page primary right secondary section site slot small sticky top wrap wrapper").split())
 MAIN_TAGS = frozenset(("article", "main"))
 CLOSED_BY = {"p": frozenset(("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header "
                              "hr main nav ol p pre section table ul").split()),
@@ -42,16 +46,18 @@ CLOSED_BY = {"p": frozenset(("address article aside blockquote details div dl fi
 SCOPE = frozenset(("table", "td", "th", "body", "html", "article", "main", "section", "div", "ul", "ol"))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PARTS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[^\W\d_]+")
 
 
 class Node:
     """An element: tag, name with class, id and role, key (the names from the root), children in order. `prior` is 0 for
-    noise, 1 for main text, None if markup says nothing; `holds` tells of an article or main element below."""
-    __slots__ = ("tag", "name", "key", "children", "prior", "holds")
+    noise, 1 for main text, None if markup does not settle it; `holds` tells of an article or main element below, `inside`
+    of one around or itself, `doubt` of a name that stands for noise, here or, as 1, above. `chars` counts the text below."""
+    __slots__ = ("tag", "name", "key", "children", "prior", "holds", "inside", "doubt", "chars")
 
     def __init__(self, tag: str, name: str, key: str):
         self.tag, self.name, self.key, self.children, self.prior, self.holds = tag, name, key, [], None, False
+        self.inside, self.doubt, self.chars = False, 0, 0
 
 
 def _named(tag: str, attributes: str) -> str:
@@ -59,25 +65,47 @@ def _named(tag: str, attributes: str) -> str:
     return tag + "".join(f"[{k}={' '.join(sorted(v.lower().split()))}]" for k, v in sorted(found))
 
 
-def _noisy(node: Node, inside: bool) -> bool:
-    if node.tag in NOISE_TAGS or (node.tag == "header" and not inside):
-        return True
+def _noise_tag(node: Node, inside: bool) -> bool:
+    return node.tag in NOISE_TAGS or (node.tag == "header" and not inside)
+
+
+def _noise_name(node: Node, inside: bool) -> bool:
+    """Whether a whole class, id or role stands for noise: all its parts do, but for fillers, and one at least."""
     if node.tag in MAIN_TAGS or node.holds or "[" not in node.name or node.tag in ("html", "body"):
         return False
-    words = {w for part in node.name.split("[")[1:] for w in _PARTS.findall(part)}
-    return not NOISE_WORDS.isdisjoint(words - {"header"} if inside else words)
+    for token in (t for part in node.name.split("[")[1:] for t in part.rstrip("]").partition("=")[2].split()):
+        words = set(_PARTS.findall(token)) - NOISE_FILLERS
+        if words and words <= NOISE_WORDS and not (inside and words == {"header"}):
+            return True
+    return False
 
 
 def _judge(order: list[Node]) -> None:
     """Priors of the elements, which stand in page order. What is below noise is noise, also within main text; an
-    element around an article is no noise by its class."""
+    element around an article is no noise by its name. A name alone does not settle it for an element that holds more
+    than half of the text, unless it stands outside the articles of a page that has some."""
     for node in reversed(order):
         node.holds = any(isinstance(c, Node) and (c.holds or c.tag in MAIN_TAGS) for c in node.children)
+    articles = order[0].holds
     for node in order:
         for child in node.children:
             if isinstance(child, Node):
-                inside = node.prior == 1
-                child.prior = 0 if node.prior == 0 or _noisy(child, inside) else 1 if inside or child.tag in MAIN_TAGS else None
+                child.inside = node.inside or child.tag in MAIN_TAGS
+                if node.prior == 0 or _noise_tag(child, node.inside):
+                    child.prior = 0
+                elif _noise_name(child, node.inside):
+                    child.prior, child.doubt = None if child.inside or not articles else 0, 2
+                else:
+                    child.doubt = min(node.doubt, 1)
+                    child.prior = 1 if child.inside and not child.doubt else None
+    if not any(node.doubt == 2 and node.prior is None for node in order):
+        return
+    for node in reversed(order):
+        node.chars = sum((0 if c.prior == 0 else c.chars) if isinstance(c, Node) else len(c.strip()) for c in node.children)
+    for node in order:
+        for child in node.children:
+            if isinstance(child, Node) and (node.prior == 0 or child.doubt == 2 and 2 * child.chars <= order[0].chars):
+                child.prior = 0
 
 
 def parse(source: str) -> Node:
@@ -126,9 +154,9 @@ def parse(source: str) -> Node:
     return root
 
 
-def blocks(root: Node, noise: frozenset | set = frozenset()) -> list[tuple[Node, str]]:
+def blocks(root: Node, noise: frozenset | set = frozenset(), high: frozenset | set | None = None) -> list[tuple[Node, str]]:
     """(block element, text) in page order: runs of text and inline elements between block borders, white space made
-    one blank. Elements of prior 0 and those whose key digest is in `noise` are left out with all below them."""
+    one blank. Elements of prior 0 and those whose key digest is in `noise` are left out with all below them, and so are elements named as noise unless in `high` (all stay if None)."""
     found, run = [], []
 
     def close(owner: Node) -> None:
@@ -148,7 +176,7 @@ def blocks(root: Node, noise: frozenset | set = frozenset()) -> list[tuple[Node,
             run.append(child)
         elif child.tag == "br":
             run.append(" ")
-        elif child.prior == 0 or (noise and child.prior is None and not child.holds and digest(child.key) in noise):
+        elif child.prior == 0 or (child.doubt == 2 and high is not None and digest(child.key) not in high) or (noise and child.prior is None and not child.holds and digest(child.key) in noise):
             if child.tag not in INLINE and child.tag not in RAW:
                 close(owner)
         elif child.tag in INLINE and not any(isinstance(c, Node) and c.tag not in INLINE for c in child.children):
@@ -163,22 +191,26 @@ def digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
 
 
-def main_text(root: Node, noise: frozenset | set = frozenset()) -> str:
-    """Blocks joined by a line feed. A page that has article or main elements gives the blocks inside them, any other
-    page all blocks that are left."""
-    kept = blocks(root, noise)
-    inside = [said for node, said in kept if node.prior == 1]
-    return "\n".join(inside or [said for _, said in kept])
+def main_text(root: Node, noise: frozenset | set = frozenset(), high: frozenset | set = frozenset()) -> str:
+    """Blocks joined by a line feed. A page that has article or main elements gives the blocks inside them, and of those
+    outside the ones whose elements are in `high`, or all if they hold more text than the blocks inside; any other page
+    gives all blocks that are left."""
+    kept = blocks(root, noise, high)
+    inside = sum(len(said) for node, said in kept if node.inside)
+    outside = sum(len(said) for node, said in kept) - inside
+    if inside and outside <= inside:
+        kept = [(node, said) for node, said in kept if node.inside or (high and digest(node.key) in high)]
+    return "\n".join(said for _, said in kept)
 
 
 def open_nodes(root: Node) -> list[Node]:
-    """The elements on which markup says nothing and that hold no article or main element."""
+    """The elements that markup does not settle and that hold no article or main element."""
     found, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node.tag and not node.holds:
+        if node.tag and node.prior is None and not node.holds:
             found.append(node)
-        todo += [c for c in node.children if isinstance(c, Node) and c.prior is None]
+        todo += [c for c in node.children if isinstance(c, Node) and c.prior != 0]
     return found
 
 
@@ -203,8 +235,8 @@ def style_rows(root: Node) -> list[tuple[bytes, bytes | None, bytes | None, int]
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """The merged trees of all hosts of `pages` (host, html): one row (host, node, pages, depth, importance) for each
-    element key without a prior.
+    """The merged trees of all hosts of `pages` (host, html): one row (host, node, pages, depth, importance,
+    content) for each element key without a prior.
 
     presentation = entropy of the styles a node has on the pages of its host, to the base of their number;
     content = 1 - mean entropy of the text blocks below it, a block on c of m pages having log c / log m;
@@ -232,40 +264,48 @@ def style_tree(pages: DataFrame) -> DataFrame:
     content = F.when(m > 1, 1 - F.least(F.lit(1.0), F.col("content_logs") / F.col("contents") / F.log(m))).otherwise(1.0)
     weight = F.pow(F.lit(GAMMA), F.col("depth"))
     both = F.when(F.col("contents").isNull(), presentation).otherwise((1 - weight) * presentation + weight * content)
-    return nodes.select("host", "node", "pages", "depth", both.alias("importance"))
+    return nodes.select("host", "node", "pages", "depth", both.alias("importance"),
+                        F.when(F.col("contents").isNotNull(), content).alias("content"))
 
 
 def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url and text (main text) of every row of `pages` (page_id, url, html).
 
-    Markup decides first: nav, footer, forms, scripts and elements whose class, id or role names noise go, article and
-    main stay. All other elements go, with what is below them, if their importance in the style tree of their host is
-    below `least` and at least `least_pages` of its pages have them. What is to go is
-    broadcast only up to BROADCAST_NODES; a longer list meets the pages node by node.
+    Markup decides first: nav, footer, forms and scripts go, article and main stay. All other elements go, with what is
+    below them, if their importance in the style tree of their host is below `least` and at least `least_pages` of its
+    pages have them. Elements with a class, id or role that names noise go too, unless they hold most of a page's text
+    and the tree finds a content of HIGH_CONTENT or more; such content stays outside articles as well. What the tree
+    found is broadcast only up to BROADCAST_NODES; a longer list meets the pages node by node.
 
     Null html is empty; pages without text give an empty string. A url without host has the empty host, a tree like any
     other. Repeated rows come out as often as they go in.
     """
     own = columns(pages, page_id="bigint", url="string", html="string").withColumn("html", F.coalesce("html", F.lit("")))
     hosted = own.withColumn("host", host_of(F.col("url")))
-    low = cut(style_tree(hosted.select("host", "html"))
-              .filter((F.col("pages") >= least_pages) & (F.col("importance") < least)).select("host", "node"))
-    if low.count() <= BROADCAST_NODES:
-        lists = F.broadcast(low.groupBy("host").agg(F.collect_list("node").alias("noise")))
-        noted = hosted.join(lists, "host", "left")
+    low, high = F.col("importance") < least, F.col("content") >= HIGH_CONTENT
+    found = cut(style_tree(hosted.select("host", "html")).filter((F.col("pages") >= least_pages) & (low | high))
+                .select("host", "node", low.alias("low")))
+    if found.count() <= BROADCAST_NODES:
+        noted = hosted.join(F.broadcast(_lists(found, "host")), "host", "left")
     else:
-        noted = _own_noise(hosted, low)
+        noted = _own_noise(hosted, found)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in small_batches(frames, "html", BATCH):
-            text = [main_text(parse(source), set() if noise is None else set(noise)) for source, noise in zip(frame.html, frame.noise)]
+            text = [main_text(parse(source), *(set() if x is None else set(x) for x in lists))
+                    for source, *lists in zip(frame.html, frame.noise, frame.high)]
             yield pd.DataFrame({"page_id": frame.page_id, "url": frame.url, "text": text})
-    return noted.select("page_id", "url", "html", "noise").mapInPandas(run, "page_id bigint, url string, text string")
+    return noted.select("page_id", "url", "html", "noise", "high").mapInPandas(run, "page_id bigint, url string, text string")
+
+
+def _lists(found: DataFrame, *keys: str) -> DataFrame:
+    return found.groupBy(*keys).agg(F.collect_set(F.when(F.col("low"), F.col("node"))).alias("noise"),
+                                    F.collect_set(F.when(~F.col("low"), F.col("node"))).alias("high"))
 
 
-def _own_noise(hosted: DataFrame, low: DataFrame) -> DataFrame:
-    """`hosted` with the list of each page's own low nodes, for trees too large to broadcast: nodes of the pages meet
-    the low ones on (host, node), and the lists meet the pages by a hash of their content."""
+def _own_noise(hosted: DataFrame, found: DataFrame) -> DataFrame:
+    """`hosted` with the lists of each page's own low and high nodes, for trees too large to broadcast: nodes of the pages meet
+    those found on (host, node), and the lists meet the pages by a hash of their content."""
     keyed = hosted.withColumn("page", F.xxhash64("page_id", "url")).withColumn("check", F.xxhash64("html"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,5 +314,4 @@ def _own_noise(hosted: DataFrame, low: DataFrame) -> DataFrame:
                     for k in {digest(n.key) for n in open_nodes(parse(source))}]
             yield pd.DataFrame(rows, columns=["page", "check", "host", "node"])
     asked = keyed.select("page", "check", "host", "html").mapInPandas(run, "page bigint, check bigint, host string, node binary")
-    lists = asked.join(low, ["host", "node"]).groupBy("page", "check").agg(F.collect_set("node").alias("noise"))
-    return keyed.join(lists, ["page", "check"], "left")
+    return keyed.join(_lists(asked.join(found, ["host", "node"]), "page", "check"), ["page", "check"], "left")
