@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import bpe, chunks, fingerprints, html, jaccard, language, mixing, sharding, unigram, urls
+from turnwise.llm import (audit, bpe, chunks, fingerprints, html, jaccard, language, mixing, secret_scan, sharding, spelling, unigram,
+                          urls)
 from turnwise.llm.tables import short_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +140,48 @@ def op2(spark, sf):
 def op9(spark, sf):
     """Groups of near copies among the documents."""
     return jaccard.near_groups(documents(spark, sf))
+
+
+@query("op11_filter_audit", r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+label AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM split LEFT JOIN label USING (doc_id)),
+masks AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failing GROUP BY part, mask),
+letter AS (SELECT unnest([1, 2, 4, 8, 16]) AS bit, unnest(['A', 'B', 'C', 'D', 'E']) AS name),
+orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letter a, letter b, letter c, letter d, letter e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step - 1])::INT AS before FROM orders, range(1, 6) r(step)),
+counted AS (
+  SELECT part, filter_order, step, any_value(bit) AS bit, coalesce(sum(n) FILTER (mask & (coalesce(before, 0) | bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & bit > 0 AND mask & coalesce(before, 0) = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & bit > 0 AND mask & coalesce(before, 0) > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & bit > 0 AND mask & coalesce(before, 0) = 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & coalesce(before, 0) = 0), 0) AS toxic_lost
+  FROM masks, steps GROUP BY part, filter_order, step)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted""")
+def op11(spark, sf):
+    """What five filters remove from the documents of each language, in every order."""
+    return audit.audit(audit.quality_failures(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")))
+
+
+@query("op12_spelling_variants")
+def op12(spark, sf):
+    """Words of the documents with their near words, forms and roots."""
+    return spelling.variants(documents(spark, sf)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_secret_scan")
+def op13(spark, sf):
+    """Secrets in every document."""
+    return secret_scan.digests(secret_scan.scan(documents(spark, sf)))

@@ -41,6 +41,27 @@ def small_batches(frames: Iterator, column: str, limit: int) -> Iterator:
             start, base = stop, sizes[stop - 1]
 
 
+def word_pieces(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in bytes, cut at ASCII white space, from about `size` bytes of it at a time."""
+    rest: list[bytes] = []
+    for start in range(0, len(data), size):
+        piece = data[start:start + size]
+        words = piece.split()
+        if rest and not piece[:1].isspace():
+            words[0] = b"".join([*rest, words[0]])
+            rest = []
+            if len(words) == 1 and not piece[-1:].isspace():
+                rest = words
+                continue
+        elif rest:
+            words, rest = [b"".join(rest), *words], []
+        if words and not piece[-1:].isspace():
+            rest = [words.pop()]
+        yield words
+    if rest:
+        yield [b"".join(rest)]
+
+
 def short_batches(spark: SparkSession, rows: int = 500) -> None:
     """Let Python workers get `rows` texts at a time. Spark's default of 10,000 suits narrow rows, not texts of any
     length; a number that the user has set stays. Results do not depend on it."""
