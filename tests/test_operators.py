@@ -1,5 +1,6 @@
 """Operators on small hand-made or random rows, against values worked out by hand or plain loops."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -115,6 +116,13 @@ def test_match_cues_like_finditer(spark):
                 cue_ops.Pattern("x_x", "exit", r"to\s+\S+\s+to")]
     got = Counter((r.stream_id, r.pattern, r.first_pos, r.last_pos, r.phrase)
                   for r in cue_ops.match_cues(words, patterns, block_rows=50).collect())
+    in_blocks = cue_ops.match_cues(words, patterns, block_rows=50, spot_words=0).collect()
+    assert got == Counter((r.stream_id, r.pattern, r.first_pos, r.last_pos, r.phrase) for r in in_blocks)
+    assert all(r.end == pytest.approx(r.last_pos * .3 + .2) for r in in_blocks)
+    any_start = [*patterns, cue_ops.Pattern("any_bye", "exit", r"\S+\s+bye")]
+    more = cue_ops.match_cues(words, any_start, block_rows=50).collect()
+    assert got == Counter((r.stream_id, r.pattern, r.first_pos, r.last_pos, r.phrase) for r in more if r.pattern != "any_bye")
+    assert any(r.pattern == "any_bye" for r in more)
     want = Counter()
     for s, ws in texts.items():
         text, starts, at = " ".join(ws), [], 0
@@ -313,6 +321,15 @@ def test_cue_matches_of_any_length(spark):
     assert cue_ops.reach(cue_ops.Pattern("open", "intro", r"hello\s.*guest", span=50)) == 50
 
 
+@pytest.mark.parametrize("regex, pieces", [
+    (r"good\s+to(?:\s+be)?", {("good", True)}), (r"bye|see\s+you", {("bye", False), ("see", True)}), (r"(?:in|by)\s+the", {("in", True), ("by", True)}),
+    (r"hello(?:\s+\w+){1,60}\s+guest", {("hello", True)}), (r"hello(?:\s+\w+){0,3}", {("hello", True), ("hello", False)}), (r"good-?bye", {("goodbye", False), ("good-bye", False)}),
+    (r"(?:ha)+\s+x", {("ha", False)}), (r"[hH]i\b", {("hi", False), ("Hi", False)}), (r"\w+ing", None), (r"(?:please\s+)?\w+", None), (r"x*y", {("x", False), ("y", False)}),
+    (r"(?:the\s+\S+|an?)\s+x", {("the", True), ("a", True), ("an", True)}), (r"(?<n>a", None)])
+def test_how_patterns_begin(regex, pieces):
+    assert cue_ops.first_pieces(cue_ops.Pattern("p", "intro", regex)) == pieces
+
+
 def test_no_answer_is_lost(spark):
     texts = ["5", '"x"', "null", "[1,2]", "[]", "no {json", None, '[1, {"a": "p"}, {"a": "q"}]', 'so\n```json\n{"a": "r"}\n```\n', '{"a": 7}']
     answers = spark.createDataFrame(list(enumerate(texts)), "id long, answer string")
@@ -375,3 +392,45 @@ def test_similar_vectors_in_parts(spark):
     df = spark.createDataFrame(rows, "stream_id long, conv_id long, topic_id string, ord struct<t:double,n:int>, vector array<double>")
     one, many = (sorted((r.a_id, r.b_id) for r in topics.similar_vectors(df, part_rows=p).collect()) for p in (1000, 7))
     assert one == many and len(set(many)) == len(many) > 20
+
+
+def _vectors(spark, vectors):
+    rows = [(1, i % 2, str(i), i, v) for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, "stream_id long, conv_id long, topic_id string, ord long, vector array<double>")
+
+
+def _cosines(vectors, threshold):
+    out = set()
+    for j, b in enumerate(vectors):
+        for i in range(j % 2, j, 2):
+            a = vectors[i]
+            if a is None or b is None or len(a) != len(b):
+                continue
+            dot, norms = sum(x * y for x, y in zip(a, b)), math.hypot(*a) * math.hypot(*b)
+            if dot / (norms + 1e-9) >= threshold:
+                out.add((str(i), str(j)))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.7, 0.0, -0.2])
+def test_similar_vectors_are_all_found(spark, threshold):
+    rnd = random.Random(4)
+    vectors = [[rnd.gauss(0, 1) for _ in range(3)] for _ in range(90)] + [[0.0, 0.0, 0.0], None, [1.0, 2.0], [2.0, 4.1], [1.0, 1.0, 1.0]] * 2
+    got = topics.similar_vectors(_vectors(spark, vectors), threshold=threshold, part_rows=6).collect()
+    assert {(r.a_id, r.b_id) for r in got} == _cosines(vectors, threshold)
+    assert len(got) == len({(r.a_id, r.b_id) for r in got})
+
+
+def test_fewer_vectors_are_compared_as_they_spread(spark):
+    """Twelve bundles of vectors: the wider they stand apart, the smaller the share of pairs that is compared."""
+    shares = []
+    for width in (0.05, 0.2, 5.0):
+        rnd = random.Random(7)
+        centres = [[1.0] + [width * rnd.gauss(0, 1) for _ in range(5)] for _ in range(12)]
+        vectors = [[x + 0.02 * rnd.gauss(0, 1) for x in centres[i % 12]] for i in range(360)]
+        df = _vectors(spark, vectors)
+        counts = topics.compared_pairs(df, threshold=0.97, part_rows=15).collect()
+        assert {(r.a_id, r.b_id) for r in topics.similar_vectors(df, threshold=0.97, part_rows=15).collect()} == _cosines(vectors, 0.97)
+        assert sum(r.pairs for r in counts) == 2 * 180 * 179 // 2
+        shares.append(sum(r.compared for r in counts) / sum(r.pairs for r in counts))
+    assert shares[0] > shares[1] >= shares[2] and shares[2] < 0.25, shares

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turnwise.operators import cues as cue_ops
 from turnwise.operators import turns as talk
 from turnwise.streaming import live
+from turnwise.streaming.ordered import untimed
 
 END = 10_000.0
 
@@ -91,3 +92,38 @@ def test_streams_read_a_file_and_a_folder_alike(spark, tmp_path):
     (one / "events.parquet").symlink_to("/root/testdata/sf0.001/events.parquet")
     a, b = (sorted(map(tuple, str2_tumbling(spark, str(d)).collect())) for d in (one, many))
     assert a and a == b
+
+
+WORDS = "stream_id long, at double, pos long, until double, speaker string, text string"
+
+
+def test_rows_without_time_speaker_or_text(spark, tmp_path):
+    """They do not end the query: no time is turned away, no speaker is `unknown`, no text adds no word to the text."""
+    rows = [[(1, 1.0, 0, 1.2, None, "a"), (1, None, 1, 1.4, "B", "lost"), (1, 1.5, None, None, None, None), (None, 2.0, 0, 2.2, "C", "c")],
+            [(1, 1.5, 2, 1.7, None, "b"), (1, 1.5, 2, 1.7, "A", "x"), (1, float("nan"), 3, 1.0, "B", "lost")], [(9, END, 0, END, "Z", "end")]]
+    got = _replay(spark, tmp_path, rows, WORDS, lambda s: live.live_turns(s, delay="10 seconds"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, "unknown", 1.0, 1.2, 1, "a"), (1, "A", 1.5, 1.7, 1, "x"), (1, "unknown", 1.5, 1.6, 2, "b"), (None, "C", 2.0, 2.2, 1, "c")], key=str)
+    table = spark.createDataFrame(sum(rows, []), WORDS).withColumn("ts", F.timestamp_seconds("at"))
+    assert [r.reason for r in untimed(table).collect()] == ["no time"] * 2
+
+
+def test_a_long_turn_is_kept_in_pieces(spark, tmp_path):
+    """One turn over three batches: its words are in a list state, each once; the open record holds four values."""
+    batches = [[(1, float(t), t, t + .5, "A", f"w{t}") for t in range(n, n + 20)] for n in (1, 21, 41)]
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    for batch in batches:
+        spark.createDataFrame(batch, WORDS).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(WORDS).parquet(folder).withColumn("ts", F.timestamp_seconds("at"))
+        q = (live.live_turns(stream, delay="5 seconds").writeStream.format("noop").option("checkpointLocation", state).trigger(availableNow=True).start())
+        q.awaitTermination()
+    kept = {name: spark.read.format("statestore").option("stateVarName", name).load(state).collect() for name in ("waiting", "pieces", "record")}
+    assert [tuple(r.value) for r in kept["record"]] == [("A", 1.0, 55.5, 55)]
+    assert sorted(r.list_element.text for r in kept["pieces"]) == sorted(f"w{t}" for t in range(1, 56))
+    assert len(kept["waiting"]) <= 2 * 5 + 20
+
+
+def test_a_first_time_is_forgotten_after_its_life(spark, tmp_path):
+    rows = [[(1, 10.0, "A"), (1, 12.0, "A")], [(1, 100.0, "B")], [(1, 130.0, "A")], [(1, 400.0, "A")], [(9, END, "Z")]]
+    got = _replay(spark, tmp_path, rows, "stream_id long, at double, speaker string", lambda s: live.first_appearances(s, life=200.0, delay="10 seconds"))
+    assert sorted((r.speaker, r.at) for r in got.collect()) == [("A", 10.0), ("A", 400.0), ("B", 100.0)]

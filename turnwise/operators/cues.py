@@ -19,6 +19,8 @@ from turnwise.schema import KEY
 
 ARRIVALS = ("intro", "welcome")
 DEPARTURES = ("exit", "farewell")
+LEAD = r"(?i)^(?:\S*?[^\p{L}\p{N}\s])??"  # what may stand before a phrase in its first word
+SPOT_WORDS = 500_000  # places of words, two numbers each, that may be broadcast
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,7 @@ def merge_patterns(known: list[Pattern], own: list[Pattern]) -> list[Pattern]:
 def anchored(regex: str) -> str:
     """The phrase must begin in the first token, after nothing or after punctuation, and must
     not go on with a letter or digit."""
-    return r"(?i)^(?:\S*?[^\p{L}\p{N}\s])??(" + regex + r")(?:[^\p{L}\p{N}]|$)"
+    return LEAD + "(" + regex + r")(?:[^\p{L}\p{N}]|$)"
 
 
 SPACE_SETS = (kinds.CATEGORY_SPACE, kinds.CATEGORY_NOT_WORD, kinds.CATEGORY_NOT_DIGIT)
@@ -93,31 +95,119 @@ def reach(pattern: Pattern) -> int:
     return _blanks(tree, pattern.name) + 1
 
 
-def match_cues(words: DataFrame, patterns: list[Pattern], *, block_rows: int = 50_000) -> DataFrame:
+Heads = tuple[set[tuple[str, bool]], set[str]]
+
+
+def _heads(tree) -> Heads:
+    """How matches of a parsed expression begin, up to the first blank: pieces that end there, with whether the blank
+    follows or anything may, and pieces that the expression ends with."""
+    done: set[tuple[str, bool]] = set()
+    heads = {""}
+    for op, arg in tree:
+        found, whole = _head(op, arg)
+        done |= {(h + f, closed) for h in heads for f, closed in found}
+        heads = {h + w for h in heads for w in whole}
+        done |= {(h[:h.index(" ")], True) for h in heads if " " in h}
+        heads = {h for h in heads if " " not in h}
+        if len(heads) > 64:
+            return done | {(h, False) for h in heads}, set()
+    return done, heads
+
+
+def _head(op, arg) -> Heads:
+    anything: Heads = ({("", False)}, set())
+    if op is kinds.LITERAL:
+        return set(), {chr(arg)}
+    if op in (kinds.AT, kinds.ASSERT, kinds.ASSERT_NOT):
+        return set(), {""}
+    if op is kinds.IN:
+        if arg == [(kinds.CATEGORY, kinds.CATEGORY_SPACE)]:
+            return set(), {" "}
+        return (set(), {chr(c) for _, c in arg}) if all(o is kinds.LITERAL for o, _ in arg) else anything
+    if op is kinds.SUBPATTERN:
+        return _heads(arg[3])
+    if op is kinds.BRANCH:
+        every = [_heads(b) for b in arg[1]]
+        return set().union(*(d for d, _ in every)), set().union(*(w for _, w in every))
+    if op in (kinds.MAX_REPEAT, kinds.MIN_REPEAT, kinds.POSSESSIVE_REPEAT):
+        least, most, inner = arg
+        found, whole = _heads(inner)
+        none = {""} if least == 0 else set()
+        return (found, whole | none) if most == 1 else (found | {(w, False) for w in whole}, none)
+    return anything
+
+
+def first_pieces(pattern: Pattern) -> set[tuple[str, bool]] | None:
+    """Literals of which one stands in the first word of every match, at its start there; with True the match leaves the word
+    right after it. None if some match may begin with anything."""
+    try:
+        done, heads = _heads(parser.parse(pattern.regex))
+    except re.error:  # not an expression that Python can read
+        return None
+    pieces = done | {(h, False) for h in heads}
+    return None if any(not p for p, _ in pieces) else pieces
+
+
+def match_cues(words: DataFrame, patterns: list[Pattern], *, block_rows: int = 50_000, spot_words: int = SPOT_WORDS) -> DataFrame:
     """Matches of every pattern in the running text of a stream, however long they are.
 
-    Words are read with as many after them as the longest pattern can match. A match starts at the word it begins in. Matches of one pattern do not overlap: one that
-    starts before the kept one before it ends is dropped.
+    A match starts at the word it begins in. Matches of one pattern do not overlap: one that starts before the kept one before
+    it ends is dropped.
+
+    A pattern that begins with literals is looked for only at words that hold one of them in the right place, which is seen from
+    the word alone. If these are few, the words that follow them are fetched by a broadcast of their places, and no word
+    is shuffled; else, and for patterns that may begin with anything, words are read in blocks with as many after
+    them as the longest pattern can match.
     """
-    span = max(map(reach, patterns))
-    rows = around(words, KEY, "pos", {"shingle": F.col("text")}, after=span - 1, block_rows=block_rows)
-    rows = rows.withColumn("shingle", F.array_join("shingle", " "))
+    words = words.select(*KEY, "pos", "text", "start", "end", "speaker")
+    told = {p: first_pieces(p) for p in patterns}
+    literal, open_ = [p for p in patterns if told[p]], [p for p in patterns if not told[p]]
+    found = []
+    if literal:
+        span = max(map(reach, literal))
+        pieces = sorted(set().union(*(told[p] for p in literal)))
+        begins = F.col("text").rlike(LEAD + "(?:" + "|".join(re.escape(p) + ("$" if closed else "") for p, closed in pieces) + ")")
+        spots = words.filter(begins)
+        if spots.count() * span <= spot_words:
+            found.append(_tested(_fetched(words, spots, span), literal))
+        else:
+            found.append(_tested(_followed(words, begins, span, block_rows), literal))
+    if open_:
+        found.append(_tested(_followed(words, F.lit(True), max(map(reach, open_)), block_rows), open_))
+    hits = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    kept = fold_kept(hits, [*KEY, "pattern"], ["pos"], by_position("pos", block_rows // 10),
+                     row={c: F.col(c) for c in ("pos", "start", "speaker", "cue_type", "base", "phrase", "last_pos", "end")},
+                     absorbs=lambda k, c: c["pos"] <= k["last_pos"], merge=lambda k, c: {})
+    return kept.withColumnRenamed("pos", "first_pos")
+
+
+def _fetched(words: DataFrame, spots: DataFrame, span: int) -> DataFrame:
+    """`spots` with `_near`, the word itself and the ones after it; their places are few enough for a broadcast."""
+    places = spots.select(*KEY, F.col("pos").alias("_at"), F.explode(F.sequence(F.col("pos"), F.col("pos") + span - 1)).alias("pos"))
+    item = F.struct("pos", "text", "end", "start", "speaker")
+    return (words.join(F.broadcast(places), [*KEY, "pos"]).groupBy(*KEY, F.col("_at").alias("pos"))
+            .agg(F.array_sort(F.collect_list(item)).alias("_near"))
+            .withColumns({c: F.col("_near")[0][c] for c in ("start", "speaker")}))
+
+
+def _followed(words: DataFrame, begins: Column, span: int, block_rows: int) -> DataFrame:
+    """The words that `begins` picks with `_near`, read in blocks."""
+    near = around(words, KEY, "pos", {"_near": F.struct("text", "end")}, after=span - 1, block_rows=block_rows)
+    return near.filter(begins)
+
+
+def _tested(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    rows = rows.withColumn("_shingle", F.array_join(F.transform("_near", lambda w: w["text"]), " "))
     any_of = anchored("|".join(f"(?:{p.regex})" for p in patterns))
-    found = F.array(*[F.struct(F.lit(p.name).alias("pattern"), F.lit(p.cue_type).alias("cue_type"),
-                               F.lit(p.base).alias("base"),
-                               F.regexp_extract("shingle", anchored(p.regex), 1).alias("phrase"))
+    found = F.array(*[F.struct(F.lit(p.name).alias("pattern"), F.lit(p.cue_type).alias("cue_type"), F.lit(p.base).alias("base"),
+                               F.regexp_extract("_shingle", anchored(p.regex), 1).alias("phrase"))
                       for p in patterns])
-    hits = (rows.filter(F.col("shingle").rlike(any_of))
+    size = word_count(F.col("phrase"))
+    return (rows.filter(F.col("_shingle").rlike(any_of))
             .withColumn("_c", F.explode(F.filter(found, lambda c: c["phrase"] != "")))
-            .select(*KEY, "pos", "start", "speaker", "_c.*")
-            .withColumn("last_pos", F.col("pos") + word_count(F.col("phrase")) - 1))
-    group = [*KEY, "pattern"]
-    kept = fold_kept(hits, group, ["pos"], by_position("pos", block_rows // 10),
-                     row={c: F.col(c) for c in ("pos", "start", "speaker", "cue_type", "base", "phrase",
-                                                "last_pos")},
-                     absorbs=lambda k, c: c["pos"] <= k["last_pos"], merge=lambda k, c: {})
-    ends = words.select(*KEY, F.col("pos").alias("last_pos"), F.col("end"))
-    return kept.withColumnRenamed("pos", "first_pos").join(ends, [*KEY, "last_pos"])
+            .select(*KEY, "pos", "start", "speaker", "_c.*", "_near")
+            .select(*KEY, "pos", "start", "speaker", "pattern", "cue_type", "base", "phrase", (F.col("pos") + size - 1).alias("last_pos"),
+                    F.get("_near", size - 1)["end"].alias("end")))
 
 
 def cue_confidence(phrase: Column, base: Column, lone: list[str]) -> Column:

@@ -5,67 +5,88 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.streaming.ordered import walk
+from turnwise.streaming.ordered import Merge, first_times, walk
 
 
-def live_turns(words: DataFrame, *, max_pause: float = 2.0, delay: str = "10 seconds") -> DataFrame:
-    """Turns out of a live word stream, as `build_turns` makes them: a turn comes out when the speaker
-    changes, after a pause, or when the stream has been quiet for that long.
+class Turns(Merge):
+    """Words of one speaker without a long pause; the words themselves are pieces."""
+    fields = "at double, pos long, until double, speaker string, text string"
+    record = "speaker string, start double, end double, word_count long"
+    piece = "text string"
+    output = "speaker string, start double, end double, word_count long, text string"
 
-    words: stream_id, ts, at (seconds since the epoch), pos, until, speaker, text
-    """
-    def turn(o: dict) -> dict:
-        return {"speaker": o["speaker"], "start": o["start"], "end": o["end"],
-                "word_count": len(o["words"]), "text": " ".join(o["words"])}
+    def __init__(self, max_pause: float):
+        self.max_pause = max_pause
 
-    def step(o, w):
-        if o and o["speaker"] == w["speaker"] and w["at"] - o["end"] <= max_pause:
-            return {**o, "end": w["until"], "words": [*o["words"], w["text"]]}, []
-        new = {"speaker": w["speaker"], "start": w["at"], "end": w["until"], "words": [w["text"]]}
-        return new, [turn(o)] if o else []
+    def opened(self, row):
+        at, _, until, speaker, _ = row
+        return speaker, at, until, 1
 
-    def close(o, mark):
-        return [turn(o)] if o["end"] + max_pause < mark else None
+    def joins(self, record, row):
+        return record[0] == row[3] and row[0] - record[2] <= self.max_pause
 
-    return walk(words, keys=["stream_id"], fields=["at", "pos", "until", "speaker", "text"], delay=delay,
-                out_schema="stream_id long, speaker string, start double, end double, word_count long, text string",
-                step=step, close=close)
+    def joined(self, record, row):
+        speaker, start, _, count = record
+        return speaker, start, row[2], count + 1
 
+    def piece_of(self, row):
+        return (row[4],)
 
-def live_cues(cues: DataFrame, *, apart: float = 5.0, delay: str = "10 seconds") -> DataFrame:
-    """Cues without near repeats, as `dedup_cues` leaves them, with the last kept cue carried along.
+    def result(self, record, pieces):
+        return *record, " ".join(t for t, in pieces if t is not None)
+
+    def closes(self, record):
+        return record[2] + self.max_pause
+
+
+class Cues(Merge):
+    """Cues of one type that follow closely on the kept one: the better stays."""
+    fields = "at double, cue_id string, cue_type string, confidence double"
+    record = output = "cue_id string, cue_type string, at double, confidence double"
+
+    def __init__(self, apart: float):
+        self.apart = apart
+
+    def opened(self, row):
+        at, cue_id, cue_type, confidence = row
+        return cue_id, cue_type, at, confidence
+
+    def joins(self, record, row):
+        return record[1] == row[2] and row[0] - record[2] < self.apart
+
+    def joined(self, record, row):
+        return self.opened(row) if (row[3] or 0.0) > (record[3] or 0.0) else record
 
-    cues: stream_id, ts, at, cue_id, cue_type, confidence
+    def result(self, record, pieces):
+        return record
+
+    def closes(self, record):
+        return record[2] + self.apart
+
+
+def live_turns(words: DataFrame, *, max_pause: float = 2.0, delay: str = "10 seconds") -> DataFrame:
+    """Turns out of a live word stream, as `build_turns` makes them: a turn comes out when the speaker
+    changes, after a pause, or when the stream has been quiet for that long.
+
+    words: stream_id, ts, at (seconds since the epoch), pos, until, speaker, text. A word without an end lasts 0.1 s,
+    one without a speaker counts as `unknown`, one without a text adds none; words without a time are left out (`ordered.untimed`).
     """
-    def kept(o: dict) -> dict:
-        return {"cue_id": o["cue_id"], "cue_type": o["cue_type"], "at": o["at"], "confidence": o["confidence"]}
+    whole = words.withColumns({"until": F.coalesce("until", F.col("at") + 0.1), "speaker": F.coalesce("speaker", F.lit("unknown"))})
+    return walk(whole, keys=["stream_id"], delay=delay, key_schema="stream_id long", merge=Turns(max_pause))
 
-    def step(o, c):
-        if o and o["cue_type"] == c["cue_type"] and c["at"] - o["at"] < apart:
-            return (c if c["confidence"] > o["confidence"] else o), []
-        return c, [kept(o)] if o else []
 
-    def close(o, mark):
-        return [kept(o)] if o["at"] + apart < mark else None
+def live_cues(cues: DataFrame, *, apart: float = 5.0, delay: str = "10 seconds") -> DataFrame:
+    """Cues without near repeats, as `dedup_cues` leaves them, with the last kept cue carried along.
 
-    return walk(cues, keys=["stream_id"], fields=["at", "cue_id", "cue_type", "confidence"], delay=delay,
-                out_schema="stream_id long, cue_id string, cue_type string, at double, confidence double",
-                step=step, close=close)
+    cues: stream_id, ts, at, cue_id, cue_type, confidence. No confidence counts as 0; cues without a time are left out.
+    """
+    return walk(cues, keys=["stream_id"], delay=delay, key_schema="stream_id long", merge=Cues(apart))
 
 
 def first_appearances(words: DataFrame, *, life: float, delay: str = "10 seconds") -> DataFrame:
     """First time each speaker is heard. A speaker is remembered for `life` seconds after the first
-    word, the longest a stream lasts; rows may be late by `delay`, whichever comes first counts."""
-    def step(o, w):
-        if o:
-            return o, []
-        return {"at": w["at"]}, [{"at": w["at"]}]
-
-    def close(o, mark):
-        return [] if o["at"] + life < mark else None
-
-    return walk(words, keys=["stream_id", "speaker"], fields=["at"], delay=delay,
-                out_schema="stream_id long, speaker string, at double", step=step, close=close)
+    word, the longest a stream lasts; rows may be late by `delay`, whichever comes first counts. Rows without a time are left out."""
+    return first_times(words, keys=["stream_id", "speaker"], delay=delay, key_schema="stream_id long, speaker string", life=life)
 
 
 def window_counts(words: DataFrame, *, size: str, hop: str | None = None, delay: str = "1 minute") -> DataFrame:
