@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
-from tests.llm.conftest import EDGE
+from tests.llm.conftest import EDGE, frame
 
 from turnwise.llm import chunks, jaccard
 from turnwise.llm.components import components
@@ -188,3 +188,25 @@ def test_documents_whose_numbers_clash_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_texts", clashing)
     check_near(spark, [(1, "a b c d e f"), (2, "u v w x y z"), (3, "A b c d e f")])
     assert seeds == [0, 1]
+
+
+def test_patterned_words_do_not_share_a_hash():
+    """Thue-Morse words and their complements are taken for one by any polynomial modulo 2 ** 64."""
+    seen = set()
+    for n in range(1, 15):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
+        for w in (word, word.translate(str.maketrans("ab", "ba"))):
+            one, = jaccard.word_hashes(w.encode())
+            two = jaccard.word_hashes(f"x {w.upper()} {w}\t{w}y".encode())
+            assert one == two[1] == two[2] != two[3]
+            assert one not in seen
+            seen.add(one)
+    rng = random.Random(1)
+    words = {"".join(rng.choice("ab\0é") for _ in range(rng.randint(1, 90))) for _ in range(20_000)}
+    assert len(set(jaccard.word_hashes(" ".join(sorted(words)).encode()).tolist())) == len(words)
+
+
+def test_unlike_patterned_documents_stay_apart(spark):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    df = frame(spark, [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)])
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.near_groups(df).collect()) == [(1, 1), (2, 2), (3, 1)]

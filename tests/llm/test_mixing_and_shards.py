@@ -142,3 +142,16 @@ def test_rows_of_null_and_repeated_ids_are_taken_one_by_one(spark):
 
     import corpus_pipeline as pipe
     assert sum(len(r.text.split()) for r in pipe.mix_sources(spark, df, "").collect()) == sum(r.taken for r in got)
+
+
+def test_rows_without_words_are_not_repeated(spark):
+    """A source without words gives no row; elsewhere such rows come as often as every row does, also at whole = epochs."""
+    rows = [(i, "a", "one two three" if i % 3 else "") for i in range(30)] + [(100 + i, "b", [None, "", " \t"][i % 3]) for i in range(9)] + [(200, "c", "w " * 4)]
+    df = spark.createDataFrame([(i, t, s) for i, s, t in rows], "doc_id long, text string, source string")
+    for share, epochs in ((1.5, 2.0), (9.0, 2.0), (0.3, 2.0), (1.0, 1.0)):
+        got = {r.doc_id: r for r in mixing.mix(df, share=share, epochs=epochs).collect()}
+        assert len(got) == len(rows) and all(got[i].times == 0 for i in got if 100 <= i < 109)
+        whole = {s: int(got[i].target // got[i].source_size) for i, s in ((0, "a"), (200, "c"))}
+        for i, s, t in rows:
+            if s != "b":
+                assert got[i].times == whole[s] if got[i].size == 0 else whole[s] <= got[i].times <= min(whole[s] + 1, epochs), (i, share)

@@ -2,9 +2,11 @@
 
 import html as entities
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import EDGE
 
@@ -59,21 +61,73 @@ def test_low_nodes_of_a_host_go(spark, monkeypatch):
 
 
 def test_importance_like_a_plain_tree(spark):
-    pages = [(f"<body><div><p>same</p>{'<p>x</p>' * (i % 2)}<p>own {i}</p></div></body>") for i in range(8)]
+    pages = [(f"<body><div><p>same</p>{'<p>x</p>' * (i % 2)}<p>own {i}</p></div>said {i % 2}</body>") for i in range(8)]
     df = spark.createDataFrame([("h", p) for p in pages], "host string, html string")
     got = {bytes(r.node): r for r in html.style_tree(df).collect()}
     trees = [html.style_rows(html.parse(p)) for p in pages]
     nodes = {n for t in trees for n, *_ in t}
     assert set(got) == nodes
     for node in nodes:
-        styles = Counter(s for t in trees for n, s, _, _ in t if n == node and s)
-        contents = Counter(c for t in trees for n, _, c, _ in t if n == node and c)
-        m, depth = sum(styles.values()), got[node].depth
+        styles = Counter(s for t in trees for n, s, _ in t if n == node and s)
+        contents = Counter(c for t in trees for n, _, c in t if n == node and c)
+        m = sum(styles.values())
         p = np.array(list(styles.values())) / m
-        shown = -(p * np.log(p)).sum() / np.log(m)
-        said = 1 - np.mean([np.log(c) / np.log(m) for c in contents.values()])
-        weight = html.GAMMA ** depth
-        assert got[node].pages == m and abs(got[node].importance - ((1 - weight) * shown + weight * said)) < 1e-9
+        assert got[node].pages == m and abs(got[node].presentation + (p * np.log(p)).sum() / np.log(m)) < 1e-9
+        if contents:
+            assert abs(got[node].content - (1 - np.mean([np.log(c) / np.log(m) for c in contents.values()]))) < 1e-9
+        else:
+            assert got[node].content is None
+    root = html.parse(pages[1])
+    html.weigh(root, {k: (r.presentation, r.content, r.pages) for k, r in got.items()})
+    body, = root.children
+    div = body.children[0]
+    g, known = html.GAMMA, 8 / 10
+
+    def importance(node, below):
+        w, shown = g ** node.depth, 1 - known * (1 - got[node.key].presentation)
+        return (1 - w) * shown + w * np.mean(below)
+    leaf = 1 - known * (1 - got[div.children[0].key].content)  # the three paragraphs are one node
+    inner = importance(div.children[0], [leaf])
+    assert body.low == (importance(body, [importance(div, [inner] * 3), 1 - known * (1 - got[body.key].content)]) < html.LEAST_IMPORTANCE)
+    assert not div.low
+
+
+def test_texts_change_with_the_pages_of_a_host_once(spark):
+    """From one page to twenty, what all pages repeat goes at one number of pages and does not come back; the rest stays."""
+    seen = []
+    for n in range(1, 21):
+        got = {r.page_id: r.text for r in html.extract(site(spark, n)).collect()} if n in (1, 4, 8, 9, 14, 20) else None
+        if got:
+            assert all(f"row {i} alone\nStory {i} tells of {i * 7}.\nMore {i}" in t for i, t in got.items())
+            seen.append("Our site" in got[0])
+    assert seen[0] and not seen[-1] and sorted(seen, reverse=True) == seen
+
+
+def test_odd_markup_loses_no_text():
+    assert text("<p>x <a title=it's>hello</a> world</p><p>don't lose me</p>") == "x hello world\ndon't lose me"
+    assert text("<p>a<i class=\"x'>b</i> c</p><p>d's</p>") == "ab c\nd's"
+    assert text("<p a = 'x>y' b=\"<p>\" c>t</p><p/ =x>u</p><!DOCTYPE html><p>v") == "t\nu\nv"
+    assert text("<div title='class=ad'><p>stays</p></div><p data-x=\"1\"id=ad>goes</p><p class='' id=x>y") == "stays\ny"
+    assert text("<p>a < b <3 &lt; c") == "a < b <3 < c"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000, "<font>" * 50_000, "<div class=a><p>x" * 20_000, "<b>" * 20_000 + "</section>" * 20_000, "<li><font>" * 20_000,
+                                  "<div>" + "<font>" * 20_000 + "<tr>" * 20_000, "<!" * 200_000, "<!--" * 200_000, "<script>" * 50_000, "<a b='" * 50_000, "<a b=\"" * 50_000,
+                                  "<" * 300_000, "<p>x</div>" * 20_000, "<a =" * 50_000])
+def test_long_and_deep_pages_take_time_in_proportion(page):
+    start = time.time()
+    html.style_rows(html.parse(page + "<p>end"))
+    html.main_text(html.parse(page + "<p>end"))
+    assert time.time() - start < 20
+
+
+def test_tags_are_left_out_in_one_pass(spark):
+    model = np.zeros((4, language.BUCKETS))
+    pages = ["<!--" * 50_000, "<script>" * 50_000, "<" * 200_000, "<p>abc<!-- x --><b class='q'>d</b><script>no</script> 1 < 2 e"]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, text string")
+    start = time.time()
+    got = {r.id: r.grams for r in language.text_evidence(df, model, markup=True).collect()}
+    assert time.time() - start < 30 and got[0] == got[1] == 0 and got[3] == len(language.trigrams(" abc d  1 < 2 e"))
 
 
 def test_pages_edge_rows(spark):

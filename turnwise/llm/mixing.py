@@ -118,20 +118,26 @@ def null_safe(df: DataFrame) -> DataFrame:
 
 
 def times_taken(docs: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
-    """`docs` (doc_id, source, hash, number and others) with source_size, target and times."""
+    """`docs` (doc_id, source, size, hash, number and others) with source_size, target and times. A row without words is
+    taken `whole` times only, so not at all from a source without words."""
     draw = drawn(seed)
-    extra = ((draw <= F.col("edge")) | F.coalesce(draw == F.col("added"), F.lit(False))).cast("long")
+    extra = ((F.col("size") > 0) & ((draw <= F.col("edge")) | F.coalesce(draw == F.col("added"), F.lit(False)))).cast("long")
     kept = [c for c in docs.columns if c != "source"]
     return (null_safe(docs).join(bounded(plan), ["source", "named"])
             .select(*kept, F.when(F.col("named"), F.col("source")).alias("source"), "source_size", "target",
                     (F.col("whole") + extra).cast("long").alias("times")))
 
 
+def words_of(text: Column) -> Column:
+    """The number of words of a text (null: 0)."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, the number of words of the text (null: 0), its hash, and the row's number among equal ones."""
     text = F.coalesce("text", F.lit(""))
     return told_apart(cut(columns(docs, doc_id="bigint", source="string", text="string").select(
-        "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("hash"))))
+        "doc_id", "source", words_of(text).alias("size"), F.xxhash64(text).alias("hash"))))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, epochs: float = 2.0,
