@@ -139,3 +139,62 @@ def test_distinct_values(spark):
     assert {r.stream_id: r.n for r in distinct_values(rows, rows.v).collect()} == {0: 2500, 1: 2500, 7: 0}
     about = {r.stream_id: r.n for r in distinct_values(rows, rows.v, approximate=0.02).collect()}
     assert abs(about[0] - 2500) < 250 and about[7] == 0
+
+
+def _stage_rows(spark):
+    """Two hours of four streams; stream 1 has two thirds of all rows; a few rows have no time."""
+    return spark.range(6000).selectExpr("if(id % 3 = 0, id % 4, 1L) stream_id", "id idx", "if(id % 1000 = 7, null, id * 1.2d) start", "id * 1.2d + 1 end", "concat('t', id) text")
+
+
+def test_stage_layout_prunes_slices(spark, tmp_path):
+    layout = stages.Layout(buckets=4, era_seconds=600.0, block_seconds=60.0)
+    rows = _stage_rows(spark)
+    path = stages.save_stage(rows, str(tmp_path), "turns", layout=layout)
+    stage = stages.load_stage(spark, str(tmp_path), "turns", layout=True)
+    assert sorted(map(tuple, stage.select(*rows.columns).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    every = len(stage.inputFiles())
+    plain = rows.select("stream_id", "idx", "start", "end").collect()
+    for low, high, options, keep in (
+            (1000, 1300, {}, lambda r: 1000 <= r.start <= 1300), (1200, 1800, {"half_open": True}, lambda r: 1200 <= r.start < 1800),
+            (1000, 1300, {"slack": 2.0}, lambda r: 1000 <= r.start <= 1300 and r.end <= 1302), (0, 7200, {"streams": [2]}, lambda r: r.stream_id == 2)):
+        part = stages.slice_stage(stage, layout, low, high, **options)
+        assert sorted(r.idx for r in part.collect()) == sorted(r.idx for r in plain if r.start is not None and keep(r))
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(era" in plan and "PushedFilters: [IsNotNull(start)" in plan
+        if high - low < 1000:
+            assert 0 < len(part.inputFiles()) < every / 2
+    # another session knows the layout from what lies beside the files
+    spark.sql(f"DROP TABLE {stages._table(path)}")
+    assert stages.stage_layout(spark, str(tmp_path), "turns")[0] == layout
+    again = stages.load_stage(spark, str(tmp_path), "turns", layout=True)
+    assert again.count() == 6000 and stages.slice_stage(again, layout, 1000, 1300).count() == sum(r.start is not None and 1000 <= r.start <= 1300 for r in plain)
+
+
+def test_stages_of_one_layout_join_where_they_lie(spark, tmp_path):
+    layout = stages.Layout(buckets=4, by=("idx",), era_seconds=600.0)
+    rows = _stage_rows(spark)
+    stages.save_stage(rows, str(tmp_path), "turns", layout=layout)
+    stages.save_stage(rows.selectExpr("stream_id", "idx", "start", "length(text) chars"), str(tmp_path), "figures", layout=layout)
+    left, right = (stages.load_stage(spark, str(tmp_path), n, layout=True) for n in ("turns", "figures"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = stages.join_stages(left, right.drop("start"), layout)
+        got = joined.select("idx", "text", "chars").collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(r.idx for r in got) == list(range(6000)) and all(r.chars == len(r.text) for r in got)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    # the crowded stream lies in all buckets
+    from pyspark.sql import functions as F
+    shares = [r["count"] for r in left.filter("stream_id = 1").groupBy(F.regexp_extract(F.input_file_name(), r"_(\d{5})\.c", 1)).count().collect()]
+    assert len(shares) == 4 and max(shares) < 2 * min(shares)
+
+
+def test_a_stage_is_replaced(spark, tmp_path):
+    layout = stages.Layout(buckets=2)
+    for n in (500, 40):
+        stages.save_stage(_stage_rows(spark).limit(n), str(tmp_path), "turns", layout=layout)
+        assert stages.load_stage(spark, str(tmp_path), "turns", layout=True).count() == n
+    assert stages.load_stage(spark, str(tmp_path), "turns").count() == 40

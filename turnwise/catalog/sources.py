@@ -103,6 +103,41 @@ def src6(spark, sf):
     return out.select("stream_id", "conv_id", "block_no", "topic_id", "topic_name", R("t_start", 4).alias("t_start"), "sentiment")
 
 
+LAYOUT = stages.Layout(buckets=8, by=("idx",), era_seconds=60.0)
+
+
+def _turn_stages(spark, sf):
+    """Turns and figures of them as two stages of one layout."""
+    root = folder(spark, "src6")
+    rows = turns(spark, sf)
+    stages.save_stage(rows.select("stream_id", "idx", "start", "end", "speaker"), root, "turns", layout=LAYOUT)
+    stages.save_stage(rows.select("stream_id", "idx", "start", F.length("text").alias("chars")), root, "figures", layout=LAYOUT)
+    return [stages.load_stage(spark, root, name, layout=True) for name in ("turns", "figures")]
+
+
+@query("src6_stage_slice", f"""
+WITH {TURNS}
+SELECT stream_id, idx, 'closed' AS kind FROM turns WHERE start BETWEEN 30 AND 90
+UNION ALL SELECT stream_id, idx, 'half open' FROM turns WHERE start >= 60 AND start < 120
+UNION ALL SELECT stream_id, idx, 'slack' FROM turns WHERE start >= 30 AND "end" <= 92 AND start <= 90""")
+def src6_slice(spark, sf):
+    """Slices of a laid-out stage: only folders of the asked minutes are read."""
+    stage, _ = _turn_stages(spark, sf)
+    parts = [("closed", stages.slice_stage(stage, LAYOUT, 30, 90)), ("half open", stages.slice_stage(stage, LAYOUT, 60, 120, half_open=True)),
+             ("slack", stages.slice_stage(stage, LAYOUT, 30, 90, slack=2))]
+    kinds = [df.select("stream_id", "idx", F.lit(kind).alias("kind")) for kind, df in parts]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
+@query("src6_stage_join", f"""
+WITH {TURNS}
+SELECT stream_id, idx, speaker, length(text) AS chars FROM turns""")
+def src6_join(spark, sf):
+    """Two stages of one layout, joined where they lie."""
+    left, right = _turn_stages(spark, sf)
+    return stages.join_stages(left, right.drop("start"), LAYOUT).select("stream_id", "idx", "speaker", "chars")
+
+
 @query("src7_profile_scores", f"""
 WITH {CANDIDATES}, r AS (SELECT r_name, length(r_name) AS n, r_regionkey AS k FROM region)
 SELECT cand_id, round((SELECT sum(n * (cand_id % 10 + k % 2)) / sum(n) * 10 FROM r) + CASE WHEN "end" - start BETWEEN 100 AND 2000 THEN 3 WHEN "end" - start > 4000 THEN -10 ELSE 0 END, 4) AS composite
