@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from turnwise.plans.blocks import by_time
+from turnwise.plans import folds
 from turnwise.plans.folds import fold_kept, suppress
 
 
@@ -57,3 +58,16 @@ def test_suppress(spark):
         got = suppress(df, ["s"], segments=F.col("segs"), score=F.col("score"), tie="id",
                        largest=largest, width=20.0, block_seconds=30.0)
         assert sorted(r.id for r in got.collect()) == sorted(want)
+
+
+def test_a_long_staircase_takes_as_many_rounds_as_blocks(spark, monkeypatch):
+    """100,000 steps, each covering a third of the next: every other one stays. Ranks fall along the stairs, so each step depends on all
+    before it."""
+    n, calls = 100_000, []
+    steps = spark.range(n).selectExpr("id % 1 as s", "id", "id * 1.0d as start", "id + 1.5d as end", "1e6d - id as score")
+    steps = steps.withColumn("segs", F.array(F.struct("start", "end")))
+    real = folds._round
+    monkeypatch.setattr(folds, "_round", lambda *a: calls.append(1) or real(*a))
+    got = suppress(steps, ["s"], segments=F.col("segs"), score=F.col("score"), tie="id", width=10_000.0, largest=100)
+    assert sorted(r.id for r in got.select("id").collect()) == list(range(0, n, 2))
+    assert len(calls) <= 14

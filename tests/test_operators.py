@@ -292,7 +292,7 @@ def test_quotes_in_documents_of_any_length(spark):
     assert got == sorted(want)
 
 
-def test_exact_anchors_like_substring_search(spark):
+def test_exact_anchors_like_substring_search(spark, tmp_path):
     said = "so the start is near and art is new today".split()
     asked = ["art is ne", "art is", "art", "t i", "oday", "today", "tod", "so", "near and", "the start is near and art is new", "zz", "is zz"]
     words = spark.createDataFrame([(1, i, w, float(i)) for i, w in enumerate(said)], "stream_id long, pos long, text string, start double")
@@ -307,6 +307,34 @@ def test_exact_anchors_like_substring_search(spark):
             want[i] = later[0]
     got = {r.quote_id: r.pos for r in quote_ops.exact_anchors(quotes, words).collect()}
     assert got == want
+    for size in (3, 1000):
+        index = quote_ops.QuoteIndex.build(words, str(tmp_path / str(size)), block_words=size, parts=4)
+        assert {r.quote_id: r.pos for r in index.exact(quotes).collect()} == want
+
+
+def test_indexed_quotes_like_a_search_of_the_words(spark, tmp_path):
+    """Three streams, one of them most of the text with a few common words; two batches of quotes ask one index."""
+    rnd = random.Random(9)
+    vocabulary = ["the", "of", "a", "an", "Other", "there", "often", "rare", "than", "hand", "x"]
+    words, quotes = [], []
+    for s, n in ((1, 900), (2, 60), (3, 2)):
+        said = rnd.choices(vocabulary, [30, 20, 20, 10, 3, 3, 3, 1, 3, 3, 3], k=n)
+        words += [(s, i, w, i * .3) for i, w in enumerate(said)]
+        for i in range(60):
+            at, size = rnd.randrange(n), rnd.choice([1, 1, 2, 2, 3, 4, 5, 8, 30])
+            text = "  ".join(said[at:at + size])
+            text = text[rnd.randint(0, 2):len(text) - rnd.randint(0, 1)]
+            quotes.append((s, i, text.replace("rare", "none") if i % 7 == 0 else text))
+    words = spark.createDataFrame(words, "stream_id long, pos long, text string, start double")
+    quotes = spark.createDataFrame(quotes, "stream_id long, quote_id long, quote string")
+    index = quote_ops.QuoteIndex.build(words, str(tmp_path / "index"), block_words=50, parts=4)
+    want = sorted(map(tuple, quote_ops.anchor_quotes(quotes, words).select("stream_id", "quote_id", "how", "pos", "time").collect()), key=str)
+    early = F.col("quote_id") < 30
+    got = [r for part in (quotes.filter(early), quotes.filter(~early)) for r in index.anchor(part).select("stream_id", "quote_id", "how", "pos", "time").collect()]
+    assert sorted(map(tuple, got), key=str) == want
+    assert {h for _, _, h, _, _ in want} == {"exact", "loose", None}
+    hot = spark.read.parquet(str(tmp_path / "index" / "places")).filter("stream_id = 1 and word = 'the'")
+    assert hot.count() > 10 and hot.agg(F.max(F.size("offsets"))).first()[0] <= 50
 
 
 def test_cue_matches_of_any_length(spark):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from turnwise.catalog import query
 from turnwise.catalog.bridges import (CANDIDATES, CHAT_WORDS, ITEM_WORDS, SIGNALS, TURNS, candidates,
                                       chat_words, item_words, signals, table, turns)
+from turnwise.catalog.scratch import folder
 from turnwise.functions.text import tokens
 from turnwise.operators import quotes as quote_ops
 from turnwise.operators import selection as ops
@@ -32,7 +33,7 @@ def _quotes(spark, sf):
                     .otherwise(F.expr("substr(array_join(slice(w, 3, 7), ' '), 2)")).alias("quote"))
 
 
-@query("join14_anchor_quotes", rf"""
+ANCHORS = rf"""
 WITH {CHAT_WORDS}, {QUOTES},
 qn AS (SELECT *, lower(trim(regexp_replace(quote, '\s+', ' ', 'g'))) AS q FROM quotes),
 txt AS (SELECT stream_id, pos, start, lower(string_agg(text, ' ') OVER w) AS win5,
@@ -47,12 +48,25 @@ lo AS (SELECT q.stream_id, q.quote_id, min(t.pos) AS pos FROM qn q JOIN txt t ON
        WHERE len(string_split(q.q, ' ')) >= 3 AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.stream_id = q.stream_id AND ex.quote_id = q.quote_id) GROUP BY ALL),
 both_ways AS (SELECT *, 'exact' AS how FROM ex UNION ALL SELECT *, 'loose' FROM lo)
 SELECT q.stream_id, q.quote_id, how, round(t.start, 4) AS time FROM qn q
-LEFT JOIN both_ways b USING (stream_id, quote_id) LEFT JOIN txt t ON t.stream_id = b.stream_id AND t.pos = b.pos""")
+LEFT JOIN both_ways b USING (stream_id, quote_id) LEFT JOIN txt t ON t.stream_id = b.stream_id AND t.pos = b.pos"""
+
+
+@query("join14_anchor_quotes", ANCHORS)
 def join14(spark, sf):
     return (quote_ops.anchor_quotes(_quotes(spark, sf), chat_words(spark, sf))
             .select("stream_id", "quote_id", "how", R("time", 4).alias("time")))
 
 
+@query("join14_indexed_quotes", ANCHORS)
+def join14_indexed(spark, sf):
+    """The same from an index of the texts that is written once; quotes are asked for in two batches."""
+    index = quote_ops.QuoteIndex.build(chat_words(spark, sf), folder(spark, "join14"))
+    quotes = _quotes(spark, sf)
+    odd = F.pmod(F.col("quote_id"), F.lit(2)) == 1
+    out = index.anchor(quotes.filter(odd)).unionByName(index.anchor(quotes.filter(~odd)))
+    return out.select("stream_id", "quote_id", "how", R("time", 4).alias("time"))
+
+
 @query("join14_quotes_in_documents", r"""
 WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS body FROM documents),
 q AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q FROM benchmark)

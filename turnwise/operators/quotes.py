@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import posixpath
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions.text import normalize
@@ -130,17 +133,22 @@ def loose_anchors(quotes: DataFrame, words: DataFrame, *, span: int = 5) -> Data
 
     Of the two words the one that is rarer in the stream leads: only its places are looked at.
     """
+    low = words.select(*KEY, "pos", F.lower("text").alias("_w"))
+    last = words.groupBy(*KEY).agg(F.max("pos").alias("_last"))
+    return _loose(quotes, low.select(*KEY, "_w").distinct(), lambda asked: low.join(asked, [*KEY, "_w"]), last, span)
+
+
+def _loose(quotes: DataFrame, vocabulary: DataFrame, places: Callable[[DataFrame], DataFrame], last: DataFrame, span: int) -> DataFrame:
+    """Loose anchors from the words of every stream, what gives their places, and the last place of every stream."""
     q = _prepared(quotes).filter("_n >= 3").select(
         *KEY, "quote_id", F.col("_parts")[0].alias("_a"), F.element_at("_parts", -1).alias("_b"))
-    low = words.select(*KEY, "pos", F.lower("text").alias("_w"))
     terms = (q.select(*KEY, F.explode(F.array("_a", "_b")).alias("_term")).distinct()
              .withColumn("_gram", F.substring("_term", 1, 3)))
     grams = F.array_distinct(F.flatten(F.array(*[_letters(F.col("_w"), n) for n in (1, 2, 3)])))
     # Only the vocabulary of a stream is taken apart; its words then lead to their places.
-    vocabulary = (low.select(*KEY, "_w").distinct().select(*KEY, "_w", F.explode(grams).alias("_gram"))
-                  .join(terms, [*KEY, "_gram"]).filter(F.col("_w").contains(F.col("_term")))
-                  .select(*KEY, "_term", "_w"))
-    hits = cut(low.join(vocabulary, [*KEY, "_w"]).select(*KEY, "_term", "pos"))
+    asked = (vocabulary.select(*KEY, "_w", F.explode(grams).alias("_gram"))
+             .join(terms, [*KEY, "_gram"]).filter(F.col("_w").contains(F.col("_term"))).select(*KEY, "_term", "_w"))
+    hits = cut(places(asked).select(*KEY, "_term", "pos"))
     counts = hits.groupBy(*KEY, "_term").agg(F.count(F.lit(1)).alias("_c"))
     both = (q.join(counts.withColumnsRenamed({"_term": "_a", "_c": "_ca"}), [*KEY, "_a"])
             .join(counts.withColumnsRenamed({"_term": "_b", "_c": "_cb"}), [*KEY, "_b"])
@@ -154,8 +162,122 @@ def loose_anchors(quotes: DataFrame, words: DataFrame, *, span: int = 5) -> Data
     first = F.greatest(F.lit(0), F.greatest("_lead", "pos") - reach)
     return (asked.join(hits, [*KEY, "_term", "pos"]).withColumn("_at", first)
             .groupBy(*KEY, "quote_id").agg(F.min("_at").alias("pos"))
-            .join(words.groupBy(*KEY).agg(F.max("pos").alias("_last")), KEY)
-            .filter(F.col("pos") <= F.col("_last") - 2).drop("_last"))
+            .join(last, KEY).filter(F.col("pos") <= F.col("_last") - 2).drop("_last"))
+
+
+class QuoteIndex:
+    """Where every word of the running texts stands, on disk, for many requests.
+
+    places      stream_id, word, block, offsets: the places of a word in a block of the text, counted from the start of the block
+    vocabulary  stream_id, word, n: how often a word occurs
+    blocks      stream_id, block, words, times: the text in blocks, read only where a quote's rarest word stands
+    streams     stream_id, last: the last place of a stream
+
+    A word that holds much of a stream has a row for each block. Places and vocabulary lie in folders by a hash of the word, blocks by
+    one of stream and block, each sorted, so a request reads the folders and row groups of the words it asks for.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.places, self.vocabulary, self.blocks, self.streams = (
+            spark.read.parquet(posixpath.join(root, name)) for name in ("places", "vocabulary", "blocks", "streams"))
+        self.parts, self.rows = self.streams.select("parts", "block_words").first() or (1, 1)
+
+    @staticmethod
+    def build(words: DataFrame, root: str, *, block_words: int = 1024, parts: int = 64) -> QuoteIndex:
+        """Write the index of `words` (stream_id, pos, text, start), numbered from 0 without gaps."""
+        block = F.floor(F.col("pos") / block_words).alias("block")
+        low = cut(words.select(*KEY, "pos", F.lower("text").alias("word"), "start", block))
+        by_word = F.pmod(F.xxhash64("word"), F.lit(parts)).alias("part")
+        offset = (F.col("pos") - F.col("block") * block_words).cast("int")
+        places = (low.groupBy(*KEY, "word", "block").agg(F.array_sort(F.collect_list(offset)).alias("offsets"))
+                  .select(*KEY, "word", "block", "offsets", by_word))
+        item = F.array_sort(F.collect_list(F.struct("pos", "word", "start")))
+        blocks = (low.groupBy(*KEY, "block").agg(item.alias("_all"))
+                  .select(*KEY, "block", F.col("_all.word").alias("words"), F.col("_all.start").alias("times"),
+                          F.pmod(F.xxhash64(*KEY, "block"), F.lit(parts)).alias("part")))
+        vocabulary = low.groupBy(*KEY, "word").agg(F.count(F.lit(1)).alias("n")).withColumn("part", by_word)
+        streams = low.groupBy(*KEY).agg(F.max("pos").alias("last")).select("*", F.lit(parts).alias("parts"), F.lit(block_words).alias("block_words"))
+        for name, table, order in (("places", places, ["word", *KEY, "block"]), ("vocabulary", vocabulary, ["word", *KEY]), ("blocks", blocks, [*KEY, "block"])):
+            # a folder's rows come from several tasks, so that a hot word or stream is not one
+            (table.repartition("part", F.pmod(F.xxhash64(*order), F.lit(8))).sortWithinPartitions("part", *order)
+             .write.mode("overwrite").partitionBy("part").parquet(posixpath.join(root, name)))
+        streams.write.mode("overwrite").parquet(posixpath.join(root, "streams"))
+        return QuoteIndex(words.sparkSession, root)
+
+    def places_of(self, asked: DataFrame) -> DataFrame:
+        """`asked` (stream_id, _w, ...) with every `pos` of its word."""
+        keyed = asked.withColumn("part", F.pmod(F.xxhash64("_w"), F.lit(self.parts)))
+        found = keyed.join(self.places.withColumnRenamed("word", "_w"), [*KEY, "_w", "part"])
+        at = F.transform("offsets", lambda o: F.col("block") * self.rows + o)
+        return found.withColumn("pos", F.explode(at)).drop("part", "block", "offsets")
+
+    def words_at(self, spots: DataFrame) -> DataFrame:
+        """`spots` (stream_id, _at, _n, ...) with `_said` and `_times`, the words of the places _at .. _at + _n - 1 and when they are said.
+        Only the blocks that hold them are met."""
+        others = [c for c in spots.columns if c not in KEY]
+        rows = F.lit(self.rows)
+        cells = spots.withColumn("block", F.explode(F.sequence(F.floor(F.col("_at") / rows), F.floor((F.col("_at") + F.col("_n") - 1) / rows))))
+        cells = cells.withColumn("part", F.pmod(F.xxhash64(*KEY, "block"), F.lit(self.parts)))
+        low = F.greatest(F.col("_at") - F.col("block") * rows, F.lit(0)).cast("int")
+        high = F.least(F.col("_at") + F.col("_n") - F.col("block") * rows, rows).cast("int")
+        met = cells.join(self.blocks, [*KEY, "block", "part"]).select(
+            *KEY, *others, "block", F.slice("words", low + 1, high - low).alias("_w"), F.slice("times", low + 1, high - low).alias("_t"))
+        ids = [*KEY, "quote_id", "_at"]
+        parts = F.array_sort(F.collect_list(F.struct("block", "_w", "_t")))
+        return (met.groupBy(*ids).agg(parts.alias("_all"), *[F.first(c).alias(c) for c in others if c not in ids])
+                .withColumns({"_said": F.flatten("_all._w"), "_times": F.flatten("_all._t")}).drop("_all"))
+
+    def exact(self, quotes: DataFrame) -> DataFrame:
+        """`exact_anchors` from the index: stream_id, quote_id, pos."""
+        q = cut(_prepared(quotes).filter("_q <> ''").select(*KEY, "quote_id", "_parts", "_n", "_q"))
+        words = self.vocabulary.withColumnRenamed("word", "_w").withColumnRenamed("part", "_part")
+        # three words and more: the rarest inner word leads
+        inner = q.filter("_n >= 3").select(*KEY, "quote_id", "_parts", "_n", F.posexplode(F.expr("slice(_parts, 2, _n - 2)")).alias("_i", "_w")) \
+            .withColumn("_part", F.pmod(F.xxhash64("_w"), F.lit(self.parts)))
+        lead = (inner.join(words, [*KEY, "_w", "_part"]).groupBy(*KEY, "quote_id")
+                .agg(F.min(F.struct("n", "_i", "_w")).alias("_lead"), F.count(F.lit(1)).alias("_known"), F.first("_parts").alias("_parts"), F.first("_n").alias("_n"))
+                .filter(F.col("_known") == F.col("_n") - 2)
+                .select(*KEY, "quote_id", "_parts", "_n", (F.col("_lead._i") + 1).alias("_i"), F.col("_lead._w").alias("_w")))
+        # two words: the vocabulary gives words that end like the first and words that begin like the second; the rarer side leads
+        pairs = q.filter("_n = 2")
+        ends, begins = ((pairs.withColumn("_i", F.lit(i)).withColumn("_part_", F.col("_parts")[i]).withColumn("_key", cut_(F.col("_part_"), F.least(F.length("_part_"), F.lit(2))))
+                         .join(words.select(*KEY, "_w", "n", F.explode(F.array_distinct(F.array(*[cut_(F.col("_w"), F.lit(k)) for k in (1, 2)]))).alias("_key")), [*KEY, "_key"])
+                         .filter(F.col("_w").endswith(F.col("_part_")) if i == 0 else F.col("_w").startswith(F.col("_part_"))))
+                        for i, cut_ in ((0, F.right), (1, F.left)))
+        sides = cut(ends.unionByName(begins).select(*KEY, "quote_id", "_parts", "_n", "_i", "_w", "n"))
+        total = sides.groupBy(*KEY, "quote_id", "_i").agg(F.sum("n").alias("_c")).groupBy(*KEY, "quote_id").agg(
+            F.min(F.struct("_c", "_i"))["_i"].alias("_i"), F.count(F.lit(1)).alias("_sides")).filter("_sides = 2").drop("_sides")
+        two = sides.join(total, [*KEY, "quote_id", "_i"]).select(*KEY, "quote_id", "_parts", "_n", F.col("_i").cast("int").alias("_i"), "_w")
+        spots = self.places_of(lead.unionByName(two)).withColumn("_at", F.col("pos") - F.col("_i")).filter("_at >= 0") \
+            .select(*KEY, "quote_id", "_parts", "_n", "_at")
+        said = F.col("_said")
+        fits = ((F.size(said) == F.col("_n")) & said[0].endswith(F.col("_parts")[0]) & F.element_at(said, -1).startswith(F.element_at("_parts", -1))
+                & (F.expr("slice(_said, 2, _n - 2)") == F.expr("slice(_parts, 2, _n - 2)")))
+        clean = said[0] == F.col("_parts")[0]
+        many = self.words_at(spots).filter(fits).select(*KEY, "quote_id", F.when(clean, F.col("_at")).otherwise(F.col("_at") + 1).alias("pos"))
+        # one word: the words of the vocabulary that hold it
+        one = q.filter("_n = 1").withColumn("_key", F.left("_q", F.lit(3)))
+        grams = F.array_distinct(F.flatten(F.array(*[_letters(F.col("_w"), k) for k in (1, 2, 3)])))
+        holding = (words.select(*KEY, "_w", F.explode(grams).alias("_key")).join(one, [*KEY, "_key"]).filter(F.col("_w").contains(F.col("_q")))
+                   .select(*KEY, "quote_id", "_w", F.col("_w").startswith(F.col("_q")).alias("_clean")))
+        single = (self.places_of(holding).select(*KEY, "quote_id", F.when(F.col("_clean"), F.col("pos")).otherwise(F.col("pos") + 1).alias("pos"))
+                  .groupBy(*KEY, "quote_id").agg(F.min("pos").alias("pos"))
+                  .join(self.streams.select(*KEY, "last"), KEY).filter(F.col("pos") <= F.col("last")).drop("last"))
+        return many.unionByName(single).groupBy(*KEY, "quote_id").agg(F.min("pos").alias("pos"))
+
+    def anchor(self, quotes: DataFrame) -> DataFrame:
+        """`anchor_quotes` from the index: quotes with pos, how and time. No word of a text is read but those where a quote's
+        rarest word stands."""
+        keys = [*KEY, "quote_id"]
+        exact = cut(self.exact(quotes).withColumn("how", F.lit("exact")))
+        open_ = quotes.join(exact.select(*keys), keys, "left_anti")
+        vocabulary = self.vocabulary.select(*KEY, F.col("word").alias("_w"))
+        loose = _loose(open_, vocabulary, self.places_of, self.streams.select(*KEY, F.col("last").alias("_last")), 5)
+        found = exact.unionByName(loose.withColumn("how", F.lit("loose")))
+        spots = found.select(*keys, "how", F.col("pos").alias("_at"), F.lit(1).alias("_n"))
+        timed = self.words_at(spots).select(*keys, F.col("_at").alias("pos"), "how", F.col("_times")[0].alias("time"))
+        late = found.join(timed.select(*keys), keys, "left_anti").withColumn("time", F.lit(None).cast("double"))
+        return quotes.join(timed.unionByName(late.select(*timed.columns)), keys, "left")
 
 
 def anchor_quotes(quotes: DataFrame, words: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.plans.bands import band_join
 from turnwise.plans.blocks import BLOCK, balanced, by_time, running
 from turnwise.plans.cut import cut
 
@@ -88,8 +89,8 @@ def suppress(df: DataFrame, keys: list[str], *, segments: Column, score: Column,
 
     `segments` is an array<struct<start,end>>; `tie` is unique within the keys. Rows are first
     put into components, outside of which nothing can overlap. Components of up to `largest`
-    rows are folded in one array each. A larger one is settled in rounds: rows that lead every
-    time bucket they touch are kept, what they cover is dropped, and so on.
+    rows are folded in one array each. A larger one is settled in blocks of `width` seconds that tell each other about the rows
+    they share (`_in_rounds`).
     """
     base = (df.withColumn("_segs", segments).withColumn("_score", score.cast("double"))
             .withColumn("_lo", F.array_min(F.transform("_segs", lambda s: s["start"])))
@@ -123,28 +124,55 @@ def suppress(df: DataFrame, keys: list[str], *, segments: Column, score: Column,
     return base.join(kept, [*keys, tie], "left_semi").drop("_segs", "_score", "_lo", "_hi")
 
 
-def _in_rounds(rest: DataFrame, keys: list[str], tie: str, share: float,
-               width: float) -> DataFrame:
+def _in_rounds(rest: DataFrame, keys: list[str], tie: str, share: float, width: float) -> DataFrame:
+    """Greedy suppression block by block of `width` seconds. Each block settles its rows as far as it can, best first; what it
+    cannot know is the fate of rows that other blocks share. Only these rim rows are told from round to round, so there
+    are as many rounds as a chain of rows that depend on each other crosses blocks, however many rows it has in them."""
     ident = [*keys, tie]
-    rest = cut(rest)
-    rounds = []
+    rest, rounds = cut(rest), []
+    told = rest.limit(0)
     while not rest.isEmpty():
-        spread = rest.select(*ident, F.struct((-F.col("_score")).alias("neg"), F.col(tie).alias("id"))
-                             .alias("_rank"),
-                             F.explode(F.sequence(F.floor(F.col("_lo") / width),
-                                                  F.floor(F.col("_hi") / width))).alias("_bucket"))
-        best = spread.groupBy(*keys, "_bucket").agg(F.min("_rank").alias("_best"))
-        leads = (spread.join(best, [*keys, "_bucket"]).groupBy(*ident)
-                 .agg(F.every(F.col("_rank") == F.col("_best")).alias("_leads")).filter("_leads"))
-        won = cut(rest.join(leads.select(*ident), ident, "left_semi"))
-        rounds.append(won.select(*ident))
-        left = rest.join(won.select(*ident), ident, "left_anti")
-        mine = left.select(*ident, F.explode("_segs").alias("_a"))
-        theirs = won.select(*keys, F.explode("_segs").alias("_b"))
-        covered = band_join(
-            mine, theirs, keys, width, left_range=(F.col("_a.start"), F.col("_a.end")),
-            right_range=(F.col("_b.start"), F.col("_b.end")),
-            condition=_overlap(F.col("_a"), F.col("_b"))
-            > (F.col("_a.end") - F.col("_a.start")) * share).select(*ident).distinct()
-        rest = cut(left.join(covered, ident, "left_anti"))
+        verdicts = cut(_round(rest, told, keys, tie, share, width))
+        rounds.append(verdicts.filter("_v >= 1").select(*ident))
+        told = rest.join(verdicts.filter("_v = 1").select(*ident), ident, "left_semi")
+        rest = cut(rest.join(verdicts.filter("_v = 0").select(*ident), ident, "left_semi"))
     return reduce(DataFrame.unionByName, rounds)
+
+
+def _round(rest: DataFrame, told: DataFrame, keys: list[str], tie: str, share: float, width: float) -> DataFrame:
+    """Verdicts on the rows of `rest`, `_v`: -1 dropped, 0 open, 1 kept and shared by several blocks, 2 kept. `told` are shared rows
+    kept in the last round; what those of earlier rounds cover is gone already."""
+    ident = [*keys, tie]
+    first, last = F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width)
+    rows = rest.withColumn("_kept", F.lit(False)).unionByName(told.withColumn("_kept", F.lit(True)))
+    cells = rows.select(*ident, "_score", "_segs", "_kept", (first != last).alias("_rim"), F.explode(F.sequence(first, last)).alias("_block"))
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["_kept", "_score", tie], ascending=[False, False, True], kind="stable")
+        segs = [np.array([(s["start"], s["end"]) for s in x], float).reshape(-1, 2) for x in group["_segs"]]
+        starts, ends, held = np.empty(64), np.empty(64), 0  # segments of rows that stay or may
+        final = np.empty(64, bool)
+        verdicts = []
+        for own, kept, rim in zip(segs, group["_kept"], group["_rim"]):
+            verdict = 2
+            if not kept:
+                for start, end in own:
+                    hits = np.minimum(ends[:held], end) - np.maximum(starts[:held], start) > (end - start) * share
+                    if (hits & final[:held]).any():
+                        verdict = -1
+                        break
+                    if hits.any():
+                        verdict = 0
+                if verdict == 2 and rim:
+                    verdict = 1
+            verdicts.append(verdict)
+            if verdict >= 0:
+                while held + len(own) > len(starts):
+                    starts, ends, final = (np.concatenate([x, np.empty_like(x)]) for x in (starts, ends, final))
+                span = slice(held, held + len(own))
+                starts[span], ends[span], final[span] = own[:, 0], own[:, 1], verdict == 2
+                held += len(own)
+        return group[ident].assign(_v=np.array(verdicts, np.int32))[~group["_kept"].to_numpy()]
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.select(*ident).schema)
+    return (cells.groupBy(*keys, "_block").applyInPandas(settle, f"{shape}, _v int")
+            .groupBy(*ident).agg(F.min("_v").alias("_v")))
