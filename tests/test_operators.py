@@ -462,3 +462,26 @@ def test_fewer_vectors_are_compared_as_they_spread(spark):
         assert sum(r.pairs for r in counts) == 2 * 180 * 179 // 2
         shares.append(sum(r.compared for r in counts) / sum(r.pairs for r in counts))
     assert shares[0] > shares[1] >= shares[2] and shares[2] < 0.25, shares
+
+
+def test_turns_in_parts(spark):
+    """A monologue of 4,000 words between short turns: no row has more than a part's words, and glued they are the turns."""
+    rnd = random.Random(3)
+    rows, t = [], 0.0
+    for i in range(6000):
+        who = "A" if 1000 <= i < 5000 else rnd.choice(["A", "B", None])
+        t += rnd.choice([.3, .3, .3, 3.0]) if not 1000 <= i < 5000 else .3
+        rows.append((i % 2, i // 2, f"w{i}", round(t, 1), None if rnd.random() < .1 else round(t + .2, 1), who))
+    words = spark.createDataFrame(rows, WORD)
+    parts = talk.turn_parts(words, part_words=100, block_rows=170).collect()
+    want = talk.build_turns(words).orderBy("stream_id", "start").collect()
+    assert max(p.word_count for p in parts) <= 100
+    glued = {}
+    for p in sorted(parts, key=lambda p: (p.stream_id, p.turn, p.part)):
+        glued.setdefault((p.stream_id, p.turn), []).append(p)
+    assert all([p.part for p in ps] == list(range(len(ps))) for ps in glued.values())
+    assert [(s, ps[0].speaker, ps[0].start, ps[-1].end, sum(p.word_count for p in ps), " ".join(p.text for p in ps)) for (s, _), ps in sorted(glued.items())] == \
+        [(r.stream_id, r.speaker, r.start, r.end, r.word_count, r.text) for r in want]
+    whole = talk.turns_of_parts(spark.createDataFrame(parts)).orderBy("stream_id", "idx").collect()
+    assert [(r.stream_id, r.speaker, r.start, r.end, r.word_count) for r in whole] == [(r.stream_id, r.speaker, r.start, r.end, r.word_count) for r in want]
+    assert max(r.parts for r in whole) > 15

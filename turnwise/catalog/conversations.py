@@ -38,6 +38,19 @@ def seq1(spark, sf):
     return talk.build_turns(item_words(spark, sf))
 
 
+@query("seq1_turn_parts", f"""
+WITH {ITEM_WORDS},
+f AS (SELECT *, CASE WHEN lag(speaker) OVER w IS DISTINCT FROM speaker OR start - lag("end") OVER w > 2 THEN 1 ELSE 0 END AS new
+      FROM item_words WINDOW w AS (PARTITION BY stream_id ORDER BY pos)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY stream_id ORDER BY pos) AS run FROM f),
+p AS (SELECT *, pos // 4 - min(pos) OVER (PARTITION BY stream_id, run) // 4 AS part FROM g)
+SELECT stream_id, CAST(run - 1 AS BIGINT) AS turn, CAST(part AS BIGINT) AS part, any_value(speaker) AS speaker, min(start) AS start, max_by("end", pos) AS "end",
+       count(*) AS word_count, string_agg(text, ' ' ORDER BY pos) AS text
+FROM p GROUP BY stream_id, run, part""")
+def seq1_parts(spark, sf):
+    return talk.turn_parts(item_words(spark, sf), part_words=4)
+
+
 @query("seq1_event_turns", f"""
 WITH {SIGNALS},
 f AS (SELECT *, CASE WHEN lag(user_id % 3) OVER w IS DISTINCT FROM user_id % 3 OR start - lag("end") OVER w > 600 THEN 1 ELSE 0 END AS new

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.plans.bands import band_join
-from turnwise.plans.blocks import Agg, by_position, by_time, neighbours, runs
+from turnwise.plans.blocks import Agg, by_position, by_time, neighbours, running, runs
 from turnwise.schema import KEY
 
 
@@ -31,6 +31,34 @@ def build_turns(words: DataFrame, *, max_pause: float = 2.0, order: tuple[str, .
     return turns
 
 
+def turn_parts(words: DataFrame, *, max_pause: float = 2.0, part_words: int = 1_000, block_rows: int = 50_000) -> DataFrame:
+    """Words -> turns in parts, for talk without a bound: turn (0, 1, ... in its stream), part (0, 1, ... in its turn), speaker, start,
+    end, word_count, text.
+
+    Turns are those of `build_turns`; words are numbered by `pos`, and a part ends where `pos` reaches a multiple of
+    `part_words`. No row and no task holds the words of a turn: turns and parts are numbered by running totals over blocks of
+    positions, and only the words of one part are glued together. `turns_of_parts` gives the turns without their text.
+    """
+    who = F.coalesce(F.col("speaker"), F.lit("unknown"))
+    end = F.coalesce(F.col("end"), F.col("start") + 0.1)
+    linked = neighbours(words, KEY, ["pos"], by_position("pos", block_rows), before={"_who": who, "_end": end})
+    opens = F.col("_who").isNull() | (F.col("_who") != who) | (F.col("start") - F.col("_end") > max_pause)
+    told = running(linked.withColumn("_opens", opens), KEY, ["pos"], by_position("pos", block_rows),
+                   sums={"turn": F.col("_opens").cast("long")}, fill={"_from": F.when(F.col("_opens"), F.col("pos"))})
+    part = F.floor(F.col("pos") / part_words) - F.floor(F.col("_from") / part_words)
+    said = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    return (told.withColumn("part", part).groupBy(*KEY, (F.col("turn") - 1).alias("turn"), "part")
+            .agg(F.first(who).alias("speaker"), F.min_by("start", "pos").alias("start"), F.max_by(end, "pos").alias("end"),
+                 F.count(F.lit(1)).alias("word_count"), F.array_join(F.transform(said, lambda w: w["text"]), " ").alias("text")))
+
+
+def turns_of_parts(parts: DataFrame) -> DataFrame:
+    """Turns of `turn_parts`, without text: idx, speaker, start, end, word_count and the number of parts."""
+    return (parts.groupBy(*KEY, F.col("turn").alias("idx"))
+            .agg(F.first("speaker").alias("speaker"), F.min_by("start", "part").alias("start"), F.max_by("end", "part").alias("end"),
+                 F.sum("word_count").alias("word_count"), F.count(F.lit(1)).alias("parts")))
+
+
 def speaker_runs(rows: DataFrame, *, speaker: Column | None = None,
                  order: tuple[str, ...] = ("idx",), block: Column | None = None,
                  count: Column | None = None) -> DataFrame:
