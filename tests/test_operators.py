@@ -485,3 +485,18 @@ def test_turns_in_parts(spark):
     whole = talk.turns_of_parts(spark.createDataFrame(parts)).orderBy("stream_id", "idx").collect()
     assert [(r.stream_id, r.speaker, r.start, r.end, r.word_count) for r in whole] == [(r.stream_id, r.speaker, r.start, r.end, r.word_count) for r in want]
     assert max(r.parts for r in whole) > 15
+
+
+def test_reference_totals_count_the_list(spark):
+    """One topic with most occurrences, ties of time, clips that hold several and clips of topics that never come up."""
+    rnd = random.Random(6)
+    blocks = [(1, i % 2, rnd.choice(["t", "t", "t", "u"]), i, float(rnd.randint(0, 400)), rnd.choice(["calm", "heated", "confrontational", None])) for i in range(300)]
+    blocks = spark.createDataFrame([(*b[:4], b[4], b[4] + rnd.randint(0, 30), b[5]) for b in blocks],
+                                   "stream_id long, conv_id long, topic_id string, block_no long, t_start double, t_end double, sentiment string")
+    clips = spark.createDataFrame([(1, i % 2, rnd.choice("tuv"), i, float(s := rnd.randint(0, 400)), float(s + rnd.randint(0, 90))) for i in range(80)],
+                                  "stream_id long, conv_id long, topic_id string, clip_id long, start double, end double")
+    want = Counter((r.clip_id, r.relation) for r in topics.topic_references(clips, blocks).collect())
+    got = topics.topic_reference_totals(clips, blocks, block_seconds=50.0, width=40.0).collect()
+    assert len(got) == 80
+    names = ("escalation", "continuation", "prior_confrontation", "prior_mention")
+    assert Counter({(r.clip_id, n): r[n] for r in got for n in names if r[n]}) == want

@@ -125,6 +125,23 @@ def join9(spark, sf):
     return ops.topic_references(clips, blocks)
 
 
+@query("join9_reference_totals", f"""
+WITH {TOPIC_BLOCKS},
+clips AS (SELECT stream_id, conv_id, block_no AS clip_id, topic_id, t_start - 30 AS s, t_end + 30 AS e FROM blocks),
+refs AS (SELECT c.*, b.t_start > c.s AS later, sentiment IN ('heated', 'confrontational') AS hot, b.block_no IS NOT NULL AS found
+         FROM clips c LEFT JOIN blocks b ON c.stream_id = b.stream_id AND c.conv_id = b.conv_id AND c.topic_id = b.topic_id
+          AND NOT (b.t_start >= c.s - 5 AND b.t_end <= c.e + 5))
+SELECT stream_id, conv_id, topic_id, clip_id, count(*) FILTER (found AND later AND hot) AS escalation, count(*) FILTER (found AND later AND NOT hot) AS continuation,
+  count(*) FILTER (found AND NOT later AND hot) AS prior_confrontation, count(*) FILTER (found AND NOT later AND NOT hot) AS prior_mention
+FROM refs GROUP BY ALL""")
+def join9_totals(spark, sf):
+    blocks = topic_blocks(spark, sf)
+    clips = blocks.select(
+        *CONV, F.col("block_no").alias("clip_id"), "topic_id", (F.col("t_start") - 30).alias("start"),
+        (F.col("t_end") + 30).alias("end"))
+    return ops.topic_reference_totals(clips, blocks, block_seconds=86_400.0)
+
+
 @query("join10_conversation_members", f"""
 WITH {TOPIC_BLOCKS},
 t AS (SELECT stream_id, conv_id, count(DISTINCT topic_id) AS topics FROM blocks GROUP BY ALL)
