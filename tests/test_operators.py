@@ -500,3 +500,19 @@ def test_reference_totals_count_the_list(spark):
     assert len(got) == 80
     names = ("escalation", "continuation", "prior_confrontation", "prior_mention")
     assert Counter({(r.clip_id, n): r[n] for r in got for n in names if r[n]}) == want
+
+
+def test_dominance_in_a_crowded_hour(spark):
+    """Most turns in one hour, in cells of any size, like a plain count; a turn without a start leads nowhere."""
+    rnd = random.Random(8)
+    rows = [(i % 2, rnd.choice("hABC"), float(rnd.randint(3600, 5400)) if i % 10 else float(rnd.randint(0, 20_000)), i) for i in range(2000)]
+    df = spark.createDataFrame([*rows, (1, "A", None, 5000)], "stream_id long, speaker string, start double, idx long")
+    want = {(1, 5000): None}
+    for s, _, t, i in rows:
+        near = [(u, k, w) for z, w, u, k in rows if z == s and w != "h" and abs(u - t) <= 30]
+        counts = Counter(w for *_, w in near)
+        best = max(counts.values(), default=0)
+        want[s, i] = min((u, k, w) for u, k, w in near if counts[w] == best)[2] if best >= 3 else None
+    for size in (20_000, 40, 7):
+        got = conv.rolling_dominance(df, F.col("speaker") == "h", half_window=30.0, need=3, cell_rows=size).collect()
+        assert {(r.stream_id, r.idx): r.dominant for r in got} == want and len(got) == len(want)

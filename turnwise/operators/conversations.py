@@ -13,7 +13,7 @@ from turnwise.operators.speakers import talk_time_within
 from turnwise.operators.turns import exchanges
 from turnwise.plans.bands import band_join
 from turnwise.plans.blocks import Agg, by_time, running, runs
-from turnwise.plans.cut import cut
+from turnwise.plans.cut import cut, join_per_key
 from turnwise.schema import KEY
 
 
@@ -56,32 +56,41 @@ def _leading_labels(start: np.ndarray, code: np.ndarray, names: np.ndarray, own:
 
 
 def rolling_dominance(turns: DataFrame, is_host: Column, *, half_window: float = 60.0,
-                      need: int = 3, block_seconds: float = 3600.0,
+                      need: int = 3, block_seconds: float = 3600.0, cell_rows: int = 20_000,
                       order: str = "idx") -> DataFrame:
     """For every turn the guest who speaks most often within +- half_window (both ends count),
     null below `need` turns, ties to who comes first in the window.
 
-    A block of time is one group; turns near its rim are copied into the next block, so no
-    group grows with the length of a stream and no pairs are formed.
+    A block of time is cut into as many equal cells as its turns need, `cell_rows` each, but none shorter than a window.
+    A cell is one group; turns near its rim are copied into the next one, so no group grows with the length of a stream,
+    a crowded hour is many groups, and no pairs are formed. Turns without a start have no window and no dominant guest.
     """
-    rows = turns.select(*KEY, order, "start", F.when(~is_host, F.col("speaker")).alias("_who"))
-    home = F.floor(F.col("start") / block_seconds)
-    spread = (rows.withColumn("_home", home)
-              .withColumn("_cell", F.explode(F.sequence(
-                  F.floor((F.col("start") - half_window) / block_seconds),
-                  F.floor((F.col("start") + half_window) / block_seconds)))))
+    rows = turns.select(*KEY, order, "start", F.when(~is_host, F.col("speaker")).alias("_who")).filter("start is not null")
+    counted = rows.groupBy(*KEY, F.floor(F.col("start") / block_seconds).alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    most = max(1, int(block_seconds // max(2 * half_window, 1e-9)))
+    cells = counted.select(*KEY, "_block", F.least(F.ceil(F.col("_n") / cell_rows), F.lit(most)).alias("_cells"))
+
+    def cell_at(t: Column) -> Column:
+        """The cell of a time inside the block, the last one for the end of the block."""
+        part = F.floor((t - F.col("_block") * block_seconds) * F.col("_cells") / block_seconds)
+        return F.least(F.greatest(part, F.lit(0)), F.col("_cells") - 1)
+    low, high = F.col("start") - half_window, F.col("start") + half_window
+    spread = rows.withColumn("_block", F.explode(F.sequence(F.floor(low / block_seconds), F.floor(high / block_seconds))))
+    spread = join_per_key(spread, cells, [*KEY, "_block"], [*KEY, "_block", order])
+    spread = spread.withColumn("_home", F.when(F.col("_block") == F.floor(F.col("start") / block_seconds), cell_at(F.col("start"))))
+    spread = spread.withColumn("_cell", F.explode(F.sequence(cell_at(low), cell_at(high))))
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start", order])
         code, names = pd.factorize(pdf["_who"])
-        own = (pdf["_home"] == pdf["_cell"]).to_numpy()
+        own = (pdf["_home"] == pdf["_cell"]).to_numpy()  # a turn lent by another block has no home here
         out = pdf.loc[own, [*KEY, order]].copy()
         labels = _leading_labels(pdf["start"].to_numpy(), code, np.asarray(names, dtype=object), own,
                                  half_window, need)
         out["dominant"] = pd.Series(labels, index=out.index, dtype=object)
         return out
 
-    found = spread.groupBy(*KEY, "_cell").applyInPandas(
+    found = spread.groupBy(*KEY, "_block", "_cell").applyInPandas(
         lead, f"stream_id long, {order} long, dominant string")
     return turns.join(found, [*KEY, order], "left")
 
