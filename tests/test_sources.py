@@ -198,3 +198,16 @@ def test_a_stage_is_replaced(spark, tmp_path):
         stages.save_stage(_stage_rows(spark).limit(n), str(tmp_path), "turns", layout=layout)
         assert stages.load_stage(spark, str(tmp_path), "turns", layout=True).count() == n
     assert stages.load_stage(spark, str(tmp_path), "turns").count() == 40
+
+
+def test_job_states(spark):
+    log = spark.createDataFrame([("a", 1, "u", 0), ("a", 1, "u", 2), ("a", 2, "v", 0), ("a", 3, "w", 2), ("b", 1, "x", 1), ("b", 2, "y", 1), ("b", 3, "z", 0), ("b", 3, "z", 1)],
+                                "source string, row_no long, url string, seq long")
+    ends = spark.createDataFrame([("a", 1, 0, False, None, "e"), ("a", 1, 2, True, "l", None), ("a", 2, 0, False, None, "x" * 900), ("b", 1, 1, None, None, None),
+                                  ("b", 1, 1, True, "m", None), ("c", 9, 0, True, "?", None)], "source string, row_no long, seq long, ok boolean, link string, error string")
+    got = jobs.job_states(log, ends)
+    assert sorted((r.source, r.row_no, r.attempts, r.status, r.link, len(r.error or "")) for r in got.collect()) == [
+        ("a", 1, 2, "complete", "l", 0), ("a", 2, 1, "failed", None, 500), ("a", 3, 1, "processing", None, 0),
+        ("b", 1, 1, "complete", "m", 0), ("b", 2, 1, "lost", None, 0), ("b", 3, 2, "lost", None, 0)]
+    assert sorted(tuple(r) for r in jobs.jobs_to_retry(got, most=2).collect()) == [("b", 2, "y")]
+    assert jobs.job_states(log.limit(0), ends).count() == 0

@@ -230,3 +230,37 @@ def flt14(spark, sf):
         F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment")).alias("status"))
     n = table(spark, sf, "nation").select("n_nationkey", "n_name")
     return jobs.all_pending({"orders": (o, "o_orderkey"), "customers": (c, "c_custkey"), "nations": (n, "n_nationkey")})
+
+
+JOB_LOG = """
+log AS (SELECT 'orders' AS source, o_custkey AS row_no, 'link' || o_custkey AS url, o_orderkey % 7 AS seq FROM orders),
+ends AS (SELECT 'orders' AS source, o_custkey AS row_no, o_orderkey % 7 AS seq, bool_or(o_orderstatus = 'F') AS ok FROM orders
+         WHERE o_orderkey % 3 <> 0 GROUP BY ALL),
+tries AS (SELECT source, row_no, any_value(url) AS url, max(seq) AS seq, count(DISTINCT seq) AS attempts FROM log GROUP BY source, row_no),
+states AS (SELECT t.*, CASE WHEN e.ok IS NULL THEN CASE WHEN t.seq = (SELECT max(seq) FROM log) THEN 'processing' ELSE 'lost' END
+             WHEN e.ok THEN 'complete' ELSE 'failed' END AS status
+           FROM tries t LEFT JOIN ends e USING (source, row_no, seq))"""
+
+
+def _job_states(spark, sf):
+    o = table(spark, sf, "orders").withColumns({"source": F.lit("orders"), "row_no": F.col("o_custkey"), "seq": F.col("o_orderkey") % 7})
+    log = o.select("source", "row_no", F.concat(F.lit("link"), "row_no").alias("url"), "seq")
+    outcomes = o.filter("o_orderkey % 3 <> 0").select(
+        "source", "row_no", "seq", (F.col("o_orderstatus") == "F").alias("ok"), F.lit("folder").alias("link"), F.repeat(F.lit("no "), F.lit(300)).alias("error"))
+    return jobs.job_states(log, outcomes)
+
+
+@query("flt14_job_states", f"""
+WITH {JOB_LOG}
+SELECT source, row_no, url, attempts, status, CASE WHEN status = 'complete' THEN 'folder' END AS link,
+  CASE WHEN status = 'failed' THEN left(repeat('no ', 300), 500) END AS error FROM states""")
+def flt14_states(spark, sf):
+    """Orders as attempts of jobs, customers as jobs: complete, failed, under way or lost."""
+    return _job_states(spark, sf)
+
+
+@query("flt14_jobs_to_retry", f"""
+WITH {JOB_LOG}
+SELECT source, row_no, url FROM states WHERE status = 'lost' AND attempts < 6""")
+def flt14_retry(spark, sf):
+    return jobs.jobs_to_retry(_job_states(spark, sf), most=6)

@@ -36,3 +36,29 @@ def pending_jobs(table: DataFrame, *, sheet: str, row: str, query_names: tuple[s
 def all_pending(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Pending jobs of all tabs: name -> (table, row column)."""
     return reduce(DataFrame.unionByName, [pending_jobs(t, sheet=n, row=r) for n, (t, r) in tables.items()])
+
+
+def job_states(log: DataFrame, outcomes: DataFrame, *, error_chars: int = 500) -> DataFrame:
+    """Where every job stands: source, row_no, url, attempts, status, link, error.
+
+    `log` (source, row_no, url, seq) has a row for each time a job was taken up, seq counting the batches; `outcomes`
+    (source, row_no, seq, ok, link, error) a row for each attempt that came to an end. Of the last attempt, one that ended is
+    `complete` with its link or `failed` with the first `error_chars` of its error; without an outcome it is `processing` if
+    it is of the latest batch, else `lost`: a batch begins when the one before it is over, so its worker died. A second outcome of an
+    attempt counts only if it is the better one.
+    """
+    ends = outcomes.groupBy("source", "row_no", "seq").agg(
+        F.max_by(F.struct("ok", "link", "error"), F.struct(F.coalesce("ok", F.lit(False)).alias("ok"), "link", "error")).alias("_end"))
+    tries = log.groupBy("source", "row_no").agg(F.max_by("url", "seq").alias("url"), F.max("seq").alias("seq"), F.count_distinct("seq").alias("attempts"))
+    latest = log.agg(F.max("seq")).first()[0]
+    rows = tries.join(ends, ["source", "row_no", "seq"], "left")
+    ok = F.coalesce(F.col("_end.ok"), F.lit(False))
+    status = (F.when(F.col("_end").isNull(), F.when(F.col("seq") == F.lit(latest), "processing").otherwise("lost"))
+              .otherwise(F.when(ok, "complete").otherwise("failed")))
+    return rows.select("source", "row_no", "url", "attempts", status.alias("status"), F.when(ok, F.col("_end.link")).alias("link"),
+                       F.when(~ok, F.substring("_end.error", 1, error_chars)).alias("error"))
+
+
+def jobs_to_retry(states: DataFrame, *, most: int = 3) -> DataFrame:
+    """Lost jobs that have been tried less than `most` times; failed ones wait for their user."""
+    return states.filter((F.col("status") == "lost") & (F.col("attempts") < most)).select("source", "row_no", "url")
