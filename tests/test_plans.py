@@ -146,3 +146,12 @@ def test_empty_input(spark):
                 aggs={"n": Agg("count", F.lit(1))}).count() == 0
     assert band_join(df, right, ["s"], 5, left_range=(F.col("start"), F.col("end")),
                      right_range=(F.col("rs"), F.col("re"))).count() == 0
+
+
+def test_running_totals_over_rows_without_a_time(spark):
+    """They come before all others and count for them."""
+    rows = [(1, i, None if i % 4 == 0 else float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "stream_id long, id long, t double")
+    got = {r.id: r.n for r in running(df, ["stream_id"], ["t", "id"], by_time("t", 5.0), sums={"n": F.lit(1).cast("long")}).collect()}
+    order = sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0.0, r[1]))
+    assert got == {r[1]: i + 1 for i, r in enumerate(order)}

@@ -71,6 +71,12 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], block: Column,
     return rows.drop("_b", "_a", BLOCK)
 
 
+def _known(df: DataFrame, block: Column) -> Column:
+    """A numbered block without nulls, which would not meet what is carried to them."""
+    numbered = dict(df.select(block.alias(BLOCK)).dtypes)[BLOCK] == "bigint"
+    return F.coalesce(block, F.lit(-(1 << 63))) if numbered else block
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], block: Column, *,
             sums: dict[str, Column] | None = None,
             peaks: dict[str, Column] | None = None,
@@ -82,10 +88,12 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column, *,
     peaks      largest value of the rows before
     fill       last value that is not null, up to and with the row
     fill_back  first value that is not null, from the row on
+
+    Rows whose block is null, as those without a time have, are a block before all others.
     """
     sums, peaks, fill, fill_back = sums or {}, peaks or {}, fill or {}, fill_back or {}
     ordering = F.struct(*order)
-    cut = df.withColumn(BLOCK, block)
+    cut = df.withColumn(BLOCK, _known(df, block))
     inner = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
     earlier = inner.rowsBetween(Window.unboundedPreceding, -1)
