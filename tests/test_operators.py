@@ -443,7 +443,7 @@ def _cosines(vectors, threshold):
 @pytest.mark.parametrize("threshold", [0.95, 0.7, 0.0, -0.2])
 def test_similar_vectors_are_all_found(spark, threshold):
     rnd = random.Random(4)
-    vectors = [[rnd.gauss(0, 1) for _ in range(3)] for _ in range(90)] + [[0.0, 0.0, 0.0], None, [1.0, 2.0], [2.0, 4.1], [1.0, 1.0, 1.0]] * 2
+    vectors = [[rnd.gauss(0, 1) for _ in range(3)] for _ in range(90)] + [[0.0, 0.0, 0.0], None, [1.0, 2.0], [2.0, 4.1], [1.0, 1.0, 1.0], [2e-6, 1e-6, 1e-6]] * 2
     got = topics.similar_vectors(_vectors(spark, vectors), threshold=threshold, part_rows=6).collect()
     assert {(r.a_id, r.b_id) for r in got} == _cosines(vectors, threshold)
     assert len(got) == len({(r.a_id, r.b_id) for r in got})

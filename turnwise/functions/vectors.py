@@ -22,6 +22,13 @@ def cosine(a: Column, b: Column) -> Column:
     return _dot(a, b) / (norm(a) * norm(b) + EPSILON)
 
 
+def angle(a: Column, b: Column) -> Column:
+    """Angle in radians, 0 to pi; null if one is all zeros or their lengths differ. No constant is added, so it keeps the
+    triangle inequality."""
+    both = norm(a) * norm(b)
+    return F.when(both > 0, F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), _dot(a, b) / both))))
+
+
 def similarity(vec_a: Column, vec_b: Column, fallback: Column) -> Column:
     """Cosine where both vectors are there, else the given word measure."""
     return F.coalesce(cosine(vec_a, vec_b), fallback)
