@@ -15,10 +15,10 @@ from turnwise.llm.components import components
 from turnwise.llm.tables import columns, small_batches
 from turnwise.plans.cut import cut
 
-BATCH = 2 << 20
+BATCH = 1 << 20
 ORDERS = 3  # global token orders
 BITS = 1024  # of the parity bitmap of a set, at least
-BLOCK = 256  # sets of a block; a larger bucket is compared block by block
+BLOCK = 512  # sets of a block; a larger bucket is compared block by block
 HOT_BLOCK = 1024  # postings of a block of a frequent token
 SAMPLE = 16  # one document in so many is counted to find frequent tokens
 FREQUENT = 4  # times in that sample
@@ -155,7 +155,7 @@ def _alike(sets: list[np.ndarray], percent: int) -> np.ndarray:
     both = np.zeros((len(sets), len(sets)), np.float32)
     by_column = np.argsort(column, kind="stable")
     owner, column = owner[by_column], column[by_column]
-    width = 4096
+    width = 1024
     for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, (first, first + width))
         part = np.zeros((len(sets), width), np.float32)
@@ -407,7 +407,8 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
 
     1. Equal sets become one, found by a digest of the set.
     2. Sets with the same first token in one of three global orders are compared in full, block by block, and joined;
-       near copies meet there mostly, and a large group needs no pair rows.
+       near copies meet there mostly, and a large group needs no pair rows. Orders follow one another, and sets that
+       are joined already are not fetched again for each other.
     3. Under prefix filtering, sets that are alike must share a prefix token in every order. Sets of different
        components that share one in the first order, fit in size and may be alike by their bitmaps are candidates;
        they must share one in the other orders too, and only then are whole sets compared.
@@ -431,16 +432,21 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     classes = cut(rows.filter("n > 0").groupBy("digest", "n").agg(
         F.min("id").alias("id"), F.min(F.struct("unnamed", "doc_id", "hash")).alias("first"), *[F.first(c).alias(c) for c in ("bits", *heads)]))
 
-    # sets of the same first token in one of the orders
-    met = None
+    # sets of the same first token, order by order: a bucket of one component is settled and fetches no texts
+    first_links = joined = None
     for k, head in enumerate(heads):
-        one = classes.select("id", F.xxhash64(head, F.lit(k)).alias("bucket"))
-        met = one if met is None else met.unionByName(one)
-    met = cut(met)
-    sizes = cut(met.groupBy("bucket").count().filter("count > 1"))
-    asked = in_blocks(met.join(sizes, "bucket"), "count", BLOCK).select("bucket", "i", "j", "id")
-    first_links = cut(compared(texts, asked, words, percent))
-    joined = components(first_links)
+        met = classes.select("id", F.xxhash64(head, F.lit(k)).alias("bucket"))
+        if joined is None:
+            met = met.withColumn("comp", F.col("id"))
+        else:
+            met = met.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
+        met = cut(met)
+        sizes = cut(met.groupBy("bucket").agg(F.count("*").alias("count"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+                    .filter("least <> most").select("bucket", "count"))
+        asked = in_blocks(met.drop("comp").join(sizes, "bucket"), "count", BLOCK).select("bucket", "i", "j", "id")
+        links = cut(compared(texts, asked, words, percent))
+        first_links = links if first_links is None else first_links.unionByName(links)
+        joined = cut(components(first_links))
 
     # candidates between components
     named = cut(classes.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left")
