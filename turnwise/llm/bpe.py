@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.tables import columns, small_batches
 
-BATCH = 4 << 20
+BATCH = 1 << 20
 #: A worker remembers up to twice as many words between batches; those not met for long are forgotten first.
 REMEMBERED = 150_000
+#: Characters of remembered words: very long ones must not fill the memory of a worker.
+REMEMBERED_BYTES = 8 << 20
 #: Pairs of tokens whose verdict is remembered.
 REMEMBERED_PAIRS = 200_000
+ID = next(c for c in "IL" if array(c).itemsize == 4)  # four bytes, as wide as an id
 NEVER = 1 << 40  # a rank beyond all merges
 
 
@@ -58,6 +62,7 @@ class Vocabulary:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.stays: dict[int, bool] = {}
+        self.held = 0  # characters of the words in `known`
 
     def beside(self, last: int, token: int) -> bool:
         """Do the two tokens stay as they are when they stand side by side? `last` is -1 at the start of a word.
@@ -101,63 +106,49 @@ class Vocabulary:
         Exactly one token that ends here stays beside the last token of what precedes it; cutting that token off
         leaves the encoding of the rest, so the last tokens of the prefixes are all there is to remember.
         """
-        n, found, tails, skipped = len(path), [], self.tails, end - len(path)
+        n, found, tails, stays, skipped = len(path), [], self.tails.get, self.stays.get, end - len(path)
         for start in range(n - 1, -1, -1):
-            token = tails.get(path[start:])
+            token = tails(path[start:])
             if token is None:
                 break
             if token >= 0:
                 found.append((start, token))
         for start, token in reversed(found):
-            if self.beside(ends[skipped + start], token):
+            last = ends[skipped + start]
+            known = stays(last << 32 | token)
+            if self.beside(last, token) if known is None else known:
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode `words`: put them into a trie and walk it depth first. Last tokens of a shared prefix are computed
-        once; a node hands them to its children, and a word reads its encoding back from them."""
-        root: list = [b"", {}, None]
-        for word in words:
-            data, node, at = word.encode(), root, 0
-            while at < len(data):
-                child = node[1].get(data[at])
-                if child is None:
-                    node[1][data[at]] = child = [data[at:], {}, None]
-                    at = len(data)
-                elif data.startswith(child[0], at):
-                    at += len(child[0])
-                else:  # the word leaves within the label: split it there
-                    label, same = child[0], 1
-                    while at + same < len(data) and label[same] == data[at + same]:
-                        same += 1
-                    upper = [label[:same], {label[same]: child}, None]
-                    child[0] = label[same:]
-                    node[1][data[at]] = child = upper
-                    at += same
-                node = child
-            node[2] = word
-        ends, todo = [-1], [(root, b"")]
-        while todo:
-            (label, children, word), above = todo.pop()
-            path = above + label
-            del ends[len(above) + 1:]
-            for end in range(len(above) + 1, len(path) + 1):
-                ends.append(self.last_token(path[max(0, end - self.longest):end], ends, end))
-            if word is not None:
-                ids, at = [], len(path)
-                while at:
-                    ids.append(ends[at])
-                    at -= len(self.bytes_of[ends[at]])
-                self.known[word] = np.array(ids[::-1], "<u4").tobytes()
-            todo += [(child, path) for child in children.values()]
+        once; a node hands them to what is below it, and a word reads its encoding back from them.
+
+        The trie is kept as the sorted list of its words: each goes on where it leaves the one before it, so going
+        through the list is the walk, and `ends` holds the last tokens of all prefixes of the word it stands at.
+        """
+        ends, path, longest, length = [-1], b"", self.longest, [len(b) for b in self.bytes_of]
+        for data, word in sorted((w.encode(), w) for w in words):
+            shared = min(len(path), len(data))
+            if not data.startswith(path):
+                shared = next(i for i, (a, b) in enumerate(zip(path, data)) if a != b)
+            del ends[shared + 1:]
+            for end in range(shared + 1, len(data) + 1):
+                ends.append(self.last_token(data[max(0, end - longest):end], ends, end))
+            ids, at = [], len(data)
+            while at:
+                ids.append(ends[at])
+                at -= length[ends[at]]
+            self.known[word] = array(ID, ids[::-1]).tobytes()
+            path = data
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, four little-endian bytes each. Special tokens in a text are found first."""
         cut = [[(p, None) if p in self.specials else (p, self.split(p)) for p in self.parts(t)] for t in texts]
         if len(self.stays) > REMEMBERED_PAIRS:
             self.stays = {}
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
+        if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
         fresh: set[str] = set()
         for parts in cut:
             for _, words in parts:
@@ -166,6 +157,7 @@ class Vocabulary:
         again = fresh & self.older.keys()
         self.known.update((w, self.older[w]) for w in again)
         self.learn(fresh - again)
+        self.held += sum(map(len, fresh))
         known = self.known.__getitem__
         return [b"".join(np.array([self.specials[p]], "<u4").tobytes() if words is None else b"".join(map(known, words))
                          for p, words in parts) for parts in cut]
